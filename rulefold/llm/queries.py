@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rulefold.llm import sharding
+from rulefold.llm import decontaminate, sharding
 
 #: Production shards of the sharding query.
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -19,5 +20,37 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, SHARDS)
 
 
-QUERIES = {"op10_sharding": op10_sharding}
-ORACLE: dict[str, str] = {}
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP5_SQL = r"""
+with item_words as (
+    select cast(item_id as varchar) item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+windows as (
+    select distinct item, least(10, len(w)) n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') win
+    from (select item, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) i from item_words where len(w) > 0)),
+doc_words as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+lengths as (select distinct n from windows),
+places as (
+    select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') win
+    from (select doc_id, n, w, unnest(generate_series(1, len(w) - n + 1)) i from doc_words, lengths where len(w) >= n)),
+hits as (select doc_id, p.n, i, item from places p join windows using (win)),
+covered as (select doc_id, count(distinct k) n_hit from (select doc_id, unnest(generate_series(i, i + n - 1)) k from hits) group by doc_id),
+named as (select doc_id, count(*) n_items, string_agg(item, ',' order by item) ids from (select distinct doc_id, item from hits) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items,
+    sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from doc_words d left join covered using (doc_id) left join named using (doc_id)
+"""
+
+
+QUERIES = {
+    "op5_decontaminate": op5_decontaminate,
+    "op10_sharding": op10_sharding,
+}
+ORACLE: dict[str, str] = {"op5_decontaminate": OP5_SQL}
