@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulefold.llm import decontaminate, sharding
+from rulefold.llm import decontaminate, language, sharding
 
 #: Production shards of the sharding query.
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -49,8 +49,20 @@ from doc_words d left join covered using (doc_id) left join named using (doc_id)
 """
 
 
+def bucket(n: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.select("doc_id", "text", "lang", F.coalesce(bucket(4) == 2, F.lit(False)).alias("held_out"))
+    model = language.fit(docs.filter(~F.col("held_out")))
+    return language.identify(docs.select("doc_id", "text", "held_out"), model).drop("text")
+
+
 QUERIES = {
     "op5_decontaminate": op5_decontaminate,
+    "op7_language": op7_language,
     "op10_sharding": op10_sharding,
 }
 ORACLE: dict[str, str] = {"op5_decontaminate": OP5_SQL}
