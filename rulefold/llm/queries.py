@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulefold.llm import decontaminate, language, sharding
+from rulefold.llm import decontaminate, language, sharding, token_files
+from rulefold.session import shared_folder
 
 #: Production shards of the sharding query.
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -60,7 +64,14 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "text", "held_out"), model).drop("text")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read(spark, path)
+
+
 QUERIES = {
+    "op3_token_files": op3_token_files,
     "op5_decontaminate": op5_decontaminate,
     "op7_language": op7_language,
     "op10_sharding": op10_sharding,
