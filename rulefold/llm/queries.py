@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulefold.llm import decontaminate, language, sharding, token_files
+from rulefold.llm import decontaminate, language, packing, sharding, token_files
 from rulefold.session import shared_folder
 
 #: Production shards of the sharding query.
@@ -70,10 +70,15 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path)
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op3_token_files": op3_token_files,
     "op5_decontaminate": op5_decontaminate,
     "op7_language": op7_language,
+    "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
 }
 ORACLE: dict[str, str] = {"op5_decontaminate": OP5_SQL}
