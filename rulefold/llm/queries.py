@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulefold.llm import decontaminate, language, packing, sharding, token_files
+from rulefold.llm import decontaminate, language, lm, packing, sharding, token_files
 from rulefold.session import shared_folder
 
 #: Production shards of the sharding query.
@@ -74,7 +74,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm.score(docs, bucket(5) != 1)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), *scored.columns[2:])
+
+
 QUERIES = {
+    "op2_lm_score": op2_lm_score,
     "op3_token_files": op3_token_files,
     "op5_decontaminate": op5_decontaminate,
     "op7_language": op7_language,
