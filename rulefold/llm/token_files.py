@@ -143,7 +143,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """The documents from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of the ids as
     little-endian unsigned 32-bit integers) and part. Each task reads whole files; batches are read one by one."""
     manifest = spark.read.parquet(f"{path}/manifest")
-    files = manifest.select("part", "before").repartition("part")
+    files = manifest.select("part", "before").repartition(max(1, manifest.count()))  # a task for each file
 
     def run(batches):
         for batch in batches:
