@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulefold.llm import decontaminate, fingerprints, language, lm, packing, sharding, token_files
+from rulefold.llm import decontaminate, fingerprints, language, licenses, lm, packing, sharding, token_files
 from rulefold.session import shared_folder
 
 #: Production shards of the sharding query.
@@ -84,12 +84,18 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs, licenses.fit(docs))
+
+
 QUERIES = {
     "op2_lm_score": op2_lm_score,
     "op3_token_files": op3_token_files,
     "op5_decontaminate": op5_decontaminate,
     "op6_fingerprints": op6_fingerprints,
     "op7_language": op7_language,
+    "op8_licenses": op8_licenses,
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
 }
