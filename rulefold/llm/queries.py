@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulefold.llm import decontaminate, fingerprints, language, licenses, lm, packing, sharding, token_files
+from rulefold.llm import decontaminate, fingerprints, jaccard, language, licenses, lm, packing, sharding, token_files
 from rulefold.session import shared_folder
 
 #: Production shards of the sharding query.
@@ -89,7 +89,12 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs, licenses.fit(docs))
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_lm_score": op2_lm_score,
     "op3_token_files": op3_token_files,
     "op5_decontaminate": op5_decontaminate,
