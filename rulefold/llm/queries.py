@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulefold.llm import decontaminate, fingerprints, jaccard, language, licenses, lm, packing, sharding, token_files
+from rulefold.llm import decontaminate, fingerprints, jaccard, language, licenses, lm, packing, repeats, sharding, token_files
 from rulefold.session import shared_folder
 
 #: Production shards of the sharding query.
@@ -93,10 +93,15 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.cut(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_lm_score": op2_lm_score,
     "op3_token_files": op3_token_files,
+    "op4_repeats": op4_repeats,
     "op5_decontaminate": op5_decontaminate,
     "op6_fingerprints": op6_fingerprints,
     "op7_language": op7_language,
