@@ -215,13 +215,14 @@ def has_letter(data: np.ndarray) -> bool:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, penalty: float = PENALTY) -> Model:
-    """Learn from rows with a text and a language. Raises ValueError where there is none."""
+    """Learn from rows with a text and a language. Without any the model knows no language and calls every text `und`."""
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter(
         F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text") <= MOST_BYTES)
     )
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        raise ValueError("no labelled text to learn from")
+        none = np.zeros((1 << BITS, 0), np.float32)
+        return Model([], none, none, np.zeros((len(_NAMES) + 1, 0), bool), penalty)
     rate = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample / n))))
     draw = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003
     drawn = rows.filter(draw < rate[F.col("lang")]).toArrow()
@@ -254,6 +255,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text", with_spans: bool
     those names are replaced; an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    if not model.languages:
+        nothing = docs.drop("lang_pred", "score").withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        return nothing.withColumn("spans", F.expr("cast(array() as array<struct<lang:string,start:int,end:int>>)")) if with_spans else nothing
 
     def make():
         known = shared.value
