@@ -20,6 +20,17 @@ def _values(df: DataFrame, keys: Sequence[str]) -> list[str]:
     return [c for c in df.columns if c not in keys]
 
 
+def last_changes(log: DataFrame, keys: Sequence[str], order: Sequence[str], op: str = "op") -> DataFrame:
+    """The last change of each key, deletes included: the shortest changelog with the same table, also for changes that
+    are still to come and may be older."""
+    missing = {*keys, *order, op} - set(log.columns)
+    if missing:
+        raise ValueError(f"the changelog lacks {sorted(missing)}")
+    rest = [c for c in log.columns if c not in keys]
+    last = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("last"))
+    return last.select(*keys, *(f"last.{c}" for c in rest))
+
+
 @dataclass(frozen=True)
 class Relation:
     """A table with one row for each value of its key columns."""
@@ -33,13 +44,8 @@ class Relation:
 
         Latest-wins is max_by, which combines before the shuffle, so a key with many changes costs one row a task.
         """
-        missing = {*keys, *order, op} - set(log.columns)
-        if missing:
-            raise ValueError(f"the changelog lacks {sorted(missing)}")
-        rest = [c for c in log.columns if c not in keys]
-        last = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("last"))
-        table = last.filter(F.col(f"last.{op}") == UPSERT)
-        return cls(table.select(*keys, *(f"last.{c}" for c in rest if c != op)), tuple(keys))
+        last = last_changes(log, keys, order, op)
+        return cls(last.filter(F.col(op) == UPSERT).drop(op), tuple(keys))
 
     @classmethod
     def empty(cls, spark: SparkSession, schema: str, keys: Sequence[str]) -> Relation:

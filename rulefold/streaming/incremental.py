@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from rulefold.operators.relation import Relation, merge_changelogs
+from rulefold.operators.relation import Relation, last_changes, merge_changelogs
 
 
 class SnapshotQuery:
     """A derived relation that follows a stream of changes.
 
-    `derive` maps the folded base relation to the derived one. Below `path`: base/<batch>, derived/<batch> and
-    changes/<batch> (a changelog with op). Only the last two snapshots are ever read.
+    `derive` maps the folded base relation to the derived one. Below `path`: base/<batch> (the last change of each key),
+    derived/<batch> and changes/<batch> (a changelog with op). Only the last two snapshots are ever read.
     """
 
     def __init__(self, path: str, keys: Sequence[str], order: Sequence[str], derive: Callable[[Relation], Relation]) -> None:
@@ -35,11 +35,10 @@ class SnapshotQuery:
 
     def process(self, changes: DataFrame, batch: int) -> None:
         spark = changes.sparkSession
-        folded = Relation.from_changelog(changes, self.keys, self.order)
-        before = self._earlier(spark, "base", batch, folded.df)
-        log = merge_changelogs(before.withColumn("op", F.lit("U")).select(changes.columns), changes)
-        Relation.from_changelog(log, self.keys, self.order).df.write.mode("overwrite").parquet(f"{self.path}/base/{batch}")
-        base = Relation(spark.read.schema(folded.df.schema).parquet(f"{self.path}/base/{batch}"), tuple(self.keys))
+        log = merge_changelogs(self._earlier(spark, "base", batch, changes), changes)
+        last = last_changes(log, self.keys, self.order)
+        last.write.mode("overwrite").parquet(f"{self.path}/base/{batch}")  # with deletes: an older change may still come
+        base = Relation.from_changelog(spark.read.schema(last.schema).parquet(f"{self.path}/base/{batch}"), self.keys, self.order)
         made = self.derive(base)
         made.df.write.mode("overwrite").parquet(f"{self.path}/derived/{batch}")
         new = Relation(spark.read.schema(made.df.schema).parquet(f"{self.path}/derived/{batch}"), made.keys)
@@ -54,24 +53,23 @@ class SnapshotQuery:
 
 class _Filter(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.there = handle.getValueState("there", "present boolean")
+        self.last = handle.getValueState("last", "seq bigint, present boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:  # noqa: N802
         batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        present = self.there.exists()
+        seq, present = self.last.get() if self.last.exists() else (None, False)
         out = []
         for i in range(len(batch)):
             row = batch.iloc[[i]]
-            if row["matches"].iloc[0]:
-                out.append(row.assign(op="U"))
-                present = True
-            elif present:
-                out.append(row.assign(op="D"))
-                present = False
-        if present:
-            self.there.update((True,))
-        elif self.there.exists():
-            self.there.clear()
+            own = int(row["seq"].iloc[0])
+            if seq is not None and own < seq:
+                continue
+            seq = own
+            matches = bool(row["matches"].iloc[0])
+            if matches or present:
+                out.append(row.assign(op="U" if matches else "D"))
+            present = matches
+        self.last.update((seq, present))
         if out:
             yield pd.concat(out).drop(columns=["matches"])
 
@@ -81,7 +79,7 @@ class _Filter(StatefulProcessor):
 
 def stateful_filter(changes: DataFrame, keys: Sequence[str], condition: Column, order: str = "seq") -> DataFrame:
     """The changelog of a filtered relation from a streaming changelog: an upsert that stops matching becomes a delete,
-    if the key was there. Needs the RocksDB state store."""
+    if the key was there. Changes older than the last one seen of their key are ignored. Needs the RocksDB state store."""
     matches = (F.col("op") == "U") & F.coalesce(condition, F.lit(False))
     rows = changes.withColumnRenamed(order, "seq").withColumn("matches", matches)
     schema = rows.drop("matches").schema
@@ -90,32 +88,45 @@ def stateful_filter(changes: DataFrame, keys: Sequence[str], condition: Column,
 
 
 class _Join(StatefulProcessor):
-    def __init__(self, left: Sequence[str], right: Sequence[str], kinds: str) -> None:
-        self.left, self.right, self.kinds = list(left), list(right), kinds
+    """State for each side: the order of its last change, whether it is there, and its values."""
+
+    def __init__(self, left: Sequence[str], right: Sequence[str], types: dict[str, str], key: str) -> None:
+        self.names, self.types, self.key = {"l": list(left), "r": list(right)}, types, key
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sides = {s: handle.getValueState(s, self.kinds) for s in ("l", "r")}
+        self.states = {}
+        for side, names in self.names.items():
+            kinds = ", ".join(f"{c} {self.types[c]}" for c in names)
+            self.states[side] = handle.getValueState(side, f"__seq bigint, __there boolean, {kinds}")
+
+    def _value(self, row: pd.Series, name: str):
+        x = row[name]
+        if pd.isna(x):
+            return None
+        # columns with nulls reach pandas as floats
+        return int(x) if self.types[name] in ("tinyint", "smallint", "int", "bigint") else x
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:  # noqa: N802
         batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        held = {s: (state.get() if state.exists() else None) for s, state in self.sides.items()}
-        names = [*self.left, *self.right]
+        held = {s: tuple(state.get()) if state.exists() else None for s, state in self.states.items()}
+        names = [*self.names["l"], *self.names["r"]]
         out = []
         for _, row in batch.iterrows():
-            both = all(v is not None for v in held.values())
-            held[row["side"]] = tuple(None if pd.isna(row[c]) else row[c] for c in names) if row["op"] == "U" else None
-            if all(v is not None for v in held.values()):
-                values = [*held["l"][: len(self.left)], *held["r"][len(self.left) :]]
-                out.append((*key, "U", row["seq"], *values))
-            elif both:
-                out.append((*key, "D", row["seq"], *[None] * len(names)))
-        for s, state in self.sides.items():
-            if held[s] is not None:
+            side, seq = row["side"], int(row["seq"])
+            if held[side] and seq < held[side][0]:
+                continue
+            joined = all(v and v[1] for v in held.values())
+            there = row["op"] == "U"
+            held[side] = (seq, there, *(self._value(row, c) if there else None for c in self.names[side]))
+            if all(v and v[1] for v in held.values()):
+                out.append((*key, "U", seq, *held["l"][2:], *held["r"][2:]))
+            elif joined:
+                out.append((*key, "D", seq, *[None] * len(names)))
+        for s, state in self.states.items():
+            if held[s]:
                 state.update(held[s])
-            elif state.exists():
-                state.clear()
         if out:
-            yield pd.DataFrame(out, columns=[*self.key_names, "op", "seq", *names])
+            yield pd.DataFrame(out, columns=[self.key, "op", "seq", *names]).astype(object)
 
     def close(self) -> None:
         pass
@@ -123,15 +134,14 @@ class _Join(StatefulProcessor):
 
 def stateful_join(left: DataFrame, right: DataFrame, key: str, order: str = "seq") -> DataFrame:
     """The changelog of the inner join of two relations from their streaming changelogs (key, op, order, values).
-    Deletes come only for keys that were joined. Needs the RocksDB state store."""
+    Deletes come only for keys that were joined; changes older than the last one seen of their key and side are
+    ignored; the order of a result is that of the change that caused it. Needs the RocksDB state store."""
     fixed = {key, "op", order}
     a, b = ([c for c in df.columns if c not in fixed] for df in (left, right))
     side = lambda df, tag: df.withColumn("side", F.lit(tag)).withColumnRenamed(order, "seq")
     both = side(left, "l").unionByName(side(right, "r"), allowMissingColumns=True)
     types = dict(both.dtypes)
     kinds = ", ".join(f"{c} {types[c]}" for c in [*a, *b])
-    processor = _Join(a, b, kinds)
-    processor.key_names = [key]
     schema = f"{key} {types[key]}, op string, seq {types['seq']}, {kinds}"
-    made = both.groupBy(key).transformWithStateInPandas(processor, outputStructType=schema, outputMode="Append", timeMode="None")
+    made = both.groupBy(key).transformWithStateInPandas(_Join(a, b, types, key), outputStructType=schema, outputMode="Append", timeMode="None")
     return made.withColumnRenamed("seq", order)
