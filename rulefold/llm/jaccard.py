@@ -17,7 +17,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulefold.llm import bytes as B
@@ -219,8 +219,8 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", block: int =
     )
     classes = stored(classes, "classes")
     keyed = classes.select("node", F.explode("bands").alias("band"))
-    heads = keyed.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    stars = keyed.join(heads, "band").select(F.col("node").alias("u"), F.col("head").alias("v"))
+    head = F.min("node").over(Window.partitionBy("band")).alias("v")
+    stars = keyed.select(F.col("node").alias("u"), head).filter("u <> v")
     grouped = stored(components(stars), "candidates")
     sizes = grouped.groupBy("root").agg(F.count("*").alias("members"))
     members = classes.drop("bands").join(grouped, "node").join(sizes, "root")
@@ -229,7 +229,8 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", block: int =
     members = stored(members, "members")
     tasks = 1 + members.count() // (2 * block)
     texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    chosen = texts.join(members.select("doc_id", "node", "size", "root", "blocks", "block"), "doc_id")
+    # members grow with the corpus, so they are shuffled to the texts at every size, never broadcast
+    chosen = texts.join(members.select("doc_id", "node", "size", "root", "blocks", "block").hint("merge"), "doc_id")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = chosen.select("*", other).select(
         "node", "size", "text", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),

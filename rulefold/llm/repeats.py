@@ -16,7 +16,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulefold.llm import bytes as B
@@ -197,16 +197,17 @@ def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", width: in
                 yield pa.record_batch(columns, names=["rid", "doc_id", "anchor", "content", "first", "last", "at"])
 
     schema = "rid bigint, doc_id bigint, anchor bigint, content bigint, first int, last int, at int"
-    found = rows.mapInArrow(find, schema)
-    of_anchor, of_content = Window.partitionBy("anchor"), Window.partitionBy("anchor", "content")
-    order = of_content.orderBy("doc_id", "first")
-    marked = found.select(
-        "*", F.count("*").over(of_anchor).alias("n"), F.count("*").over(of_content).alias("same"), F.row_number().over(order).alias("nth")
-    ).filter("n > 1")
+    found = stored(rows.mapInArrow(find, schema), "found")
+    # counts combine before the shuffle, and the join back may split a frequent anchor over many tasks
+    place = F.struct("doc_id", "first", "rid")
+    contents = found.groupBy("anchor", "content").agg(F.count("*").alias("same"), F.min(place).alias("head"))
+    anchors = contents.groupBy("anchor").agg(F.sum("same").alias("n")).filter("n > 1")
+    contents = contents.join(anchors, "anchor")
+    marked = found.join(contents, ["anchor", "content"]).withColumn("leads", place.eqNullSafe(F.col("head"))).drop("head")
     marked = stored(marked, "runs")
-    whole = (F.col("nth") > 1) if first_stays else (F.col("same") > 1)
+    whole = ~F.col("leads") if first_stays else (F.col("same") > 1)
     covered = marked.filter(whole).select("rid", F.col("first").cast("bigint").alias("start"), (F.col("last") + width).cast("bigint").alias("end"))
-    differ = marked.filter("same < n and nth = 1")
+    differ = marked.filter("same < n and leads")
     wanted = F.lit(True) if first_stays else F.col("same") == 1
     busy = differ.groupBy("anchor").agg(F.count("*").alias("c")).filter(F.col("c") > hot).select("anchor", F.lit(True).alias("hot"))
     differ = differ.join(busy, "anchor", "left")

@@ -404,6 +404,21 @@ def deny_events(spark, d):
     return denied.select("o_orderkey", F.array_join("reasons", ";").alias("reasons"))
 
 
+_DENY_OLD = ORACLE["deny_events"]
+_DENY_NEW = _DENY_OLD.replace("fk % 10 <> 0 and ", "")
+
+
+@query(f"""select o_orderkey, case when n.o_orderkey is null then 'D' else 'U' end op, n.reasons from ({_DENY_OLD}) o full join
+(select * from ({_DENY_NEW})) n using (o_orderkey) where o.reasons is distinct from n.reasons""")
+def deny_changes(spark, d):
+    """What is published when berths that were missing become known: new and changed denials, and withdrawn ones."""
+    sides = []
+    for absent in (True, False):
+        denied = C.deny_events(vessels(spark, d, absent_berths=absent), FLAGSHIP)
+        sides.append(Relation(denied.select("o_orderkey", F.array_join("reasons", ";").alias("reasons")), ("o_orderkey",)))
+    return sides[0].changes_to(sides[1])
+
+
 def with_wind(spark: SparkSession, d: str) -> DataFrame:
     fields = {n: series(spark, d, kind, F.col("user_id") % 25).withColumnRenamed("k", "sensor") for n, kind in (("velocity", "view"), ("direction", "click"))}
     near = L.nearest_sensor(berth_places(spark, d), sensors(spark, d), "c_custkey")
