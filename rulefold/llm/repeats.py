@@ -8,6 +8,10 @@ suffix order (ranks by prefix doubling up to the width); the previous and next s
 each window's earlier and later matches, that is whether its longest previous (or next) factor reaches the width.
 A text is then cut at the windows with a match. The group of an anchor with more than HOT contents is split by what
 the windows of a few neighbouring places have in common, so it is many tasks.
+
+With `words` the width is a number of words, however short or long they are: a text is then read as the 64-bit hashes
+of its words (cut at ASCII white space; characters of scripts without blanks count as words), 8 bytes each, and white
+space between words does not matter.
 """
 
 from __future__ import annotations
@@ -28,6 +32,30 @@ HOT = 20_000
 NARROW = 8
 TASK_BYTES = 3_000_000
 BATCH_BYTES = 1_000_000
+CODE = 8
+#: Leading bytes of ideographs and kana (U+3000 to U+9FFF, and planes 1 to 3); bytes that continue a code point.
+_UNSPACED = np.array([0xE3 <= b <= 0xE9 or b == 0xF0 for b in range(256)])
+_CONTINUES = np.array([b & 0xC0 == 0x80 for b in range(256)])
+
+
+def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a slice, and for each text (and its end) the index of its first word."""
+    starts, ends, first = B.words(data, offsets, B.NOT_SPACE)
+    lead = np.flatnonzero(_UNSPACED[data])
+    if len(lead):
+        after = lead + np.where(data[lead] == 0xF0, 4, 3)
+        begin = np.union1d(starts, np.concatenate([lead, after[(after < len(data)) & B.NOT_SPACE[data[np.minimum(after, len(data) - 1)]]]]))
+        limit = np.append(begin[1:], len(data))
+        stop = ends[np.searchsorted(ends, begin, "right")]
+        starts, ends = begin, np.minimum(limit, stop)
+        first = np.searchsorted(starts, offsets)
+    return starts, ends, first
+
+
+def coded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A slice as the hashes of its words, CODE bytes each, and the offsets of its texts in them."""
+    starts, ends, first = units(data, offsets)
+    return B.span_hashes(B.prefix_sums(data), starts, ends).view(np.uint8), first * CODE
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, anchor: int = ANCHOR) -> dict[str, np.ndarray]:
@@ -152,13 +180,16 @@ def _matches(table: pa.Table, width: int, first_stays: bool) -> pa.Table:
     return pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("rid", "start", "end"), columns, strict=True)})
 
 
-def _contents(batches, width: int, anchor: int):
+def _contents(batches, width: int, anchor: int, words: bool = False):
     """Rows of the runs that have to be compared, with their bytes; hot ones in narrow parts."""
     for batch in batches:
         out: list[tuple] = []
         texts = batch.column("text").cast(pa.large_string())
         for i in range(batch.num_rows):
             raw = texts[i].as_buffer()
+            if words:
+                data = np.frombuffer(raw, np.uint8)
+                raw = memoryview(coded(data, np.array([0, len(data)]))[0])
             rid, doc = batch.column("rid")[i].as_py(), batch.column("doc_id")[i].as_py()
             for r in batch.column("runs")[i].as_py():
                 first, last, group = r["first"], r["last"], r["anchor"]
@@ -180,16 +211,22 @@ def _contents(batches, width: int, anchor: int):
         yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
-def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, first_stays: bool = False, hot: int = HOT) -> DataFrame:
+def repeated(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, first_stays: bool = False, hot: int = HOT, words: int | None = None
+) -> DataFrame:
     """(rid, spans): bytes covered by a window that also starts elsewhere (first_stays: that also starts earlier, in
-    the order of key and place), as an array of struct(start, end), unordered and overlapping. rid is row_id()."""
+    the order of key and place), as an array of struct(start, end), unordered and overlapping. rid is row_id(). With
+    `words` a window is so many words, in place of `width` bytes, and places are those in coded()."""
+    width = words * CODE if words else width
     anchor = max(1, width // 4)
     rows = docs.select(row_id(key, text).alias("rid"), F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
     def find(batches):
         for batch in batches:
             low = 0
-            for low, _, data, offsets in B.text_slices(batch.column("text")):
+            for low, _, data, offsets in B.text_slices(batch.column("text"), B.SLICE // 2 if words else B.SLICE):
+                if words:
+                    data, offsets = coded(data, offsets)
                 r = runs(data, offsets, width, anchor)
                 take = pa.array(r["text"] + low)
                 columns = [batch.column("rid").take(take), batch.column("doc_id").take(take)]
@@ -212,11 +249,11 @@ def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", width: in
     busy = differ.groupBy("anchor").agg(F.count("*").alias("c")).filter(F.col("c") > hot).select("anchor", F.lit(True).alias("hot"))
     differ = differ.join(busy, "anchor", "left")
     run = F.struct("anchor", "first", "last", "at", wanted.alias("wanted"), F.coalesce("hot", F.lit(False)).alias("hot"))
-    by_text = differ.groupBy("rid").agg(F.collect_list(run).alias("runs"))
+    by_text = differ.groupBy("rid").agg((F.collect_set if first_stays else F.collect_list)(run).alias("runs"))
     volume = differ.agg(F.sum(F.col("last") - F.col("first") + width)).first()[0] or 0
     chosen = rows.join(by_text, "rid").dropDuplicates(["rid"]) if first_stays else rows.join(by_text, "rid")
     parts = chosen.mapInArrow(
-        lambda batches: _contents(batches, width, anchor), "group bigint, rid bigint, doc_id bigint, first bigint, wanted boolean, content binary"
+        lambda batches: _contents(batches, width, anchor, bool(words)), "group bigint, rid bigint, doc_id bigint, first bigint, wanted boolean, content binary"
     )
     task = F.pmod(F.xxhash64("group"), F.lit(1 + volume // TASK_BYTES))
     fine = parts.withColumn("task", task).groupBy("task").applyInArrow(lambda t: _matches(t, width, first_stays), "rid bigint, start bigint, end bigint")
@@ -228,15 +265,25 @@ def row_id(key: str, text: str) -> Column:
     return F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))
 
 
-def cut(docs: DataFrame, text: str = "text", key: str = "doc_id", with_text: bool = False, **options) -> DataFrame:
+def _bytes_of(raw: bytes, spans: list[list[int]]) -> list[list[int]]:
+    """Spans of coded() as spans of the text: whole words, each with the blanks before it, the last with those after."""
+    data = np.frombuffer(raw, np.uint8)
+    _, ends, _ = units(data, np.array([0, len(data)]))
+    edges = np.concatenate([[0], ends])
+    edges[-1] = len(data)
+    return [[int(edges[-(-a // CODE)]), int(edges[b // CODE])] for a, b in spans]
+
+
+def cut(docs: DataFrame, text: str = "text", key: str = "doc_id", with_text: bool = False, single: bool = False, **options) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 (of the remaining bytes); with_text
     also kept_text, where a code point that is only partly covered stays. Columns of those names are replaced.
 
     Options are those of repeated(). A null text is empty (kept_text: null); texts shorter than the width keep all;
-    repeated rows are copies of each other; an empty table gives an empty one.
+    repeated rows are copies of each other (single: one of them stays); an empty table gives an empty one.
     """
     spans = repeated(docs, text, key, **options).withColumnRenamed("rid", "__rid").withColumnRenamed("spans", "__spans")
-    rows = docs.withColumn("__own", row_id(key, text)).join(spans, F.col("__own") == F.col("__rid"), "left").drop("__rid", "__own")
+    rows = docs.withColumn("__own", row_id(key, text)).join(spans, F.col("__own") == F.col("__rid"), "left")
+    rows = (rows.dropDuplicates(["__own"]) if single else rows).drop("__rid", "__own")
 
     def make():
         def run(batch: pa.RecordBatch) -> dict:
@@ -252,6 +299,8 @@ def cut(docs: DataFrame, text: str = "text", key: str = "doc_id", with_text: boo
                             merged[-1][1] = max(merged[-1][1], b)
                         else:
                             merged.append([a, b])
+                    if options.get("words"):
+                        merged = _bytes_of(raw, merged)
                 edges = [0, *(x for m in merged for x in m), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 made["n_bytes"].append(len(raw))
@@ -277,8 +326,8 @@ def cut(docs: DataFrame, text: str = "text", key: str = "doc_id", with_text: boo
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """The documents without later copies of passages (the first stays), with the columns of docs. Documents of which
     nothing remains go, and so do rows that repeat both key and text."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    packed = docs.dropDuplicates([key, text]).select(F.struct(*columns).alias("row"), F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
-    made = cut(packed, "t", "k", with_text=True, first_stays=True, **options)
+    others = F.struct(F.lit(0).alias("__"), *(F.col(f"`{c}`") for c in docs.columns if c != text))
+    packed = docs.select(others.alias("row"), F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
+    made = cut(packed, "t", "k", with_text=True, single=True, first_stays=True, **options)
     made = made.filter((F.col("n_removed") == 0) | (F.length("kept_text") > 0))
     return made.select(*((F.col("kept_text") if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

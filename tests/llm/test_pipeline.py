@@ -1,6 +1,7 @@
 """The pipeline's stages against brute force on a small corpus, and its odd tables."""
 
 import itertools
+import random
 
 import pytest
 
@@ -63,3 +64,23 @@ def test_run_and_empty_tables(spark, folder):
         out = stage(spark, docs, folder)
         assert out.count() == 0 and (last or out.columns == docs.columns)
     assert UNKNOWN == "und"
+
+
+def test_passages_are_counted_in_words(spark):
+    """Repeats of 51 to 60 short words go, with other white space too, and of 50 long ones stay."""
+    rng = random.Random(8)
+
+    def short(n):
+        return " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(1, 4))) for _ in range(n))
+
+    rows, want = [], {}
+    for k, n in enumerate([*range(51, 61), 50, 49]):
+        passage, head, tail = (short(n), short(30), short(20)) if n > 50 else (prose(900 + n, n), short(30), short(20))
+        rows += [(2 * k, f"{short(25)}\n{passage} {short(10)}"), (2 * k + 1, f"{head} {passage.replace(' ', chr(10), 3)} {tail}")]
+        want |= {2 * k: rows[-2][1], 2 * k + 1: f"{head} {tail}" if n > 50 else rows[-1][1]}
+    signs = ["".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(n)) for n in (60, 9, 9, 50)]
+    rows += [(90, f"{signs[1]}{signs[0]}"), (91, f"ab {signs[0]}{signs[2]} cd"), (92, signs[3] + "x"), (93, "y " + signs[3]), (94, f" {signs[0]}\n")]
+    want |= {90: rows[-5][1], 91: f"ab{signs[2]} cd", 92: rows[-3][1], 93: rows[-2][1]}
+    docs = spark.createDataFrame([(k, t, len(t)) for k, t in rows], "doc_id bigint, text string, n_chars int")
+    got = dict(corpus_pipeline.passages(spark, docs, "").select("doc_id", "text").collect())
+    assert got == want
