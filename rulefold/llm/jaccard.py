@@ -17,7 +17,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulefold.llm import bytes as B
@@ -172,8 +172,13 @@ def _verify(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(node), pa.array(links), pa.array(least)], names=["node", "links", "least"])
 
 
+def _rid(text: str, key: str) -> Column:
+    """What tells rows apart, null keys too: a hash of key and text."""
+    return F.xxhash64(F.col(f"`{key}`").cast("bigint"), F.col(f"`{text}`"))
+
+
 def _read(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """doc_id, node (digest of the set), n_shingles (distinct), bands; node is null for a text without words."""
+    """rid, doc_id, node (digest of the set), n_shingles (distinct), bands; node is null for a text without words."""
 
     def make():
         def run(batch: pa.RecordBatch) -> dict:
@@ -202,20 +207,16 @@ def _read(docs: DataFrame, text: str, key: str) -> DataFrame:
 
         return run
 
-    rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    rows = docs.select(_rid(text, key).alias("rid"), F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return B.extended(rows, "node bigint, n_shingles bigint, bands array<bigint>", make, drop=("text",))
 
 
-def join(docs: DataFrame, text: str = "text", key: str = "doc_id", block: int = BLOCK) -> DataFrame:
-    """One row a document: doc_id, class_id (least doc_id of its near-duplicate group: documents connected by links),
-    n_links (other documents with a similarity of 0.8 or more), n_shingles (distinct).
-
-    A null text and one without words link to nothing and form a class of their own each; exact copies link to each
-    other; repeated rows count each; an empty table gives an empty one; other columns are left out.
-    """
+def _groups(docs: DataFrame, text: str, key: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of _read(), and for each node its group's head (the least row: struct of none, doc_id, rid, where rows
+    without a key come last) and n_links."""
     read = stored(_read(docs, text, key), "shingles")
     classes = read.filter("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.count("*").alias("size"), F.first("bands").alias("bands")
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("head"), F.count("*").alias("size"), F.first("bands").alias("bands")
     )
     classes = stored(classes, "classes")
     keyed = classes.select("node", F.explode("bands").alias("band"))
@@ -223,14 +224,14 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", block: int =
     stars = keyed.select(F.col("node").alias("u"), head).filter("u <> v")
     grouped = stored(components(stars), "candidates")
     sizes = grouped.groupBy("root").agg(F.count("*").alias("members"))
-    members = classes.drop("bands").join(grouped, "node").join(sizes, "root")
+    members = classes.select("node", "size", F.col("head.rid").alias("rid")).join(grouped, "node").join(sizes, "root")
     blocks = F.ceil(F.col("members") / block).cast("int")
     members = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     members = stored(members, "members")
     tasks = 1 + members.count() // (2 * block)
-    texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    texts = docs.select(_rid(text, key).alias("rid"), F.col(f"`{text}`").alias("text"))
     # members grow with the corpus, so they are shuffled to the texts at every size, never broadcast
-    chosen = texts.join(members.select("doc_id", "node", "size", "root", "blocks", "block").hint("merge"), "doc_id")
+    chosen = texts.join(members.select("rid", "node", "size", "root", "blocks", "block").hint("merge"), "rid")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = chosen.select("*", other).select(
         "node", "size", "text", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
@@ -241,16 +242,30 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", block: int =
     linked_to = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("u"), F.col("least").alias("v")))
     info = classes.drop("bands").join(linked_to, "node", "left").join(roots, "node", "left")
-    info = info.select("node", "doc_id", "size", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
-    heads = info.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    info = info.join(heads, "root").select("node", "class_id", (F.col("links") + F.col("size") - 1).alias("n_links"))
-    out = read.drop("bands").join(info, "node", "left")
+    info = info.select("node", "head", "size", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
+    heads = info.groupBy("root").agg(F.min("head").alias("head"))
+    return read, info.drop("head").join(heads, "root").select("node", "head", (F.col("links") + F.col("size") - 1).alias("n_links"))
+
+
+def join(docs: DataFrame, text: str = "text", key: str = "doc_id", block: int = BLOCK) -> DataFrame:
+    """One row a document: doc_id, class_id (least doc_id of its near-duplicate group: documents connected by links),
+    n_links (other documents with a similarity of 0.8 or more), n_shingles (distinct).
+
+    A null text and one without words link to nothing and form a class of their own each; exact copies link to each
+    other; repeated rows count each; an empty table gives an empty one; other columns are left out.
+    """
+    read, info = _groups(docs, text, key, block)
+    out = read.drop("bands").join(info.select("node", F.col("head.doc_id").alias("class_id"), "n_links"), "node", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_shingles")
 
 
 def kept(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The documents with one of each near-duplicate group, the one of the least id; the columns of docs. Rows of an
-    id that repeats: one of them stays."""
-    found = join(docs, text, key).filter("class_id is null or class_id = doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    one = docs.dropDuplicates([key]) if key in docs.columns else docs
-    return one.join(found, one[key].eqNullSafe(found["__id"]), "left_semi")
+    """The documents with one of each near-duplicate group, the one of the least id (of equal ids, and without one:
+    any, but always one row); the columns of docs. Rows without words are near nothing and all stay."""
+    read, info = _groups(docs, text, key, BLOCK)
+    heads = info.select(F.col("head.rid").alias("__rid"), F.lit(False).alias("__bare"))
+    stay = heads.unionByName(read.filter("node is null").select(F.col("rid").alias("__rid"), F.lit(True).alias("__bare"))).distinct()
+    rows = docs.withColumn("__own", _rid(text, key)).join(stay, F.col("__own") == F.col("__rid"))
+    # copies of one key and text are one row, but for those without words
+    rows = rows.withColumn("__each", F.when(F.col("__bare"), F.monotonically_increasing_id())).dropDuplicates(["__own", "__each"])
+    return rows.drop("__own", "__rid", "__bare", "__each")

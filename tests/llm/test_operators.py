@@ -69,6 +69,18 @@ def test_jaccard_join_on_odd_rows(odd, odd_rows):
     assert jaccard.join(odd.limit(0)).count() == 0 and jaccard.kept(odd.limit(0)).count() == 0
 
 
+def test_rows_without_or_with_equal_ids_are_judged_each(spark):
+    a, b, c, d = (prose(70 + k, 60) for k in range(4))
+    near = " ".join([*a.split()[:-1], "other"])
+    rows = [(None, a), (None, near), (None, b), (5, c), (5, d), (6, c), (7, prose(80, 50)), (7, prose(80, 50)), (None, None), (None, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    links, _ = brute_links(rows)
+    assert sorted((r.doc_id or -1, r.n_links) for r in jaccard.join(docs).collect()) == sorted((k or -1, links[i]) for i, (k, _) in enumerate(rows))
+    got = Counter((r.doc_id, r.text) for r in jaccard.kept(docs).collect())
+    assert got.pop((None, a), 0) + got.pop((None, near), 0) == 1
+    assert got == Counter([(None, b), (5, c), (5, d), rows[6], (None, None), (None, None), (8, "")])
+
+
 def test_pruning_keeps_likely_pairs():
     least = jaccard.least_matches()
     assert all(0 <= m < 0.8 * n for n, m in least.items()) and least[128] > 60
