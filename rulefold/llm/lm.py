@@ -1,36 +1,35 @@
 """Language-model scoring by a weighted backoff automaton over smoothed n-grams learnt from the corpus itself.
 
-States are the root (no history), the start of a text and every context: a word that makes up at least `share` of the
-training tokens (so there are 1/share contexts at most, however large the corpus). A state has an arc for each word
+States are the root (no history), the start of a text and every word of the training texts. A state has an arc for each word
 that followed it in training, and a failure arc to the root. With c() counts over all training texts,
 
     root arc      P(w) = (c(w) + 1/2) / (N + (V + 1) / 2)                one unknown word included
     arc of s      P(w | s) = (c(s w) + K P(w)) / (c(s) + K)
     failure arc   K / (c(s) + K)
 
-so the arcs of each state and what failure adds sum to 1. After a word the state is the word's own if it is a context,
-else the root; a text is traversed once from the start state to its end token, adding up logarithms. The traversal is
+so the arcs of each state and what failure adds sum to 1. After a word the state is the word's own; without training
+counts that is the root's (c(s) = 0 makes every arc the root's); a text is traversed once from the start state to its end token, adding up logarithms. The traversal is
 done for whole slices of texts at a time: the state carried into a token depends on the token before it alone.
 
 Counting and scoring are one dataflow over blocks of documents (about BLOCK bytes each, by a hash of the key). A block
-sends its distinct n-grams with its training counts; a window over the n-gram's 64-bit key adds them up; totals go
-back only to blocks that do not know them already; then each block, with its texts and totals, is scored alone. So what
+sends its distinct n-grams with its training counts, packed by ranges of the n-gram's 64-bit key; each range is added
+up by one task; totals go back only to blocks that do not know them already (a history's count is the total of its own
+word, or the number of texts); then each block, with its texts and totals, is scored alone. So what
 moves grows with the corpus, the vocabulary is never broadcast, and frequent words are pre-aggregated.
 """
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulefold.llm import bytes as B
-from rulefold.session import stored
 
-SHARE = 1e-4
 CONCENTRATION = 5_000.0
 BLOCK = 24_000_000
 _LOWER_BYTE = B.BYTE[B.LOWER]
@@ -41,17 +40,12 @@ _PAIR = np.uint64(0xA24BAED4963EE407)
 
 @dataclass
 class Totals:
-    """What every block needs: training tokens and types, and the contexts (sorted keys with counts)."""
+    """What every block needs: training tokens, types and texts, and the least count of a context."""
 
     tokens: int
     types: int
-    contexts: np.ndarray
-    counts: np.ndarray
-
-    def context(self, keys: np.ndarray) -> np.ndarray:
-        """Index of each key among the contexts, -1 for the root."""
-        at = np.minimum(np.searchsorted(self.contexts, keys), len(self.contexts) - 1)
-        return np.where(self.contexts[at] == keys, at, -1)
+    texts: int
+    least: float
 
 
 def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,34 +71,70 @@ def _one(column: pa.ChunkedArray) -> pa.Array:
 
 
 class _Block:
-    """Tokens of a block, its distinct words and context pairs, and their training counts within the block."""
+    """Tokens of a block, its distinct words and pairs of words, and their training counts within the block."""
 
-    def __init__(self, table: pa.Table, totals: Totals) -> None:
+    def __init__(self, table: pa.Table) -> None:
         self.tokens, self.first = _all_tokens(_one(table["text"]).cast(pa.large_string()))
         train = np.repeat(_one(table["train"]).to_numpy(zero_copy_only=False).astype(bool), np.diff(self.first))
-        history = np.empty_like(self.tokens)
-        history[1:] = self.tokens[:-1]
-        history[self.first[:-1]] = START
-        self.state = totals.context(history)
-        self.arcs = np.flatnonzero(self.state >= 0)
-        pairs = B.mixed(history[self.arcs] * _PAIR + self.tokens[self.arcs])
-        self.words, self.word_at = np.unique(self.tokens, return_inverse=True)
-        self.pairs, self.pair_at = np.unique(pairs, return_inverse=True)
+        pairs = np.empty_like(self.tokens)
+        pairs[1:] = self.tokens[:-1]
+        pairs[self.first[:-1]] = START
+        pairs *= _PAIR
+        pairs += self.tokens
+        self.words, at = np.unique(self.tokens, return_inverse=True)
+        self.word_at = at.astype(np.int32)
+        self.pairs, at = np.unique(B.mixed(pairs), return_inverse=True)
+        self.pair_at = at.astype(np.int32)
         self.word_counts = np.bincount(self.word_at[train], minlength=len(self.words))
-        self.pair_counts = np.bincount(self.pair_at[train[self.arcs]], minlength=len(self.pairs))
+        self.pair_counts = np.bincount(self.pair_at[train], minlength=len(self.pairs))
+
+
+def _written(keys: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
+    """Ascending keys as differences and their counts, both byte plane by byte plane, which compresses them."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return tuple(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes() for x in (steps, n.astype(np.int64)))
+
+
+def _read(keys: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, n = (np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.uint64).ravel() for x in (keys, n))
+    return np.cumsum(steps, dtype=np.uint64), n.view(np.int64)
+
+
+def _packed(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "range", "keys", "n"])
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """One range of keys: the totals that each block does not know."""
+    parts = [_read(k.as_py(), n.as_py()) for k, n in zip(table["keys"], table["n"], strict=True)]
+    keys = np.concatenate([k for k, _ in parts])
+    own = np.concatenate([n for _, n in parts])
+    distinct, at = np.unique(keys, return_inverse=True)
+    total = np.zeros(len(distinct), np.int64)
+    np.add.at(total, at, own)
+    total, low, out = total[at], 0, []
+    for i, (k, n) in enumerate(parts):
+        t = total[low : low + len(k)]
+        other = t != n
+        out.append((table["block"][i].as_py(), table["range"][i].as_py(), *_written(k[other], t[other])))
+        low += len(k)
+    return _packed(out)
 
 
 def score(
-    docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id", share: float = SHARE,
+    docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id", share: float = 0.0,
     concentration: float = CONCENTRATION, block_bytes: int = BLOCK,
 ) -> DataFrame:
     """One row a document: doc_id, train, n_tokens, n_known, train_tokens, base_score (root arcs alone), score.
 
+    share: words of a smaller share of the training tokens are no contexts (0: every word is one).
+
     train says which rows to learn from (null: learn). A null or empty text is the end token alone; repeated rows count
     each time and score alike; without training rows every token is unknown and scores 0 (the one class there is);
     other columns are left out; an empty table gives an empty one.
     """
-    spark = docs.sparkSession
     rows = docs.select(
         F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.coalesce(train, F.lit(True)).alias("train")
     )
@@ -119,47 +149,45 @@ def score(
             yield pa.record_batch([pa.array(words.view(np.int64)), pa.array(n)], names=["key", "n"])
 
     learnt = rows.filter("train").select("text").mapInArrow(count, "key bigint, n bigint")
-    counted = stored(learnt.groupBy("key").agg(F.sum("n").alias("n")), "words")
-    begin = int(START.astype(np.int64))
-    words = counted.filter(F.col("key") != begin)
-    n_tokens, n_types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    often = counted.filter((F.col("n") >= share * max(n_tokens, 1)) | (F.col("key") == begin)).filter(
-        F.col("key") != int(END.astype(np.int64))
-    )
-    known = dict([(begin, 0)] + [(r["key"], r["n"]) for r in often.collect()])
-    keys = np.array(list(known), np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    totals = Totals(n_tokens, n_types, keys[order], np.array(list(known.values()), float)[order])
-    shared = spark.sparkContext.broadcast(totals)
+    counted = learnt.groupBy("key").agg(F.sum("n").alias("n"))
+    begin = F.col("key") == int(START.astype(np.int64))
+    sums = [F.sum(F.when(~begin, F.col("n"))), F.count(F.when(~begin, 1)), F.sum(F.when(begin, F.col("n")))]
+    n_tokens, n_types, n_texts = (x or 0 for x in counted.agg(*sums).first())
+    totals = Totals(n_tokens, n_types, n_texts, share * max(n_tokens, 1))
+    ranges = 2 * (1 + volume // block_bytes)
 
     def request(table: pa.Table) -> pa.Table:
-        block = _Block(table, shared.value)
+        block = _Block(table)
+        number = table["block"][0].as_py()
         keys = np.concatenate([block.words, block.pairs])
         n = np.concatenate([block.word_counts, block.pair_counts])
-        number = table["block"][0].as_py()
-        return pa.table(
-            [pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), number, np.int32)), pa.array(n.astype(np.int32))],
-            names=["key", "block", "n"],
-        )
+        del block
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+        edges = np.searchsorted(keys, np.array([-(-(k << 64) // ranges) for k in range(ranges)], np.uint64))
+        edges = np.append(edges, len(keys))
+        return _packed([(number, k, *_written(keys[a:b], n[a:b])) for k, (a, b) in enumerate(itertools.pairwise(edges)) if a < b])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        totals = shared.value
-        block = _Block(left, totals)
-        keys, n = (_one(right[c]).to_numpy(zero_copy_only=False) for c in ("key", "total"))
-        keys = keys.view(np.uint64)
-        for own, counts in ((block.words, block.word_counts), (block.pairs, block.pair_counts)):
-            if len(own):
-                at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
-                same = own[at] == keys
-                counts[at[same]] = n[same]
+        block = _Block(left)
+        for k, n in zip(right["keys"], right["n"], strict=True):
+            keys, total = _read(k.as_py(), n.as_py())
+            for own, counts in ((block.words, block.word_counts), (block.pairs, block.pair_counts)):
+                if len(own):
+                    at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+                    same = own[at] == keys
+                    counts[at[same]] = total[same]
         c = block.word_counts[block.word_at]
         root = (c + 0.5) / (totals.tokens + 0.5 * (totals.types + 1))
         weight = np.log10(root)
         base = _by_text(weight, block.first)
-        state = block.state[block.arcs]
-        seen = totals.counts[state]
-        arc = (block.pair_counts[block.pair_at] + concentration * root[block.arcs]) / (seen + concentration)
-        weight[block.arcs] = np.log10(arc)  # without a pair's count this is the failure arc, then the root's
+        seen = np.empty(len(c))
+        seen[1:] = c[:-1]
+        seen[block.first[:-1]] = totals.texts
+        arcs = seen >= totals.least
+        arcs[block.first[:-1]] = True
+        arc = (block.pair_counts[block.pair_at] + concentration * root) / (seen + concentration)
+        weight[arcs] = np.log10(arc[arcs])  # without a pair's count this is the failure arc, then the root's
         size = len(left)
         return pa.table(
             {
@@ -170,9 +198,9 @@ def score(
             }
         )
 
-    requests = rows.groupBy("block").applyInArrow(request, "key bigint, block int, n int")
-    total = F.sum("n").over(Window.partitionBy("key")).alias("total")
-    answers = requests.select("key", "block", "n", total).filter("total <> n").select("block", "key", "total")
+    packed = "block int, range int, keys binary, n binary"
+    requests = rows.groupBy("block").applyInArrow(request, packed)
+    answers = requests.groupBy("range").applyInArrow(_added, packed)
     kind = dict(rows.dtypes)["doc_id"]
     schema = f"doc_id {kind}, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)

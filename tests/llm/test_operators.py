@@ -122,6 +122,23 @@ def test_lm_against_the_formulas(spark, odd_rows):
         assert sum(arc(s, w) for w in [*c, "never seen"]) == pytest.approx(1)
 
 
+def test_lm_learns_bigrams_after_rare_words(spark):
+    rows = [(k, prose(700 + k, 900)) for k in range(24)] + [(30, "rareone raretwo rarethree")] * 2 + [(31, "rareone raretwo never")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in lm.score(docs, F.col("doc_id") != 31, block_bytes=20_000).collect()}
+    tokens = {k: [*t.split(), "\0"] for k, t in rows}
+    learnt = [[*t.split(), "\0"] for k, t in rows if k != 31]
+    c = Counter(x for t in learnt for x in t)
+    n, v, size = sum(c.values()), len(c), lm.CONCENTRATION
+    assert c["rareone"] < 1e-4 * n
+    pairs = Counter(p for t in learnt for p in itertools.pairwise(["<s>", *t]))
+    context = c | {"<s>": len(learnt)}
+    for k, t in tokens.items():
+        root = {w: (c[w] + 0.5) / (n + 0.5 * (v + 1)) for w in t}
+        want = sum(math.log10((pairs[s, w] + size * root[w]) / (context.get(s, 0) + size)) for s, w in itertools.pairwise(["<s>", *t]))
+        assert got[k].score == pytest.approx(want, rel=1e-9)
+
+
 def test_lm_on_odd_rows(odd, odd_rows):
     got = lm.score(odd, F.col("doc_id") > 6).collect()
     assert len(got) == len(odd_rows) and all(r.score <= 0 for r in got)
