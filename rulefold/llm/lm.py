@@ -1,51 +1,47 @@
 """Language-model scoring by a weighted backoff automaton over smoothed n-grams learnt from the corpus itself.
 
-States are the root (no history), the start of a text and every word of the training texts. A state has an arc for each word
-that followed it in training, and a failure arc to the root. With c() counts over all training texts,
-
-    root arc      P(w) = (c(w) + 1/2) / (N + (V + 1) / 2)                one unknown word included
-    arc of s      P(w | s) = (c(s w) + K P(w)) / (c(s) + K)
-    failure arc   K / (c(s) + K)
-
-so the arcs of each state and what failure adds sum to 1. After a word the state is the word's own; without training
-counts that is the root's (c(s) = 0 makes every arc the root's); a text is traversed once from the start state to its end token, adding up logarithms. The traversal is
-done for whole slices of texts at a time: the state carried into a token depends on the token before it alone.
-
-Counting and scoring are one dataflow over blocks of documents (about BLOCK bytes each, by a hash of the key). A block
-sends its distinct n-grams with its training counts, packed by ranges of the n-gram's 64-bit key; each range is added
-up by one task; totals go back only to blocks that do not know them already (a history's count is the total of its own
-word, or the number of texts); then each block, with its texts and totals, is scored alone. So what
-moves grows with the corpus, the vocabulary is never broadcast, and frequent words are pre-aggregated.
+States are histories seen in training: the root (none), the start of a text, every word, and every two words in a row. A
+state has an arc for each word that followed it in training and a failure arc to the state of its history without the
+first word (the root in the end). With c() counts over all training texts,
+
+    root arc      P(w)      = (c(w) + 1/2) / (N + (V + 1) / 2)               one unknown word included
+    arc of v      P(w | v)  = (c(v w) + K1 P(w)) / (c(v) + K1)               failure arc: K1 / (c(v) + K1)
+    arc of u v    P(w | uv) = (c(u v w) + K2 P(w | v)) / (c(u v) + K2)       failure arc: K2 / (c(u v) + K2)
+
+so the arcs of each state and what failure adds sum to 1. A text is traversed once from its start to its end token; the
+state carried on is the longest known history, and a token is charged the failure arcs down to the first state that has
+an arc for it, then that arc. Whole slices of texts are traversed at a time, order by order: the state before a token
+depends on training counts of the tokens before it alone.
+
+Counting and scoring are one dataflow over blocks of documents (about BLOCK bytes each, by a hash of key and text). A
+block sends its distinct n-grams of every order with its training counts, packed by ranges of the n-gram's key; each
+range is added up by one task; totals go back only to blocks that do not know them already (a history's count is the
+total of its own n-gram, or the number of texts); then each block, with its texts and totals, is scored alone. So what
+moves grows with the corpus, no n-gram is dropped, the vocabulary is never broadcast, and frequent n-grams are
+pre-aggregated. Keys of n-grams are their order and 56 bits of a hash.
 """
 
 from __future__ import annotations
 
 import itertools
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulefold.llm import bytes as B
 
-CONCENTRATION = 5_000.0
-BLOCK = 24_000_000
+#: K1 and K2: how many counts the shorter history's distribution is worth in a state of one word, and of two.
+CONCENTRATION = (5_000.0, 8.0)
+ORDERS = len(CONCENTRATION) + 1
+BLOCK = 12_000_000
+KEY_BITS = 56
 _LOWER_BYTE = B.BYTE[B.LOWER]
 START = np.uint64(0x517A5E1F00D5EED1)
 END = np.uint64(0x0E9D0FF17E5EED02)
-_PAIR = np.uint64(0xA24BAED4963EE407)
-
-
-@dataclass
-class Totals:
-    """What every block needs: training tokens, types and texts, and the least count of a context."""
-
-    tokens: int
-    types: int
-    texts: int
-    least: float
+_LONGER = np.uint64(0xA24BAED4963EE407)
 
 
 def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,147 +61,214 @@ def _all_tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(firsts)
 
 
-def _one(column: pa.ChunkedArray) -> pa.Array:
-    made = column.combine_chunks()
-    return made if isinstance(made, pa.Array) else pa.concat_arrays(made.chunks)
+def _tagged(hashes: np.ndarray, order: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - KEY_BITS)) | np.uint64(order << KEY_BITS)
+
+
+def _grams(tokens: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """For each order the key of the n-gram that ends at each token. A text's first token has no history but START, and
+    so no n-gram of three: those places get the key of none."""
+    hashes = [tokens]
+    for order in range(2, ORDERS + 1):
+        longer = np.empty_like(tokens)
+        longer[1:] = hashes[-1][:-1]
+        longer[first[:-1]] = START
+        longer *= _LONGER
+        longer += tokens
+        hashes.append(B.mixed(longer))
+        if order > 2:
+            hashes[-1][first[:-1]] = 0
+    return [_tagged(h, k) for k, h in enumerate(hashes, 1)]
+
+
+_START_KEY = _tagged(START, 1)
 
 
 class _Block:
-    """Tokens of a block, its distinct words and pairs of words, and their training counts within the block."""
+    """Texts of a block as n-grams: for each order the distinct keys, the place of each token's among them, and their
+    training counts within the block."""
 
     def __init__(self, table: pa.Table) -> None:
-        self.tokens, self.first = _all_tokens(_one(table["text"]).cast(pa.large_string()))
-        train = np.repeat(_one(table["train"]).to_numpy(zero_copy_only=False).astype(bool), np.diff(self.first))
-        pairs = np.empty_like(self.tokens)
-        pairs[1:] = self.tokens[:-1]
-        pairs[self.first[:-1]] = START
-        pairs *= _PAIR
-        pairs += self.tokens
-        self.words, at = np.unique(self.tokens, return_inverse=True)
-        self.word_at = at.astype(np.int32)
-        self.pairs, at = np.unique(B.mixed(pairs), return_inverse=True)
-        self.pair_at = at.astype(np.int32)
-        self.word_counts = np.bincount(self.word_at[train], minlength=len(self.words))
-        self.pair_counts = np.bincount(self.pair_at[train], minlength=len(self.pairs))
+        parts = [pa.ipc.open_stream(p.as_buffer()).read_all() for p in table["rows"].combine_chunks()]
+        rows = pa.concat_tables(parts).combine_chunks()
+        self.doc_id, self.train = rows["doc_id"], rows["train"]
+        text = rows["text"]
+        tokens, self.first = _all_tokens(text.chunk(0) if text.num_chunks == 1 else pa.concat_arrays(text.chunks))
+        del parts, rows, text
+        learnt = np.repeat(self.train.to_numpy().astype(bool), np.diff(self.first))
+        self.keys, self.at, self.counts = [], [], []
+        for order, grams in enumerate(_grams(tokens, self.first), 1):
+            keys, at = np.unique(grams, return_inverse=True)
+            if order == 3:
+                learnt[self.first[:-1]] = False
+            self.keys.append(keys)
+            self.at.append(at.astype(np.int32))
+            self.counts.append(np.bincount(self.at[-1][learnt], minlength=len(keys)))
+
+    def heard(self, keys: np.ndarray, totals: np.ndarray) -> None:
+        """Take in the totals of some of the keys (ascending)."""
+        for own, counts in zip(self.keys, self.counts, strict=True):
+            low, high = np.searchsorted(keys, [own[0], own[-1] + np.uint64(1)]) if len(own) else (0, 0)
+            counts[np.searchsorted(own, keys[low:high])] = totals[low:high]
+
+    def traversed(self, tokens: int, types: int, texts: int, concentration: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each token: whether it has a training count, log10 of its root arc, log10 of its charge."""
+        c = [counts[at] for counts, at in zip(self.counts, self.at, strict=True)]
+        root = (c[0] + 0.5) / (tokens + 0.5 * (types + 1))
+        arc = [root]
+        charge = np.zeros(len(root))
+        seen = []  # training count of the state of each length before the token; without one there is no such state
+        for order, k in enumerate(concentration, 1):
+            before = np.zeros(len(root))
+            before[1:] = c[order - 1][:-1]
+            before[self.first[:-1]] = texts if order == 1 else 0
+            seen.append(before)
+            arc.append((c[order] + k * arc[-1]) / (before + k))
+        walking = np.ones(len(root), bool)  # tokens without an arc yet, from the longest states down
+        for order in range(ORDERS, 1, -1):
+            k, before = concentration[order - 2], seen[order - 2]
+            found = walking & (c[order - 1] > 0)
+            charge[found] += np.log10(arc[order - 1][found])
+            walking &= ~found
+            fails = walking & (before > 0)
+            charge[fails] += np.log10(k / (before[fails] + k))
+        base = np.log10(root)
+        charge[walking] += base[walking]
+        return c[0] > 0, base, charge
+
+
+def _by_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums over each text's tokens (every text has one at least)."""
+    return np.add.reduceat(values, first[:-1], dtype=float) if len(first) > 1 else np.zeros(0)
 
 
 def _written(keys: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
-    """Ascending keys as differences and their counts, both byte plane by byte plane, which compresses them."""
+    """Ascending keys as differences and their counts, both byte plane by byte plane, compressed."""
     steps = np.diff(keys, prepend=np.uint64(0))
-    return tuple(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes() for x in (steps, n.astype(np.int64)))
+    pack = zstandard.ZstdCompressor(level=1).compress
+    return tuple(pack(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()) for x in (steps, n.astype(np.int64)))
 
 
 def _read(keys: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
-    steps, n = (np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.uint64).ravel() for x in (keys, n))
+    unpack = zstandard.ZstdDecompressor().decompress
+    steps, n = (np.ascontiguousarray(np.frombuffer(unpack(x), np.uint8).reshape(8, -1).T).view(np.uint64).ravel() for x in (keys, n))
     return np.cumsum(steps, dtype=np.uint64), n.view(np.int64)
 
 
+_PACKED = "block int, range int, keys binary, n binary"
+
+
 def _packed(rows: list[tuple]) -> pa.Table:
     columns = list(zip(*rows, strict=True)) or [()] * 4
     kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "range", "keys", "n"])
 
 
-def _added(table: pa.Table) -> pa.Table:
-    """One range of keys: the totals that each block does not know."""
+def _by_range(block: int, keys: np.ndarray, n: np.ndarray, ranges: int) -> list[tuple]:
+    """Ascending keys and their counts, cut where ranges of equally many keys of all orders end."""
+    span = ORDERS << KEY_BITS
+    edges = np.searchsorted(keys, np.array([(1 << KEY_BITS) + span * k // ranges for k in range(1, ranges)], np.uint64))
+    edges = [0, *edges.tolist(), len(keys)]
+    return [(block, k, *_written(keys[a:b], n[a:b])) for k, (a, b) in enumerate(itertools.pairwise(edges)) if a < b]
+
+
+def _summed(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """One range: the keys of each row, the distinct keys, their totals, and for all keys in a row the place there."""
     parts = [_read(k.as_py(), n.as_py()) for k, n in zip(table["keys"], table["n"], strict=True)]
-    keys = np.concatenate([k for k, _ in parts])
-    own = np.concatenate([n for _, n in parts])
-    distinct, at = np.unique(keys, return_inverse=True)
+    distinct, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
     total = np.zeros(len(distinct), np.int64)
-    np.add.at(total, at, own)
-    total, low, out = total[at], 0, []
+    np.add.at(total, at, np.concatenate([n for _, n in parts]))
+    return parts, distinct, total, at
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """One range of keys: the totals that each block does not know."""
+    parts, _, total, at = _summed(table)
+    low, out = 0, []
     for i, (k, n) in enumerate(parts):
-        t = total[low : low + len(k)]
+        t = total[at[low : low + len(k)]]
         other = t != n
-        out.append((table["block"][i].as_py(), table["range"][i].as_py(), *_written(k[other], t[other])))
+        if other.any():
+            out.append((table["block"][i].as_py(), table["range"][i].as_py(), *_written(k[other], t[other])))
         low += len(k)
     return _packed(out)
 
 
+def _counted(table: pa.Table) -> pa.Table:
+    """One range of words: tokens, types and texts of the training texts in it (START stands for a text)."""
+    _, keys, total, _ = _summed(table)
+    begins = keys == _START_KEY
+    sums = total[~begins].sum(), (total[~begins] > 0).sum(), total[begins].sum()
+    return pa.table({k: pa.array([int(v)], pa.int64()) for k, v in zip(("tokens", "types", "texts"), sums, strict=True)})
+
+
 def score(
-    docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id", share: float = 0.0,
-    concentration: float = CONCENTRATION, block_bytes: int = BLOCK,
-) -> DataFrame:
+    docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id", concentration: tuple[float, ...] = CONCENTRATION, block_bytes: int = BLOCK
+) -> DataFrame:
     """One row a document: doc_id, train, n_tokens, n_known, train_tokens, base_score (root arcs alone), score.
 
-    share: words of a smaller share of the training tokens are no contexts (0: every word is one).
-
     train says which rows to learn from (null: learn). A null or empty text is the end token alone; repeated rows count
     each time and score alike; without training rows every token is unknown and scores 0 (the one class there is);
     other columns are left out; an empty table gives an empty one.
     """
-    rows = docs.select(
-        F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.coalesce(train, F.lit(True)).alias("train")
-    )
+    rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(1 + volume // block_bytes)).cast("int"))
+    blocks = 1 + volume // block_bytes
+    ranges = 2 * blocks
 
     def count(batches):
         for batch in batches:
-            keys, first = _all_tokens(batch.column(0).cast(pa.large_string()))
-            words, n = np.unique(keys, return_counts=True)
-            words, n = np.append(words, START), np.append(n, len(first) - 1)  # texts that begin
-            yield pa.record_batch([pa.array(words.view(np.int64)), pa.array(n)], names=["key", "n"])
-
-    learnt = rows.filter("train").select("text").mapInArrow(count, "key bigint, n bigint")
-    counted = learnt.groupBy("key").agg(F.sum("n").alias("n"))
-    begin = F.col("key") == int(START.astype(np.int64))
-    sums = [F.sum(F.when(~begin, F.col("n"))), F.count(F.when(~begin, 1)), F.sum(F.when(begin, F.col("n")))]
-    n_tokens, n_types, n_texts = (x or 0 for x in counted.agg(*sums).first())
-    totals = Totals(n_tokens, n_types, n_texts, share * max(n_tokens, 1))
-    ranges = 2 * (1 + volume // block_bytes)
+            tokens, first = _all_tokens(batch.column(0).cast(pa.large_string()))
+            keys, n = np.unique(np.append(_tagged(tokens, 1), np.full(len(first) - 1, _START_KEY)), return_counts=True)
+            yield from _packed(_by_range(0, keys, n, ORDERS * ranges)).to_batches()
+
+    learnt = rows.filter("train").select("text").mapInArrow(count, _PACKED)
+    sums = learnt.groupBy("range").applyInArrow(_counted, "tokens bigint, types bigint, texts bigint")
+    n_tokens, n_types, n_texts = (x or 0 for x in sums.agg(F.sum("tokens"), F.sum("types"), F.sum("texts")).first())
+
+    def deal(batches):
+        """The rows of a batch that go to one block, together and compressed."""
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column("block").to_numpy()
+            order = np.argsort(own, kind="stable")
+            numbers, starts = np.unique(own[order], return_index=True)
+            kept = batch.select(["doc_id", "text", "train"]).take(pa.array(order))
+            for number, (low, high) in zip(numbers.tolist(), itertools.pairwise([*starts.tolist(), len(own)]), strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, kept.schema, options=options) as out:
+                    out.write_batch(kept.slice(low, high - low))
+                yield pa.record_batch([pa.array([number], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
+
+    number = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
+    dealt = rows.withColumn("block", number).mapInArrow(deal, "block int, rows binary")
 
     def request(table: pa.Table) -> pa.Table:
         block = _Block(table)
+        keys, n = np.concatenate(block.keys), np.concatenate(block.counts)
         number = table["block"][0].as_py()
-        keys = np.concatenate([block.words, block.pairs])
-        n = np.concatenate([block.word_counts, block.pair_counts])
         del block
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order]
-        edges = np.searchsorted(keys, np.array([-(-(k << 64) // ranges) for k in range(ranges)], np.uint64))
-        edges = np.append(edges, len(keys))
-        return _packed([(number, k, *_written(keys[a:b], n[a:b])) for k, (a, b) in enumerate(itertools.pairwise(edges)) if a < b])
+        return _packed(_by_range(number, keys, n, ranges))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         block = _Block(left)
         for k, n in zip(right["keys"], right["n"], strict=True):
-            keys, total = _read(k.as_py(), n.as_py())
-            for own, counts in ((block.words, block.word_counts), (block.pairs, block.pair_counts)):
-                if len(own):
-                    at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
-                    same = own[at] == keys
-                    counts[at[same]] = total[same]
-        c = block.word_counts[block.word_at]
-        root = (c + 0.5) / (totals.tokens + 0.5 * (totals.types + 1))
-        weight = np.log10(root)
-        base = _by_text(weight, block.first)
-        seen = np.empty(len(c))
-        seen[1:] = c[:-1]
-        seen[block.first[:-1]] = totals.texts
-        arcs = seen >= totals.least
-        arcs[block.first[:-1]] = True
-        arc = (block.pair_counts[block.pair_at] + concentration * root) / (seen + concentration)
-        weight[arcs] = np.log10(arc[arcs])  # without a pair's count this is the failure arc, then the root's
-        size = len(left)
+            block.heard(*_read(k.as_py(), n.as_py()))
+        known, base, charge = block.traversed(n_tokens, n_types, n_texts, concentration)
+        size = len(block.doc_id)
         return pa.table(
             {
-                "doc_id": left["doc_id"], "train": left["train"], "n_tokens": pa.array(np.diff(block.first)),
-                "n_known": pa.array(_by_text(c > 0, block.first).astype(np.int64)),
-                "train_tokens": pa.array(np.full(size, totals.tokens, np.int64)),
-                "base_score": pa.array(base), "score": pa.array(_by_text(weight, block.first)),
+                "doc_id": block.doc_id, "train": block.train, "n_tokens": pa.array(np.diff(block.first)),
+                "n_known": pa.array(_by_text(known, block.first).astype(np.int64)),
+                "train_tokens": pa.array(np.full(size, n_tokens, np.int64)),
+                "base_score": pa.array(_by_text(base, block.first)), "score": pa.array(_by_text(charge, block.first)),
             }
         )
 
-    packed = "block int, range int, keys binary, n binary"
-    requests = rows.groupBy("block").applyInArrow(request, packed)
-    answers = requests.groupBy("range").applyInArrow(_added, packed)
+    requests = dealt.groupBy("block").applyInArrow(request, _PACKED)
+    answers = requests.groupBy("range").applyInArrow(_added, _PACKED)
     kind = dict(rows.dtypes)["doc_id"]
     schema = f"doc_id {kind}, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
-
-
-def _by_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums over each text's tokens (every text has one at least)."""
-    return np.add.reduceat(values, first[:-1], dtype=float) if len(first) > 1 else np.zeros(0)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)

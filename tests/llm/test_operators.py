@@ -95,48 +95,55 @@ def test_components_of_a_long_path(spark):
 # 2 LM scoring
 
 
-def test_lm_against_the_formulas(spark, odd_rows):
-    rows = [(i, t) for i, (_, t, _) in enumerate(odd_rows) if i != 5] + [(50 + i, prose(i, 80)) for i in range(20)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    train = F.col("doc_id") % 3 != 1
-    got = {r.doc_id: r for r in lm.score(docs, train, share=0.01, concentration=50.0, block_bytes=3_000).collect()}
+def brute_lm(rows, train, k1, k2):
+    """By document: tokens, and the score from counts of words, pairs and triples, walking the automaton arc by arc."""
     tokens = {k: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)), "\0"] for k, t in rows}
-    learnt = [t for k, t in tokens.items() if k % 3 != 1]
-    c = Counter(x for t in learnt for x in t)
-    n, v = sum(c.values()), len(c)
-    pairs = Counter(p for t in learnt for p in itertools.pairwise(["<s>", *t]))
-    contexts = {w: k for w, k in c.items() if k >= 0.01 * n and w != "\0"} | {"<s>": len(learnt)}
-
-    def root(w):
-        return (c[w] + 0.5) / (n + 0.5 * (v + 1))
+    learnt = [["<s>", *tokens[k]] for k, _ in rows if train(k)]
+    grams = Counter(tuple(t[i : i + n]) for t in learnt for n in (1, 2, 3) for i in range(len(t) - n + 1))
+    n, v = sum(len(t) - 1 for t in learnt), len({x for t in learnt for x in t[1:]})
+
+    def walk(state, w):
+        """log10 of the charge of a token in a state: its arc, or the failure arc and the walk from there."""
+        if not state:
+            return math.log10((grams[w,] + 0.5) / (n + 0.5 * (v + 1)))
+        k = k1 if len(state) == 1 else k2
+        if grams[*state, w]:
+            return math.log10((grams[*state, w] + k * 10 ** walk(state[1:], w)) / (grams[state] + k))
+        return (math.log10(k / (grams[state] + k)) if grams[state] else 0) + walk(state[1:], w)
+
+    scores = {}
+    for k, own in tokens.items():
+        state, total = ("<s>",), 0.0
+        for w in own:
+            total += walk(state, w)
+            state = (*state, w)[-2:]
+        scores[k] = total
+    return tokens, grams, n, v, walk, scores
 
-    def arc(s, w):
-        return (pairs[s, w] + 50 * root(w)) / (contexts[s] + 50) if s in contexts else root(w)
 
+def test_lm_against_the_formulas(spark, odd_rows):
+    rows = [(i, t) for i, (_, t, _) in enumerate(odd_rows) if i != 5] + [(50 + i, prose(i, 80)) for i in range(20)]
+    rows += [(80, "One two three one two three"), (81, "one TWO three"), (82, "one two four two three")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in lm.score(docs, F.col("doc_id") % 3 != 1, concentration=(50.0, 3.0), block_bytes=3_000).collect()}
+    tokens, grams, n, v, walk, scores = brute_lm(rows, lambda k: k % 3 != 1, 50, 3)
     for k, t in tokens.items():
         r = got[k]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(c[w] > 0 for w in t), n)
-        assert r.base_score == pytest.approx(sum(math.log10(root(w)) for w in t))
-        assert r.score == pytest.approx(sum(math.log10(arc(s, w)) for s, w in itertools.pairwise(["<s>", *t])))
-    for s in contexts:  # the arcs of a state, with one unknown word, sum to 1
-        assert sum(arc(s, w) for w in [*c, "never seen"]) == pytest.approx(1)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(grams[w,] > 0 for w in t), n)
+        assert r.base_score == pytest.approx(sum(walk((), w) for w in t))
+        assert r.score == pytest.approx(scores[k])
+    words_there = {g[0] for g in grams if len(g) == 1} - {"<s>"}
+    for s in (("one",), ("one", "two"), ("<s>", "one")):  # the arcs of a state, with one unknown word, sum to 1
+        assert sum(10 ** walk(s, w) for w in [*words_there, "never seen"]) == pytest.approx(1)
 
 
-def test_lm_learns_bigrams_after_rare_words(spark):
-    rows = [(k, prose(700 + k, 900)) for k in range(24)] + [(30, "rareone raretwo rarethree")] * 2 + [(31, "rareone raretwo never")]
+def test_lm_learns_after_rare_words(spark):
+    rows = [(k, prose(700 + k, 900)) for k in range(24)] + [(30, "rareone raretwo rarethree")] * 2 + [(31, "rareone raretwo rarethree never")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r.doc_id: r for r in lm.score(docs, F.col("doc_id") != 31, block_bytes=20_000).collect()}
-    tokens = {k: [*t.split(), "\0"] for k, t in rows}
-    learnt = [[*t.split(), "\0"] for k, t in rows if k != 31]
-    c = Counter(x for t in learnt for x in t)
-    n, v, size = sum(c.values()), len(c), lm.CONCENTRATION
-    assert c["rareone"] < 1e-4 * n
-    pairs = Counter(p for t in learnt for p in itertools.pairwise(["<s>", *t]))
-    context = c | {"<s>": len(learnt)}
-    for k, t in tokens.items():
-        root = {w: (c[w] + 0.5) / (n + 0.5 * (v + 1)) for w in t}
-        want = sum(math.log10((pairs[s, w] + size * root[w]) / (context.get(s, 0) + size)) for s, w in itertools.pairwise(["<s>", *t]))
-        assert got[k].score == pytest.approx(want, rel=1e-9)
+    *_, scores = brute_lm(rows, lambda k: k != 31, *lm.CONCENTRATION)
+    assert all(got[k].score == pytest.approx(scores[k], rel=1e-9) for k in got)
+    assert got[31].score > got[31].base_score + 0.4
 
 
 def test_lm_on_odd_rows(odd, odd_rows):
