@@ -15,8 +15,8 @@ depends on training counts of the tokens before it alone.
 
 Counting and scoring are one dataflow over blocks of documents (about BLOCK bytes each, by a hash of key and text). A
 block sends its distinct n-grams of every order with its training counts, packed by ranges of the n-gram's key; each
-range is added up by one task; totals go back only to blocks that do not know them already (a history's count is the
-total of its own n-gram, or the number of texts); then each block, with its texts and totals, is scored alone. So what
+range is added up by one task; what the other blocks counted goes back in the order of the block's own keys (a history's
+count is the total of its own n-gram, or the number of texts); then each block, with its texts and totals, is scored alone. So what
 moves grows with the corpus, no n-gram is dropped, the vocabulary is never broadcast, and frequent n-grams are
 pre-aggregated. Keys of n-grams are their order and 56 bits of a hash.
 """
@@ -105,11 +105,12 @@ class _Block:
             self.at.append(at.astype(np.int32))
             self.counts.append(np.bincount(self.at[-1][learnt], minlength=len(keys)))
 
-    def heard(self, keys: np.ndarray, totals: np.ndarray) -> None:
-        """Take in the totals of some of the keys (ascending)."""
-        for own, counts in zip(self.keys, self.counts, strict=True):
-            low, high = np.searchsorted(keys, [own[0], own[-1] + np.uint64(1)]) if len(own) else (0, 0)
-            counts[np.searchsorted(own, keys[low:high])] = totals[low:high]
+    def heard(self, answers: list[tuple[int, np.ndarray]], ranges: int) -> None:
+        """Add what other blocks counted: by range, in the order of this block's keys there."""
+        edges, counts = _edges(np.concatenate(self.keys), ranges), np.concatenate(self.counts)
+        for k, more in answers:
+            counts[edges[k] : edges[k + 1]] += more
+        self.counts = np.split(counts, np.cumsum([len(k) for k in self.keys])[:-1])
 
     def traversed(self, tokens: int, types: int, texts: int, concentration: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each token: whether it has a training count, log10 of its root arc, log10 of its charge."""
@@ -142,56 +143,60 @@ def _by_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, first[:-1], dtype=float) if len(first) > 1 else np.zeros(0)
 
 
-def _written(keys: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
-    """Ascending keys as differences and their counts, both byte plane by byte plane, compressed."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    pack = zstandard.ZstdCompressor(level=1).compress
-    return tuple(pack(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()) for x in (steps, n.astype(np.int64)))
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit values byte plane by byte plane, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
-def _read(keys: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
-    unpack = zstandard.ZstdDecompressor().decompress
-    steps, n = (np.ascontiguousarray(np.frombuffer(unpack(x), np.uint8).reshape(8, -1).T).view(np.uint64).ravel() for x in (keys, n))
-    return np.cumsum(steps, dtype=np.uint64), n.view(np.int64)
+def _values(planes: bytes) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(planes), np.uint8)
+    return np.ascontiguousarray(flat.reshape(8, -1).T).view(np.int64).ravel()
 
 
 _PACKED = "block int, range int, keys binary, n binary"
+_ANSWER = "block int, range int, n binary"
 
 
-def _packed(rows: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) or [()] * 4
-    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "range", "keys", "n"])
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    names, kinds = zip(*(f.split() for f in schema.split(", ")), strict=True)
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.table([pa.array(c, {"int": pa.int32(), "binary": pa.binary()}[k]) for c, k in zip(columns, kinds, strict=True)], names=list(names))
 
 
-def _by_range(block: int, keys: np.ndarray, n: np.ndarray, ranges: int) -> list[tuple]:
-    """Ascending keys and their counts, cut where ranges of equally many keys of all orders end."""
+def _edges(keys: np.ndarray, ranges: int) -> list[int]:
+    """Where ranges of equal spans of keys of all orders begin and end among ascending keys."""
     span = ORDERS << KEY_BITS
-    edges = np.searchsorted(keys, np.array([(1 << KEY_BITS) + span * k // ranges for k in range(1, ranges)], np.uint64))
-    edges = [0, *edges.tolist(), len(keys)]
-    return [(block, k, *_written(keys[a:b], n[a:b])) for k, (a, b) in enumerate(itertools.pairwise(edges)) if a < b]
+    bounds = np.array([(1 << KEY_BITS) + span * k // ranges for k in range(1, ranges)], np.uint64)
+    return [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
+
+
+def _by_range(block: int, keys: np.ndarray, n: np.ndarray, ranges: int) -> pa.Table:
+    """Ascending keys (as differences) and their counts by range."""
+    cuts = enumerate(itertools.pairwise(_edges(keys, ranges)))
+    rows = [(block, k, _planes(np.diff(keys[a:b], prepend=np.uint64(0))), _planes(n[a:b].astype(np.int64))) for k, (a, b) in cuts if a < b]
+    return _table(rows, _PACKED)
 
 
 def _summed(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """One range: the keys of each row, the distinct keys, their totals, and for all keys in a row the place there."""
-    parts = [_read(k.as_py(), n.as_py()) for k, n in zip(table["keys"], table["n"], strict=True)]
-    distinct, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    """One range: the counts of each row, the distinct keys, their totals, and for all keys in a row the place there."""
+    keys = [np.cumsum(_values(k.as_py()).view(np.uint64), dtype=np.uint64) for k in table["keys"]]
+    counts = [_values(n.as_py()) for n in table["n"]]
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.zeros(len(distinct), np.int64)
-    np.add.at(total, at, np.concatenate([n for _, n in parts]))
-    return parts, distinct, total, at
+    np.add.at(total, at, np.concatenate(counts))
+    return counts, distinct, total, at
 
 
 def _added(table: pa.Table) -> pa.Table:
-    """One range of keys: the totals that each block does not know."""
-    parts, _, total, at = _summed(table)
+    """One range of keys: for each block that asked what the others counted, in the order of its keys."""
+    counts, _, total, at = _summed(table)
     low, out = 0, []
-    for i, (k, n) in enumerate(parts):
-        t = total[at[low : low + len(k)]]
-        other = t != n
-        if other.any():
-            out.append((table["block"][i].as_py(), table["range"][i].as_py(), *_written(k[other], t[other])))
-        low += len(k)
-    return _packed(out)
+    for i, n in enumerate(counts):
+        more = total[at[low : low + len(n)]] - n
+        if more.any():
+            out.append((table["block"][i].as_py(), table["range"][i].as_py(), _planes(more)))
+        low += len(n)
+    return _table(out, _ANSWER)
 
 
 def _counted(table: pa.Table) -> pa.Table:
@@ -220,7 +225,7 @@ def score(
         for batch in batches:
             tokens, first = _all_tokens(batch.column(0).cast(pa.large_string()))
             keys, n = np.unique(np.append(_tagged(tokens, 1), np.full(len(first) - 1, _START_KEY)), return_counts=True)
-            yield from _packed(_by_range(0, keys, n, ORDERS * ranges)).to_batches()
+            yield from _by_range(0, keys, n, ORDERS * ranges).to_batches()
 
     learnt = rows.filter("train").select("text").mapInArrow(count, _PACKED)
     sums = learnt.groupBy("range").applyInArrow(_counted, "tokens bigint, types bigint, texts bigint")
@@ -250,12 +255,11 @@ def score(
         keys, n = np.concatenate(block.keys), np.concatenate(block.counts)
         number = table["block"][0].as_py()
         del block
-        return _packed(_by_range(number, keys, n, ranges))
+        return _by_range(number, keys, n, ranges)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         block = _Block(left)
-        for k, n in zip(right["keys"], right["n"], strict=True):
-            block.heard(*_read(k.as_py(), n.as_py()))
+        block.heard([(k.as_py(), _values(n.as_py())) for k, n in zip(right["range"], right["n"], strict=True)], ranges)
         known, base, charge = block.traversed(n_tokens, n_types, n_texts, concentration)
         size = len(block.doc_id)
         return pa.table(
@@ -268,7 +272,7 @@ def score(
         )
 
     requests = dealt.groupBy("block").applyInArrow(request, _PACKED)
-    answers = requests.groupBy("range").applyInArrow(_added, _PACKED)
+    answers = requests.groupBy("range").applyInArrow(_added, _ANSWER)
     kind = dict(rows.dtypes)["doc_id"]
     schema = f"doc_id {kind}, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
