@@ -59,8 +59,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def prefix_sums(data: np.ndarray, table: np.ndarray = BYTE) -> np.ndarray:
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(table[data] * powers(len(data) + 1)[0][: len(data)], out=out[1:])
+    return prefix_sums_of(table[data])
+
+
+def prefix_sums_of(weights: np.ndarray) -> np.ndarray:
+    """Prefix sums that span_hashes() takes, of symbols with these weights."""
+    out = np.zeros(len(weights) + 1, np.uint64)
+    np.cumsum(weights * powers(len(weights) + 1)[0][: len(weights)], out=out[1:])
     return out
 
 

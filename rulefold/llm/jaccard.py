@@ -7,8 +7,9 @@ a candidate pair STEP by STEP and drops it once the posterior probability (unifo
 the threshold is below TOLERANCE; what is left is verified on the sets themselves.
 
 Candidates are never emitted as pairs. Bands link classes to stars, whose components are dealt to tasks: small ones
-many to a task, a large one as pairs of blocks of at most BLOCK classes, so that no group is one task. A task returns
-a row for each of its classes: how many documents it links to there, and the least class linked with it there.
+many to a task, a large one as pairs of blocks of about BLOCK classes or BLOCK_SHINGLES shingles, so that no group is
+one task and no text is copied for each other text. A task returns a row for each of its classes: how many documents it
+links to there, and the least class linked with it there.
 """
 
 from __future__ import annotations
@@ -17,19 +18,23 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulefold.llm import bytes as B
 from rulefold.llm.components import components
-from rulefold.session import stored
+from rulefold.session import dropped, stored
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 4
 STEP = 8
 TOLERANCE = 1e-7
-BLOCK = 256
+#: Most classes, and on average most shingles, of a block; texts of a component are copied once for each of its blocks.
+BLOCK = 512
+BLOCK_SHINGLES = 1_000_000
+#: Classes of small components that share a task.
+TASK = 512
 _LOWER_BYTE = B.BYTE[B.LOWER]
 _RANDOM = np.random.RandomState(811)
 _A = _RANDOM.randint(0, 2**62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -212,23 +217,30 @@ def _read(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def _groups(docs: DataFrame, text: str, key: str, block: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of _read(), and for each node its group's head (the least row: struct of none, doc_id, rid, where rows
-    without a key come last) and n_links."""
-    read = stored(_read(docs, text, key), "shingles")
-    classes = read.filter("node is not null").groupBy("node").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("head"), F.count("*").alias("size"), F.first("bands").alias("bands")
+    """Rows of _read() without bands, and for each node its group's head (the least row: struct of none, doc_id, rid,
+    where rows without a key come last) and n_links; both stored."""
+    shingled = stored(_read(docs, text, key), "shingles")
+    read = stored(shingled.drop("bands"), "rows")
+    classes = shingled.filter("node is not null").groupBy("node").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("head"), F.count("*").alias("size"),
+        F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles"),
     )
     classes = stored(classes, "classes")
+    dropped(shingled)
     keyed = classes.select("node", F.explode("bands").alias("band"))
-    head = F.min("node").over(Window.partitionBy("band")).alias("v")
-    stars = keyed.select(F.col("node").alias("u"), head).filter("u <> v")
-    grouped = stored(components(stars), "candidates")
-    sizes = grouped.groupBy("root").agg(F.count("*").alias("members"))
-    members = classes.select("node", "size", F.col("head.rid").alias("rid")).join(grouped, "node").join(sizes, "root")
-    blocks = F.ceil(F.col("members") / block).cast("int")
+    # least node of each band of two or more, joined back: counts combine before the shuffle, the join may split a band
+    heads = keyed.groupBy("band").agg(F.min("node").alias("v"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    stars = keyed.join(heads, "band").select(F.col("node").alias("u"), "v").filter("u <> v")
+    grouped = components(stars)
+    sizes = grouped.join(classes.select("node", "n_shingles"), "node").groupBy("root").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("volume"))
+    members = classes.select("node", "size", "n_shingles", F.col("head.rid").alias("rid")).join(grouped, "node").join(sizes, "root")
+    # blocks are bounded by their members and by their sets
+    blocks = F.ceil(F.least("members", F.greatest(F.col("members") / block, F.col("volume") / BLOCK_SHINGLES))).cast("int")
     members = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = stored(members, "members")
-    tasks = 1 + members.count() // (2 * block)
+    members = stored(members.drop("volume"), "members")
+    dropped(grouped)
+    small = members.filter("blocks = 1").agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    tasks = 1 + max(small[0] // TASK, small[1] // BLOCK_SHINGLES)
     texts = docs.select(_rid(text, key).alias("rid"), F.col(f"`{text}`").alias("text"))
     # members grow with the corpus, so they are shuffled to the texts at every size, never broadcast
     chosen = texts.join(members.select("rid", "node", "size", "root", "blocks", "block").hint("merge"), "rid")
@@ -244,7 +256,9 @@ def _groups(docs: DataFrame, text: str, key: str, block: int) -> tuple[DataFrame
     info = classes.drop("bands").join(linked_to, "node", "left").join(roots, "node", "left")
     info = info.select("node", "head", "size", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
     heads = info.groupBy("root").agg(F.min("head").alias("head"))
-    return read, info.drop("head").join(heads, "root").select("node", "head", (F.col("links") + F.col("size") - 1).alias("n_links"))
+    info = stored(info.drop("head").join(heads, "root").select("node", "head", (F.col("links") + F.col("size") - 1).alias("n_links")), "groups")
+    dropped(classes, members, found, roots)
+    return read, info
 
 
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id", block: int = BLOCK) -> DataFrame:
@@ -255,7 +269,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", block: int =
     other; repeated rows count each; an empty table gives an empty one; other columns are left out.
     """
     read, info = _groups(docs, text, key, block)
-    out = read.drop("bands").join(info.select("node", F.col("head.doc_id").alias("class_id"), "n_links"), "node", "left")
+    out = read.join(info.select("node", F.col("head.doc_id").alias("class_id"), "n_links"), "node", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_shingles")
 
 

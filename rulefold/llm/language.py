@@ -5,8 +5,12 @@ script in the training texts. Each candidate scores the word by a naive Bayes mo
 (word ends included). The labels of a text are the best path over its words, where each change of language costs
 `penalty`; runs of one label are the language spans. The text's language is the one that labels most of its letters.
 
-Training uses a bounded sample: about `sample` labelled texts of each language (drawn by a hash of the text, only texts
-up to MOST_BYTES), collected to the driver. Prediction is one pass without a shuffle.
+Training uses a bounded sample: of each language about `sample` labelled texts or SAMPLE_BYTES of text, whichever is less
+(drawn by a hash of the text, whatever its length, and always the text of the least hash), collected to the driver.
+Prediction is one pass without a shuffle.
+
+Evidence that a text is in a language at all is the mean log likelihood of its n-grams in the likeliest language of each
+word. The least that a language's own training texts have, less a margin, is what a document needs to be accepted.
 """
 
 from __future__ import annotations
@@ -21,7 +25,12 @@ from pyspark.sql import functions as F
 from rulefold.llm import bytes as B
 
 SAMPLE = 1_500
-MOST_BYTES = 200_000
+SAMPLE_BYTES = 8_000_000
+#: Added to what the training texts show when evidence is asked of a document: nats an n-gram, and more for few n-grams.
+MARGIN = 1.0
+MARGIN_FEW = 20.0
+#: Letters from which on a training text counts for that.
+FEW = 200
 PENALTY = 14.0
 UNKNOWN = "und"
 BITS = 16
@@ -105,6 +114,22 @@ class Model:
     quads: np.ndarray
     allowed: np.ndarray  # script x language
     penalty: float
+    least: float = -np.inf  # the least mean log likelihood of an n-gram in the training texts
+
+    def evidence(self, s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By text: sum of the log likelihoods of its words in their likeliest languages (of those that use the word's
+        script), n-grams in these words, and letters in words of a script that no language uses."""
+        best = np.full(len(s.starts), -np.inf)
+        known = self.allowed[s.scripts]
+        for k in range(len(self.languages)):
+            sums = np.zeros(len(s.trigrams) + 1)
+            np.cumsum(self.trigrams[:, k][s.trigrams] + self.quads[:, k][s.quads], out=sums[1:])
+            best = np.where(known[:, k], np.maximum(best, sums[s.ends + 1] - sums[s.starts + 1]), best)
+        size = s.ends - s.starts
+        readable = known.any(axis=1)
+        return tuple(
+            _by_text(np.where(which, value, 0), s.first) for which, value in ((readable, best), (readable, size), (~readable, size))
+        )
 
     def word_scores(self, s: Slice) -> np.ndarray:
         """Words x languages: log likelihood of the word's n-grams, less the best candidate's."""
@@ -210,29 +235,37 @@ class Model:
         return names, confidence, spans
 
 
+def _by_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    sums = np.concatenate([[0.0], np.cumsum(values, dtype=float)])
+    return sums[first[1:]] - sums[first[:-1]]
+
+
 def has_letter(data: np.ndarray) -> bool:
     return bool((_LETTERS[data] & (data < 128)).any()) or any(c.isalpha() for c in data.tobytes().decode(errors="ignore"))
 
 
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    made = column.combine_chunks()
+    return made if isinstance(made, pa.Array) else pa.concat_arrays([c.cast(pa.large_string()) for c in made.chunks] or [pa.array([], pa.large_string())])
+
+
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, penalty: float = PENALTY) -> Model:
     """Learn from rows with a text and a language. Without any the model knows no language and calls every text `und`."""
-    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter(
-        F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text") <= MOST_BYTES)
-    )
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003
+    of_each = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.min(draw).alias("least")).collect()
+    counts = {r["lang"]: max(r["least"] + 1e-9, min(1.0, sample / r["n"], SAMPLE_BYTES / max(r["bytes"], 1))) for r in of_each}
     if not counts:
         none = np.zeros((1 << BITS, 0), np.float32)
         return Model([], none, none, np.zeros((len(_NAMES) + 1, 0), bool), penalty)
-    rate = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample / n))))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003
+    rate = F.create_map(*(F.lit(x) for pair in counts.items() for x in pair))
     drawn = rows.filter(draw < rate[F.col("lang")]).toArrow()
     languages = sorted(counts)
     size = 1 << BITS
     tri, quad = np.zeros((size, len(languages))), np.zeros((size, len(languages)))
     scripts = np.zeros((len(_NAMES) + 1, len(languages)))
     for k, name in enumerate(languages):
-        texts = drawn.filter(pa.compute.equal(drawn["lang"], name))["text"].combine_chunks()
-        for _, _, data, offsets in B.text_slices(texts if isinstance(texts, pa.Array) else texts.chunk(0)):
+        for _, _, data, offsets in B.text_slices(_one(drawn.filter(pa.compute.equal(drawn["lang"], name))["text"])):
             s = read_slice(data, offsets)
             inside = np.zeros(len(s.trigrams) + 1, np.int32)
             np.add.at(inside, s.starts + 1, 1)
@@ -245,7 +278,15 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int
     # the two orders overlap; together they count once
     allowed = scripts >= 0.01 * np.maximum(scripts.sum(axis=0), 1)
     allowed[len(_NAMES)] = False
-    return Model(languages, logs[0] / 2, logs[1] / 2, allowed, penalty)
+    model = Model(languages, logs[0] / 2, logs[1] / 2, allowed, penalty)
+    least = []
+    for _, _, data, offsets in B.text_slices(_one(drawn["text"])):
+        total, n, _ = model.evidence(read_slice(data, offsets))
+        many = n >= FEW
+        least.append(total[many] / n[many])
+    least = np.concatenate([*least, np.zeros(0)])
+    model.least = float(least.min()) if len(least) else -np.inf
+    return model
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", with_spans: bool = False) -> DataFrame:
@@ -276,7 +317,34 @@ def identify(docs: DataFrame, model: Model, text: str = "text", with_spans: bool
     return B.extended(docs, added, make)
 
 
-def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The documents in a language the model knows, with the columns of docs; `und` documents go."""
+def accepted(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The documents in a language the model knows, with the columns of docs. Documents go whose text is null or has no
+    letter, most of whose letters are in scripts that no known language uses, or whose words are unlike those of every
+    known language (evidence below that of any training text by more than the margin). A null lang (where there is such
+    a column) becomes the predicted one. A model without languages judges by letters alone. Repeated rows are judged
+    alike and stay; an empty table gives an empty one."""
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text}`").alias("judged"))
-    return identify(packed, model, "judged").filter(F.col("lang_pred") != UNKNOWN).select("row.*")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        known = shared.value
+
+        def run(batch: pa.RecordBatch) -> dict:
+            names, good = [], []
+            for low, high, data, offsets in B.text_slices(batch.column("judged")):
+                letters = [has_letter(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                if not known.languages:
+                    names += [None] * (high - low)
+                    good += letters
+                    continue
+                names += known.predict(batch.column("judged").slice(low, high - low), False)[0]
+                total, n, foreign = known.evidence(read_slice(data, offsets))
+                like = total >= n * (known.least - MARGIN) - MARGIN_FEW * np.sqrt(np.maximum(n, 1))
+                good += (np.array(letters, bool) & (n >= foreign) & like).tolist()
+            return {"pred": pa.array(names, pa.string()), "good": pa.array(good, pa.bool_())}
+
+        return run
+
+    judged = B.extended(packed, "pred string, good boolean", make, drop=("judged",)).filter("good")
+    filled = F.coalesce(F.col(f"row.`{lang}`"), F.col("pred")) if lang in docs.columns else None
+    return judged.select(*((filled if c == lang else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

@@ -94,7 +94,7 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.cut(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return repeats.cut(table(spark, sf_dir, "documents").select("doc_id", "text"), passages=repeats.PASSAGE_WORDS).drop("text")
 
 
 QUERIES = {

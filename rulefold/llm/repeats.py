@@ -1,22 +1,24 @@
 """Repeated passages: longest-previous-factor arrays over suffix order, on candidates that anchors bring together.
 
-A window is `width` bytes of one text. Each window has an anchor: the least-hashed inner string of ANCHOR bytes (the
-leftmost of equals), so equal windows have equal anchors at equal places. Windows in a row with the same anchor form a
-run. Runs are grouped by their anchor's hash: an anchor that occurs once rules its windows out; runs of equal content
-repeat as a whole. Where runs of one anchor differ, one of each content goes to a task that puts their windows in
-suffix order (ranks by prefix doubling up to the width); the previous and next smaller positions in that order give
-each window's earlier and later matches, that is whether its longest previous (or next) factor reaches the width.
-A text is then cut at the windows with a match. The group of an anchor with more than HOT contents is split by what
-the windows of a few neighbouring places have in common, so it is many tasks.
-
-With `words` the width is a number of words, however short or long they are: a text is then read as the 64-bit hashes
-of its words (cut at ASCII white space; characters of scripts without blanks count as words), 8 bytes each, and white
-space between words does not matter.
+A text is a row of symbols: its bytes, or with `words` its words (cut at ASCII white space; characters of scripts without
+blanks count as words; white space between them does not matter). A window is `width` symbols of one text. Each window
+has an anchor: the least-hashed inner string of a quarter of the width (the leftmost of equals), so equal windows have
+equal anchors at equal places. Windows in a row with the same anchor form a run; a run whose anchor occurs once has no
+match, and is dropped.
+
+Runs of equal content are copies of each other: they are counted and only the first of them goes on, so a passage with a
+million copies is one run there. What is left of an anchor, one run of each content, goes to a task that puts the
+windows in suffix order (ranks by prefix doubling up to the width). The previous and the next smaller position of each
+window in that order are its candidates for the longest previous factor; the longer common prefix of the two is the
+factor's length, and a window with a factor of the full width is a later copy of an earlier window. A text is then cut
+at the windows with a match. The group of an anchor with more than HOT contents is split by what the windows of a few
+neighbouring places have in common, so it is many tasks.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +26,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulefold.llm import bytes as B
-from rulefold.session import stored
+from rulefold.session import dropped, stored
 
 WIDTH = 400
+#: The fewest words of a repeated passage, where passages are counted in words.
+PASSAGE_WORDS = 51
 ANCHOR = 100
 HOT = 20_000
 NARROW = 8
 TASK_BYTES = 3_000_000
 BATCH_BYTES = 1_000_000
-CODE = 8
+JUMPS = 64
+#: Bits of the number of a row in the sieve of rows concerned.
+SIEVE = 24
 #: Leading bytes of ideographs and kana (U+3000 to U+9FFF, and planes 1 to 3); bytes that continue a code point.
 _UNSPACED = np.array([0xE3 <= b <= 0xE9 or b == 0xF0 for b in range(256)])
 _CONTINUES = np.array([b & 0xC0 == 0x80 for b in range(256)])
@@ -53,18 +59,22 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def coded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A slice as the hashes of its words, CODE bytes each, and the offsets of its texts in them."""
+    """A slice as symbols of 32 bits, the hashes of its words, and the offsets of its texts in them."""
     starts, ends, first = units(data, offsets)
-    return B.span_hashes(B.prefix_sums(data), starts, ends).view(np.uint8), first * CODE
+    return (B.span_hashes(B.prefix_sums(data), starts, ends) >> np.uint64(32)).astype(np.uint32), first
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, anchor: int = ANCHOR) -> dict[str, np.ndarray]:
+def _weights(symbols: np.ndarray) -> np.ndarray:
+    return B.BYTE[symbols] if symbols.dtype == np.uint8 else B.mixed(symbols.astype(np.uint64) + np.uint64(1))
+
+
+def runs(symbols: np.ndarray, offsets: np.ndarray, width: int = WIDTH, anchor: int = ANCHOR) -> dict[str, np.ndarray]:
     """Runs of a slice: text (row), anchor (hash), content (hash), first and last window, at (the anchor's place);
     places count from the start of the text."""
-    n, reach = len(data), width - anchor + 1
+    n, reach = len(symbols), width - anchor + 1
     if n < width:
         return {k: np.zeros(0, np.int64) for k in ("text", "anchor", "content", "first", "last", "at")}
-    sums = B.prefix_sums(data)
+    sums = B.prefix_sums_of(_weights(symbols))
     grams = B.span_hashes(sums, np.arange(n - anchor + 1), np.arange(anchor, n + 1))
     windows = len(grams) - reach + 1
     padded = np.concatenate([grams, np.full(-len(grams) % reach, np.iinfo(np.uint64).max)]).reshape(-1, reach)
@@ -112,98 +122,154 @@ def _cut(grams: np.ndarray, first: int, last: int, reach: int) -> tuple[np.ndarr
     return np.array(starts), np.append(np.array(starts[1:], np.int64) - 1, last)
 
 
-def suffix_ranks(data: np.ndarray, width: int) -> np.ndarray:
-    """Ranks of the places of data by the `width` bytes that follow (equal ranks: equal bytes); meaningless for places
-    with fewer left."""
-    padded = np.concatenate([data, np.zeros(width + 8, np.uint8)])
-    depth = min(8, width)
-    key = np.zeros(len(data), np.uint64)
+def suffix_ranks(symbols: np.ndarray, width: int) -> list[tuple[int, np.ndarray]]:
+    """(depth, ranks of the places by the `depth` symbols that follow: equal ranks for equal symbols), with doubled
+    depths and at last the width; meaningless for places with fewer left."""
+    depth = min(8 // symbols.itemsize, width)
+    padded = np.concatenate([symbols, np.zeros(depth, symbols.dtype)])
+    key = np.zeros(len(symbols), np.uint64)
     for k in range(depth):
-        key = key << np.uint64(8) | padded[k : k + len(data)].astype(np.uint64)
-    rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
+        key = key << np.uint64(8 * symbols.itemsize) | padded[k : k + len(symbols)].astype(np.uint64)
+    out = [(depth, np.unique(key, return_inverse=True)[1].astype(np.uint32))]
     while depth < width:
+        rank = out[-1][1].astype(np.uint64)
         step = min(depth, width - depth)
         following = np.zeros(len(rank), np.uint64)
         following[: max(len(rank) - step, 0)] = rank[step:]
-        rank = np.unique(rank << np.uint64(32) | following, return_inverse=True)[1].astype(np.uint64)
         depth += step
-    return rank
-
-
-def factors(rank: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For windows with these ranks: whether a previous, and whether a later position has the same bytes.
-
-    In suffix order (equal windows by position) the previous smaller position of a window with a longest previous
-    factor of the full width stands right before it, the one of its longest later factor right after it.
-    """
-    order = np.lexsort((position, rank))
-    same = rank[order][1:] == rank[order][:-1]
-    earlier, later = np.zeros(len(rank), bool), np.zeros(len(rank), bool)
-    earlier[order[1:]] = same
-    later[order[:-1]] = same
-    return earlier, later
-
-
-def _matches(table: pa.Table, width: int, first_stays: bool) -> pa.Table:
-    """One task: contents of some anchors; the intervals of bytes that matching windows cover."""
-    table = table.sort_by([("group", "ascending"), ("doc_id", "ascending"), ("first", "ascending")])
-    group, rid, first, wanted = (table[c].to_numpy() for c in ("group", "rid", "first", "wanted"))
+        out.append((depth, np.unique(rank << np.uint64(32) | following, return_inverse=True)[1].astype(np.uint32)))
+    return out
+
+
+def common_prefix(symbols: np.ndarray, ranks: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Symbols that the strings at places a and b (with the width left) have in common, up to the width."""
+    width, whole = ranks[-1]
+    last = len(symbols) - 1
+    length = np.zeros(len(a), np.int64)
+
+    def grow(values: np.ndarray, by: int, of: np.ndarray | slice) -> np.ndarray:
+        x, y = (np.minimum(p[of] + length[of], last) for p in (a, b))
+        same = values[x] == values[y]
+        length[of] += by * same
+        return same
+
+    for depth, rank in reversed(ranks[:-1]):
+        grow(rank, depth, slice(None))
+    short = np.flatnonzero(whole[a] != whole[b])
+    for _ in range(ranks[0][0] - 1):  # what is left of the first depth
+        short = short[grow(symbols, 1, short)]
+    return np.where(whole[a] == whole[b], width, np.minimum(length, width))
+
+
+def smaller_positions(position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each element of a sequence of distinct positions the index of the nearest one before, and after, with a
+    smaller position (-1: none). Indices jump over what is known to be larger, all elements at a time."""
+    n = len(position)
+    out = []
+    for p in (position, position[::-1]):
+        at = np.arange(-1, n - 1)
+        todo = np.flatnonzero(at >= 0)
+        for _ in range(JUMPS):
+            todo = todo[p[at[todo]] > p[todo]]
+            at[todo] = at[at[todo]]
+            todo = todo[at[todo] >= 0]
+            if not len(todo):
+                break
+        out.append(_by_stack(p) if len(todo) else at)
+    back = out[1][::-1]
+    return out[0], np.where(back < 0, -1, n - 1 - back)
+
+
+def _by_stack(position: np.ndarray) -> np.ndarray:
+    """The indices before, one by one, for sequences of long ascending stretches."""
+    stack, out = [], []
+    for i, x in enumerate(position.tolist()):
+        while stack and stack[-1][0] > x:
+            stack.pop()
+        out.append(stack[-1][1] if stack else -1)
+        stack.append((x, i))
+    return np.array(out, np.int64)
+
+
+def longest_previous(symbols: np.ndarray, places: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The longest-previous-factor array of some places (ascending, each with `width` symbols left), up to the width:
+    for each the longest common prefix with an earlier one of them, and the index of that one (-1: none)."""
+    ranks = suffix_ranks(symbols, width)
+    order = np.lexsort((places, ranks[-1][1][places]))  # suffix order; equal strings by place
+    length, source = np.zeros(len(places), np.int64), np.full(len(places), -1)
+    for near in smaller_positions(order):
+        has = np.flatnonzero(near >= 0)
+        own, other = order[has], order[near[has]]
+        common = common_prefix(symbols, ranks, places[own], places[other])
+        better = common > length[own]
+        length[own[better]], source[own[better]] = common[better], other[better]
+    return length, source
+
+
+def _batches(table: pa.Table, kind: type) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Rows (sorted by group) of whole groups, about BATCH_BYTES at a time: first, end, symbols, and sizes by row."""
+    group = table["group"].to_numpy()
     content = table["content"].combine_chunks()
     content = (content if isinstance(content, pa.Array) else pa.concat_arrays(content.chunks)).cast(pa.large_binary())
     sizes = np.array([len(x.as_buffer()) for x in content], np.int64)
     edges = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, int)
     edges = np.append(edges, len(group))
-    out: list[tuple] = []
-    low = 0
     volume = np.concatenate([[0], np.cumsum(sizes)])
-    while low < len(edges) - 1:  # whole groups, about BATCH_BYTES at a time
+    low = 0
+    while low < len(edges) - 1:
         high = low + 1
         while high < len(edges) - 1 and volume[edges[high + 1]] - volume[edges[low]] <= BATCH_BYTES:
             high += 1
         a, b = edges[low], edges[high]
-        own = sizes[a:b]
-        data = np.frombuffer(b"".join(content[i].as_buffer().to_pybytes() for i in range(a, b)), np.uint8)
-        begin = np.cumsum(own) - own
+        yield a, b, np.frombuffer(b"".join(content[i].as_buffer().to_pybytes() for i in range(a, b)), kind), sizes[a:b] // np.dtype(kind).itemsize
+        low = high
+
+
+def _matches(table: pa.Table, width: int, first_stays: bool, kind: type) -> pa.Table:
+    """One task: contents of some anchors; the intervals of symbols that matching windows cover."""
+    table = table.sort_by([("group", "ascending"), ("doc_id", "ascending"), ("first", "ascending")])
+    rid, first, wanted = (table[c].to_numpy() for c in ("rid", "first", "wanted"))
+    out: list[tuple] = []
+    for a, b, symbols, own in _batches(table, kind):
         windows = own - width + 1
         row = np.repeat(np.arange(b - a), windows)
         place = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-        rank = suffix_ranks(data, width)[begin[row] + place]
-        earlier, later = factors(rank, np.arange(len(row)))
-        hit = np.flatnonzero((earlier if first_stays else earlier | later) & wanted[a:b][row])
+        length, source = longest_previous(symbols, (np.cumsum(own) - own)[row] + place, width)
+        match = length >= width
+        if not first_stays:
+            match[source[match]] = True  # the earlier copy has a match as well, a later one
+        hit = np.flatnonzero(match & wanted[a:b][row])
         if len(hit):
             cuts = np.flatnonzero((np.diff(hit) != 1) | (np.diff(row[hit]) != 0)) + 1
             for x, y in zip(np.append(0, cuts), np.append(cuts, len(hit)), strict=True):
                 i = a + row[hit[x]]
                 out.append((rid[i], int(first[i] + place[hit[x]]), int(first[i] + place[hit[y - 1]] + width)))
-        low = high
     columns = list(zip(*out, strict=True)) or [(), (), ()]
     return pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("rid", "start", "end"), columns, strict=True)})
 
 
-def _contents(batches, width: int, anchor: int, words: bool = False):
-    """Rows of the runs that have to be compared, with their bytes; hot ones in narrow parts."""
+def _contents(batches, width: int, words: bool):
+    """Rows of the runs that have to be compared, with their symbols; hot ones in narrow parts."""
     for batch in batches:
         out: list[tuple] = []
         texts = batch.column("text").cast(pa.large_string())
         for i in range(batch.num_rows):
-            raw = texts[i].as_buffer()
-            if words:
-                data = np.frombuffer(raw, np.uint8)
-                raw = memoryview(coded(data, np.array([0, len(data)]))[0])
+            data = np.frombuffer(texts[i].as_buffer(), np.uint8)
+            symbols = coded(data, np.array([0, len(data)]))[0] if words else data
             rid, doc = batch.column("rid")[i].as_py(), batch.column("doc_id")[i].as_py()
             for r in batch.column("runs")[i].as_py():
                 first, last, group = r["first"], r["last"], r["anchor"]
                 if not r["hot"]:
-                    out.append((group, rid, doc, first, r["wanted"], bytes(raw[first : last + width])))
+                    out.append((group, rid, doc, first, r["wanted"], symbols[first : last + width].tobytes()))
                     continue
                 at = first
                 while at <= last:  # parts: windows whose distance to the anchor has the same multiple of NARROW
                     slot = (r["at"] - at) // NARROW
                     high = r["at"] - slot * NARROW
                     stop = min(last, high)
-                    core = hashlib.blake2b(bytes(raw[high : high - NARROW + 1 + width]), digest_size=8, salt=str(slot).encode())
+                    core = hashlib.blake2b(symbols[high : high - NARROW + 1 + width].tobytes(), digest_size=8, salt=str(slot).encode())
                     key = group ^ int.from_bytes(core.digest(), "big", signed=True)
-                    out.append((key, rid, doc, at, r["wanted"], bytes(raw[at : stop + width])))
+                    out.append((key, rid, doc, at, r["wanted"], symbols[at : stop + width].tobytes()))
                     at = stop + 1
         columns = list(zip(*out, strict=True)) or [()] * 6
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
@@ -211,20 +277,32 @@ def _contents(batches, width: int, anchor: int, words: bool = False):
         yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
+def _sieve(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows with the boolean column sifted: false means that its rid is none of ids (true may be a false alarm). The
+    sieve that is broadcast has 2 ** SIEVE bits at most, however many ids there are."""
+    hole, bit = f"pmod(rid, {1 << SIEVE}L)", "cast(pmod(rid, 64L) as int)"
+    marks = ids.select(F.expr(f"shiftright({hole}, 6)").alias("__word"), F.expr(f"shiftleft(1L, {bit})").alias("bit"))
+    marks = marks.groupBy("__word").agg(F.bit_or("bit").alias("__bits"))
+    keyed = rows.join(F.broadcast(marks), F.expr(f"shiftright({hole}, 6)") == F.col("__word"), "left")
+    there = F.expr(f"(shiftrightunsigned(coalesce(__bits, 0L), {bit}) & 1L) = 1L")
+    return keyed.withColumn("sifted", there).drop("__word", "__bits")
+
+
 def repeated(
     docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, first_stays: bool = False, hot: int = HOT, words: int | None = None
 ) -> DataFrame:
-    """(rid, spans): bytes covered by a window that also starts elsewhere (first_stays: that also starts earlier, in
-    the order of key and place), as an array of struct(start, end), unordered and overlapping. rid is row_id(). With
-    `words` a window is so many words, in place of `width` bytes, and places are those in coded()."""
-    width = words * CODE if words else width
+    """(rid, spans), stored: symbols covered by a window that also starts elsewhere (first_stays: that also starts
+    earlier, in the order of key and place), as an array of struct(start, end), unordered and overlapping. rid is
+    row_id(). With `words` a window is so many words, in place of `width` bytes, and places count words."""
+    width = words or width
     anchor = max(1, width // 4)
+    kind = np.uint32 if words else np.uint8
     rows = docs.select(row_id(key, text).alias("rid"), F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
     def find(batches):
         for batch in batches:
             low = 0
-            for low, _, data, offsets in B.text_slices(batch.column("text"), B.SLICE // 2 if words else B.SLICE):
+            for low, _, data, offsets in B.text_slices(batch.column("text")):
                 if words:
                     data, offsets = coded(data, offsets)
                 r = runs(data, offsets, width, anchor)
@@ -234,31 +312,33 @@ def repeated(
                 yield pa.record_batch(columns, names=["rid", "doc_id", "anchor", "content", "first", "last", "at"])
 
     schema = "rid bigint, doc_id bigint, anchor bigint, content bigint, first int, last int, at int"
-    found = stored(rows.mapInArrow(find, schema), "found")
-    # counts combine before the shuffle, and the join back may split a frequent anchor over many tasks
-    place = F.struct("doc_id", "first", "rid")
-    contents = found.groupBy("anchor", "content").agg(F.count("*").alias("same"), F.min(place).alias("head"))
-    anchors = contents.groupBy("anchor").agg(F.sum("same").alias("n")).filter("n > 1")
-    contents = contents.join(anchors, "anchor")
-    marked = found.join(contents, ["anchor", "content"]).withColumn("leads", place.eqNullSafe(F.col("head"))).drop("head")
-    marked = stored(marked, "runs")
-    whole = ~F.col("leads") if first_stays else (F.col("same") > 1)
-    covered = marked.filter(whole).select("rid", F.col("first").cast("bigint").alias("start"), (F.col("last") + width).cast("bigint").alias("end"))
-    differ = marked.filter("same < n and leads")
+    everywhere = stored(rows.mapInArrow(find, schema), "found")
+    # most anchors occur once; what is left is joined, which may split a frequent anchor over many tasks
+    again = everywhere.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    found = stored(everywhere.join(again, "anchor"), "found")
+    dropped(everywhere)
+    place = F.struct("doc_id", "first", "rid", "last", "at")
+    contents = stored(found.groupBy("anchor", "content").agg(F.count("*").alias("same"), F.min(place).alias("head")), "contents")
+    kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    whole = ~place.eqNullSafe(F.col("head")) if first_stays else F.lit(True)
+    copies = contents.filter("same > 1").select("anchor", "content", "head")
+    covered = found.join(copies, ["anchor", "content"]).filter(whole)
+    covered = covered.select("rid", F.col("first").cast("bigint").alias("start"), (F.col("last") + width).cast("bigint").alias("end"))
+    varied = contents.join(kinds.filter("kinds > 1"), "anchor")
     wanted = F.lit(True) if first_stays else F.col("same") == 1
-    busy = differ.groupBy("anchor").agg(F.count("*").alias("c")).filter(F.col("c") > hot).select("anchor", F.lit(True).alias("hot"))
-    differ = differ.join(busy, "anchor", "left")
-    run = F.struct("anchor", "first", "last", "at", wanted.alias("wanted"), F.coalesce("hot", F.lit(False)).alias("hot"))
-    by_text = differ.groupBy("rid").agg((F.collect_set if first_stays else F.collect_list)(run).alias("runs"))
+    differ = varied.select("anchor", "head.rid", "head.first", "head.last", "head.at", wanted.alias("wanted"), (F.col("kinds") > hot).alias("hot"))
+    differ = stored(differ, "differ")
+    by_text = differ.groupBy("rid").agg(F.collect_list(F.struct("anchor", "first", "last", "at", "wanted", "hot")).alias("runs"))
     volume = differ.agg(F.sum(F.col("last") - F.col("first") + width)).first()[0] or 0
-    chosen = rows.join(by_text, "rid").dropDuplicates(["rid"]) if first_stays else rows.join(by_text, "rid")
-    parts = chosen.mapInArrow(
-        lambda batches: _contents(batches, width, anchor, bool(words)), "group bigint, rid bigint, doc_id bigint, first bigint, wanted boolean, content binary"
-    )
-    task = F.pmod(F.xxhash64("group"), F.lit(1 + volume // TASK_BYTES))
-    fine = parts.withColumn("task", task).groupBy("task").applyInArrow(lambda t: _matches(t, width, first_stays), "rid bigint, start bigint, end bigint")
-    spans = covered.unionByName(fine).groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return stored(spans, "spans")
+    texts = _sieve(rows, differ.select("rid")).filter("sifted").drop("sifted")
+    parts = texts.join(by_text, "rid").dropDuplicates(["rid"]).mapInArrow(
+        lambda batches: _contents(batches, width, bool(words)), "group bigint, rid bigint, doc_id bigint, first bigint, wanted boolean, content binary"
+    )
+    task = F.pmod(F.xxhash64("group"), F.lit(1 + volume * np.dtype(kind).itemsize // TASK_BYTES))
+    fine = parts.withColumn("task", task).groupBy("task").applyInArrow(lambda t: _matches(t, width, first_stays, kind), "rid bigint, start bigint, end bigint")
+    spans = stored(covered.unionByName(fine).groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    dropped(found, contents, differ)
+    return spans
 
 
 def row_id(key: str, text: str) -> Column:
@@ -266,47 +346,63 @@ def row_id(key: str, text: str) -> Column:
 
 
 def _bytes_of(raw: bytes, spans: list[list[int]]) -> list[list[int]]:
-    """Spans of coded() as spans of the text: whole words, each with the blanks before it, the last with those after."""
+    """Spans of words as spans of the text: each word with the blanks before it, the last with those after."""
     data = np.frombuffer(raw, np.uint8)
     _, ends, _ = units(data, np.array([0, len(data)]))
     edges = np.concatenate([[0], ends])
     edges[-1] = len(data)
-    return [[int(edges[-(-a // CODE)]), int(edges[b // CODE])] for a, b in spans]
+    return [[int(edges[a]), int(edges[b])] for a, b in spans]
+
 
+def _merged(spans: pa.Scalar) -> list[list[int]]:
+    """Maximal intervals of overlapping and touching ones, ascending."""
+    out: list[list[int]] = []
+    if spans.is_valid:
+        for a, b in sorted((s["start"], s["end"]) for s in spans.as_py()):
+            if out and a <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], b)
+            else:
+                out.append([a, b])
+    return out
 
-def cut(docs: DataFrame, text: str = "text", key: str = "doc_id", with_text: bool = False, single: bool = False, **options) -> DataFrame:
+
+def cut(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", with_text: bool = False, passages: int | None = None, **options
+) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 (of the remaining bytes); with_text
-    also kept_text, where a code point that is only partly covered stays. Columns of those names are replaced.
+    also kept_text, where a code point that is only partly covered stays. With `passages` also n_passage_words, the
+    words covered by passages of so many words that also stand elsewhere (nothing is cut by those). Columns of those
+    names are replaced.
 
     Options are those of repeated(). A null text is empty (kept_text: null); texts shorter than the width keep all;
-    repeated rows are copies of each other (single: one of them stays); an empty table gives an empty one.
+    repeated rows are copies of each other; an empty table gives an empty one.
     """
-    spans = repeated(docs, text, key, **options).withColumnRenamed("rid", "__rid").withColumnRenamed("spans", "__spans")
-    rows = docs.withColumn("__own", row_id(key, text)).join(spans, F.col("__own") == F.col("__rid"), "left")
-    rows = (rows.dropDuplicates(["__own"]) if single else rows).drop("__rid", "__own")
+    spans = repeated(docs, text, key, **options).select(F.col("rid").alias("__rid"), F.col("spans").alias("__spans"))
+    if passages:
+        more = repeated(docs, text, key, words=passages).select(F.col("rid").alias("__also"), F.col("spans").alias("__passages"))
+        spans = spans.join(more, F.col("__rid") == F.col("__also"), "full").withColumn("__rid", F.coalesce("__rid", "__also")).drop("__also")
+    return _cut_at(docs.withColumn("__own", row_id(key, text)).join(spans, F.col("__own") == F.col("__rid"), "left").drop("__rid", "__own"), text, with_text, bool(passages), bool(options.get("words")))
+
 
+def _cut_at(rows: DataFrame, text: str, with_text: bool, passages: bool, words: bool) -> DataFrame:
     def make():
         def run(batch: pa.RecordBatch) -> dict:
-            column, all_spans = batch.column(text), batch.column("__spans")
+            column, spans = batch.column(text), batch.column("__spans")
             texts = column.cast(pa.large_string())
-            made = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")}
+            made = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "n_passage_words")}
             for i in range(batch.num_rows):
                 raw = texts[i].as_buffer().to_pybytes() if texts[i].is_valid else b""
-                merged: list[list[int]] = []
-                if all_spans[i].is_valid:
-                    for a, b in sorted((s["start"], s["end"]) for s in all_spans[i].as_py()):
-                        if merged and a <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], b)
-                        else:
-                            merged.append([a, b])
-                    if options.get("words"):
-                        merged = _bytes_of(raw, merged)
+                merged = _merged(spans[i])
+                if words:
+                    merged = _bytes_of(raw, merged)
                 edges = [0, *(x for m in merged for x in m), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 made["n_bytes"].append(len(raw))
                 made["n_removed"].append(len(raw) - len(kept))
                 made["n_spans"].append(len(merged))
                 made["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+                if passages:
+                    made["n_passage_words"].append(sum(b - a for a, b in _merged(batch.column("__passages")[i])))
                 if with_text:
                     for k, x in enumerate(edges[1:-1]):
                         # a span starts and ends between code points: later start, earlier end
@@ -315,19 +411,27 @@ def cut(docs: DataFrame, text: str = "text", key: str = "doc_id", with_text: boo
                         edges[k + 1] = x
                     kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                     made["kept_text"].append(kept.decode() if texts[i].is_valid else None)
-            return {k: pa.array(v, pa.string() if k.startswith("kept") else pa.int64()) for k, v in made.items() if with_text or k != "kept_text"}
+            return {k: pa.array(v, pa.string() if k.startswith("kept") else pa.int64()) for k, v in made.items() if v or not batch.num_rows}
 
         return run
 
-    added = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return B.extended(rows, added, make, drop=("__spans",))
+    added = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * with_text + ", n_passage_words bigint" * passages
+    return B.extended(rows, added, make, drop=("__spans", "__passages"))
 
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """The documents without later copies of passages (the first stays), with the columns of docs. Documents of which
-    nothing remains go, and so do rows that repeat both key and text."""
+    nothing remains go, and of rows that repeat both key and text one stays. Only documents with something to cut, and
+    repeated rows, are shuffled with their texts."""
+    spans = repeated(docs, text, key, first_stays=True, **options).select(F.col("rid").alias("__rid"), F.col("spans").alias("__spans"))
     others = F.struct(F.lit(0).alias("__"), *(F.col(f"`{c}`") for c in docs.columns if c != text))
-    packed = docs.select(others.alias("row"), F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
-    made = cut(packed, "t", "k", with_text=True, single=True, first_stays=True, **options)
+    rows = docs.select(others.alias("row"), row_id(key, text).alias("rid"), F.col(f"`{text}`").alias("t"))
+    twins = rows.groupBy("rid").agg(F.count("*").alias("n")).filter("n > 1").select("rid")
+    sifted = _sieve(rows, spans.select(F.col("__rid").alias("rid")).unionByName(twins))
+    concerned = sifted.filter("sifted").drop("sifted").join(spans, F.col("rid") == F.col("__rid"), "left")
+    concerned = concerned.dropDuplicates(["rid"]).drop("rid", "__rid")
+    made = _cut_at(concerned, "t", True, False, bool(options.get("words")))
     made = made.filter((F.col("n_removed") == 0) | (F.length("kept_text") > 0))
+    whole = sifted.filter("not sifted").select("row", F.col("t").alias("kept_text"))
+    made = whole.unionByName(made.select("row", "kept_text"))
     return made.select(*((F.col("kept_text") if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

@@ -218,9 +218,31 @@ def test_repeats_against_all_windows(spark, first_stays, hot):
     assert [got[k] for k, _ in rows] == brute_repeats(rows, 20, first_stays)
 
 
+def test_factor_arrays_against_brute_force():
+    rng = random.Random(3)
+    for kind, width in ((np.uint8, 20), (np.uint32, 7)):
+        for text in ("".join(rng.choices("ab", k=300)), "a" * 90 + "b" * 60 + "a" * 90, "ab" * 80 + "".join(rng.choices("abc", k=99))):
+            symbols = np.frombuffer(text.encode(), np.uint8).astype(kind)
+            places = np.array(sorted(rng.sample(range(len(text) - width + 1), 150)))
+            length, source = repeats.longest_previous(symbols, places, width)
+            for i, p in enumerate(places):
+                common = [next((k for k in range(width) if text[q + k] != text[p + k]), width) for q in places[:i]]
+                assert length[i] == max(common, default=0)
+                assert source[i] == -1 and not length[i] or common[source[i]] == length[i]
+    for n in (1, 2, 50, 4_000):
+        position = np.random.RandomState(n).permutation(n)
+        for p in (position, np.append(np.arange(1, n + 1), 0)):
+            before, after = repeats.smaller_positions(p)
+            for i in range(0, len(p), 1 + len(p) // 60):
+                assert before[i] == max((j for j in range(i) if p[j] < p[i]), default=-1)
+                assert after[i] == min((j for j in range(i + 1, len(p)) if p[j] < p[i]), default=-1)
+
+
 def test_repeats_on_odd_rows(odd, odd_rows):
     got = sorted((str(r.doc_id), r.n_bytes, r.n_removed) for r in repeats.cut(odd).collect())
     assert got == sorted((str(k), n, m) for (k, *_), (n, m, _, _) in zip(odd_rows, brute_repeats(odd_rows, 400, False), strict=True))
+    counted = {r.doc_id: r.n_passage_words for r in repeats.cut(odd, passages=51).collect()}
+    assert counted[7] == counted[8] == 300 and counted[9] == 300 and not counted[6] and not counted[1]
     kept = repeats.deduplicated(odd)
     assert kept.columns == odd.columns
     texts = {r.doc_id: r.text for r in kept.collect()}
