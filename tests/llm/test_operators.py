@@ -418,6 +418,23 @@ def test_packing_is_near_the_bound(seed):
     assert bound <= sum(chosen.values()) <= 1.01 * bound + 1
 
 
+def test_program_places_the_bulk():
+    """Lengths like those of the documents of sf0.1: about 11,000 pieces of 1,850 lengths, some of them full."""
+    rng = np.random.RandomState(11)
+    lengths = np.append(np.clip(rng.lognormal(6.2, 1.1, 10_000).astype(int), 1, 2_047), np.full(1_300, 2_048))
+    for times in (1, 10):
+        counts = times * np.bincount(lengths, minlength=2_049)
+        chosen, left = packing.programmed(counts)
+        rest = packing.best_fit(left)
+        assert all(packing.fill(c) <= 2_048 for c in chosen) and sum(chosen.values()) > 0.9 * (sum(chosen.values()) + sum(rest.values()))
+        held = sum((Counter({x: a * n for x, a in c}) for c, n in chosen.items()), Counter())
+        assert all(held[x] + left[x] == counts[x] for x in range(2_049))
+        assert sum(chosen.values()) + sum(rest.values()) <= sum(packing.best_fit(counts).values())
+    uneven = np.zeros(2_049, int)
+    uneven[[1_500, 400]] = 1_000, 2_000  # no sequence of these is full: pairs, and fives of what is left
+    assert sum(packing.programmed(uneven)[0].values()) > 1_000 and sum(packing.configurations(uneven).values()) == 1_200
+
+
 def test_knapsack_is_exact():
     value = np.full(13, -np.inf)
     value[[3, 5, 7]] = 3.1, 5.5, 6.9
