@@ -1,11 +1,13 @@
 """Document fingerprints from closed syncmers, by DataFrame functions alone.
 
-A text is read as symbols: its words (cut at blanks) or, for short texts and those of very long words, its code points. Each run of
-K symbols is a k-mer; it is a closed syncmer if the smallest hash of its inner runs of S symbols is at its first or last
-place. That depends on the k-mer alone, not on its surroundings, so equal passages are anchored alike wherever they
-stand. A fingerprint is the SIZE smallest syncmer hashes (32 bits each, as hexadecimal digits in ascending order);
-the likeness of two is the share of the SIZE smallest of their union that both hold, an estimate of the Jaccard
-similarity of the syncmer sets.
+A text of any length and script is read as one kind of symbols: its words, cut at white space and after every PIECE
+characters, and each character of scripts without blanks. Each run of K symbols is a k-mer; it is a closed syncmer if the
+smallest hash of its inner runs of S symbols is at its first or last place. That depends on the k-mer alone, not on its
+surroundings, so equal passages are anchored alike wherever they stand (anchors() gives all of them with their places).
+A fingerprint is the smallest of a text's distinct syncmer hashes, SIZE or one of SHARE, whichever is more (32 bits each,
+as hexadecimal digits in ascending order), so it grows with the text. The likeness of two is the share of the smallest
+hashes of their union that both hold, as many as both fingerprints know: an estimate of the Jaccard similarity of the
+syncmer sets, exact for texts of fewer than SIZE syncmers.
 """
 
 from __future__ import annotations
@@ -16,17 +18,16 @@ from pyspark.sql import functions as F
 K = 5
 S = 2
 SIZE = 64
-SHORT = 400
-LONG_WORD = 40
-BUCKET = 16_000_000
-MOST_BUCKETS = 20_000
+SHARE = 16
+PIECE = 6
+BUCKET = 4_000_000
+MOST_BUCKETS = 50_000
 _NONE = "cast(array() as array<bigint>)"
+_UNSPACED = r"\u3040-\u30FF\u3400-\u9FFF\uAC00-\uD7AF"
 
 
 def symbols(text: Column) -> Column:
-    words = F.split(text, " ")
-    plain = (F.length(text) >= SHORT) & (F.length(text) <= LONG_WORD * F.size(words))
-    return F.when(plain, words).otherwise(F.split(text, ""))
+    return F.regexp_extract_all(text, F.lit(rf"[{_UNSPACED}]|[^\s{_UNSPACED}]{{1,{PIECE}}}"), F.lit(0))
 
 
 def _hashed(df: DataFrame, text: str, name: str) -> DataFrame:
@@ -61,7 +62,7 @@ def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
     found = F.when(F.size(s) >= K - S + 1, F.transform(places, taken)).otherwise(F.expr(_NONE))
     whole = F.when(F.length(text) > 0, F.array(F.shiftrightunsigned(F.xxhash64(text), 32))).otherwise(F.expr(_NONE))
     made = made.withColumn(f"{out}_k", F.array_distinct(F.array_compact(found)))
-    some = F.slice(F.sort_array(F.col(f"{out}_k")), 1, SIZE)
+    some = F.slice(F.sort_array(F.col(f"{out}_k")), F.lit(1), F.greatest(F.lit(SIZE), F.ceil(F.size(f"{out}_k") / SHARE).cast("int")))
     return made.withColumn(out, F.when(F.size(f"{out}_k") > 0, some).otherwise(whole)).drop(f"{out}_h", f"{out}_s", f"{out}_k")
 
 
@@ -71,7 +72,8 @@ def written(sketch: str) -> Column:
 
 def likeness(a: str, b: str) -> Column:
     """0 to 1; two empty fingerprints are alike."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SIZE)
+    known = F.least(*(F.when(F.size(x) >= SIZE, F.size(x)).otherwise(F.lit(2**31 - 1)) for x in (a, b)))  # fewer are all there are
+    union = F.slice(F.sort_array(F.array_union(a, b)), F.lit(1), known)
     both = F.size(F.array_intersect(union, F.array_intersect(a, b)))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / F.greatest(F.size(union), F.lit(1)))
 
@@ -104,7 +106,7 @@ def _ordered_buckets(rows: DataFrame) -> tuple[DataFrame, int]:
     volume, n = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     buckets = max(1, min(volume // BUCKET + 1, n, MOST_BUCKETS))
     shares = [i / buckets for i in range(1, buckets)]
-    bounds = rows.agg(F.percentile_approx("place", shares, 10 * MOST_BUCKETS).alias("b")).first()["b"] if shares else []
+    bounds = rows.agg(F.percentile_approx("place", shares, 10 * buckets).alias("b")).first()["b"] if shares else []
     bounds = sorted(set(bounds or []))
     if not bounds:
         return rows.withColumn("bucket", F.lit(0)), 1

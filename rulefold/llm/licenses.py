@@ -1,89 +1,72 @@
 """Licence scans: a trained paragraph classifier with an unknown class, confirmed by template comparison.
 
-Paragraphs are lines. Features are the word unigrams and bigrams of the licence templates. A multinomial logistic
-regression with an L1 penalty (so that few features keep a weight) is trained on the driver: on variants of the
-templates, and on a bounded sample of the corpus' own paragraphs as class `unknown`. Its probabilities are calibrated
-by a temperature fitted on held-out variants and paragraphs. A paragraph is given a family if it has a feature that
-speaks for it, the calibrated probability is at least `least`, and its bigrams agree with one of the family's templates.
-
-Scanning is DataFrame functions alone: the words that speak for any family pick texts and then paragraphs (without one
-the answer is `unknown` by definition), whose n-grams join the broadcast weights. The
-weights' size is bounded by the templates, not by the data.
+Paragraphs are lines. Features are the words of a line and its pairs of words in a row, its beginning and end counting
+as words (so a bare "MIT" differs from the word in a sentence). A multinomial logistic regression with an L1 penalty (so
+that few features keep a weight) is trained on the driver: on notices made from the families' names and on their
+standard sentences, whole and with words left out, and on a bounded sample of the corpus' own lines as class `unknown`.
+Its probabilities are calibrated by a temperature fitted on held-out notices and lines. A line is judged if a family is
+likelier than unknown, and is given that family if the calibrated probability is at least `least` and it agrees with one
+of the family's names or sentences.
+
+Scanning is DataFrame functions alone. A pattern of features picks texts and lines first: a feature may be left out of
+it only while all those left out together cannot lift any family above unknown, so no line is lost that the classifier
+would judge. The n-grams of the lines join the broadcast weights, whose size is bounded by the templates.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
 import random
 import re
-from dataclasses import dataclass
-from functools import reduce
-from operator import or_
+from collections import Counter, defaultdict
+from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SAMPLE = 3_000
+SAMPLE_BYTES = 20_000_000
 LEAST = 0.6
-#: A feature speaks for a family from this weight on (log odds against unknown); stop words, numbers and short
-#: words alone never do.
-SPEAKS = 1.0
-LONG = 5
 AGREE = 0.5
 UNKNOWN = "unknown"
 NONE = "none"
-#: Public licence notices by family.
-TEMPLATES = {
-    "apache-2.0": [
-        "Licensed under the Apache License, Version 2.0.",
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
-        "SPDX-License-Identifier: Apache-2.0",
-    ],
-    "bsd": [
-        "Released under the BSD License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "SPDX-License-Identifier: BSD-3-Clause",
-    ],
-    "cc-by": [
-        "Licensed under CC BY 4.0.",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    ],
-    "cc-by-nc": [
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-    ],
-    "cc-by-sa": [
-        "Licensed under CC BY-SA 4.0.",
-        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    ],
-    "cc0": [
-        "Released under CC0 1.0, dedicated to the public domain.",
-        "The author has dedicated this work to the public domain by waiving all rights under copyright law.",
-    ],
-    "gpl": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-        "SPDX-License-Identifier: GPL-3.0-or-later",
-    ],
-    "lgpl": [
-        "Licensed under the GNU Lesser General Public License, version 2.1.",
-        "SPDX-License-Identifier: LGPL-2.1-or-later",
-    ],
-    "mit": [
-        "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-        "SPDX-License-Identifier: MIT",
-    ],
-    "mpl-2.0": [
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-        "Licensed under the Mozilla Public License, version 2.0.",
-    ],
-    "proprietary": ["All rights reserved.", "Copyright by the author. All rights reserved. No part may be reproduced without written permission."],
+#: Names of public licences by family.
+NAMES = {
+    "agpl": ["GNU Affero General Public License", "AGPL v3", "AGPL-3.0-or-later", "AGPL 3.0"],
+    "apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0", "Apache 2.0"],
+    "bsd": ["BSD License", "BSD 3-Clause License", "BSD-3-Clause", "BSD-2-Clause", "BSD"],
+    "cc-by": ["Creative Commons Attribution 4.0 International License", "CC BY 4.0", "CC-BY-4.0", "CC BY 3.0", "CC BY"],
+    "cc-by-nc": ["Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0", "CC BY-NC-SA 4.0", "CC BY-NC-ND 4.0", "CC BY-NC"],
+    "cc-by-nd": ["Creative Commons Attribution-NoDerivatives 4.0 International License", "CC BY-ND 4.0", "CC BY-ND"],
+    "cc-by-sa": ["Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0", "CC BY-SA 3.0", "CC BY-SA"],
+    "cc0": ["CC0 1.0 Universal", "CC0-1.0", "CC0 1.0", "CC0", "Creative Commons Zero"],
+    "epl": ["Eclipse Public License 2.0", "EPL-2.0", "Eclipse Public License"],
+    "gpl": ["GNU General Public License, version 3", "GNU GPL v3", "GPL-3.0-or-later", "GPL-2.0-only", "GPL v2", "GPLv3", "GPL", "GNU GPL version 2"],
+    "isc": ["ISC License", "ISC"],
+    "lgpl": ["GNU Lesser General Public License, version 2.1", "LGPL-2.1-or-later", "LGPL v3", "LGPL"],
+    "mit": ["MIT License", "MIT-Lizenz", "licence MIT", "licencia MIT", "MIT"],
+    "mpl-2.0": ["Mozilla Public License, version 2.0", "MPL-2.0", "MPL 2.0"],
+    "unlicense": ["Unlicense", "The Unlicense"],
 }
-_LEADS = ["", "licensed under the ", "released under the ", "distributed under the terms of the ", "this work is licensed under the ", "available under the "]
-_TAILS = ["", " see the file license for details", " for more information see the licence text", " copyright the authors"]
+#: Sentences that stand for a family without its name.
+SENTENCES = {
+    "apache-2.0": ['you may not use this file except in compliance with the License. You may obtain a copy of the License at'],
+    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "cc0": ["The author has dedicated this work to the public domain by waiving all rights under copyright law.", "dedicated to the public domain"],
+    "gpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "unlicense": ["This is free and unencumbered software released into the public domain."],
+    "proprietary": ["All rights reserved.", "No part may be reproduced without written permission.", "Alle Rechte vorbehalten.", "Tous droits réservés.", "Todos los derechos reservados."],
+}
+#: What stands before and after a name in notices.
+LEADS = [
+    "", "Licensed under", "Licensed under the", "Released under the", "Distributed under the terms of the", "This work is licensed under a", "License:", "SPDX-License-Identifier:",
+    "Available under the", "Lizenziert unter der", "Veröffentlicht unter der", "Publié sous la", "Sous licence", "Publicado bajo la", "Licencia:",
+]
+TAILS = ["", "or later", "see the file LICENSE for details", "copyright the authors"]
 
 
 def words(text: str) -> list[str]:
@@ -92,25 +75,26 @@ def words(text: str) -> list[str]:
 
 def grams(text: str) -> set[str]:
     w = words(text)
-    return set(w) | {f"{a} {b}" for a, b in itertools.pairwise(w)}
+    return set(w) | {f"{a} {b}" for a, b in itertools.pairwise(["^", *w, "$"])} if w else set()
 
 
-def bigrams(text: str) -> set[str]:
+def known_grams(text: str) -> set[str]:
+    """What a line is compared by with a name or sentence: its pairs of words, or the one word."""
     w = words(text)
     return {f"{a} {b}" for a, b in itertools.pairwise(w)} or set(w)
 
 
-def variants(texts: list[str], rng: random.Random) -> list[str]:
-    """Templates with other beginnings and ends, and with words left out."""
-    out = []
-    for text in texts:
-        w = words(text)
-        starts = [k for k in range(len(w)) if w[k] in ("the", "under")]
-        name = w[starts[0] + 1 :] if starts and len(w) < 16 else w
-        for lead, tail in itertools.product(_LEADS, _TAILS):
-            out += [lead + " ".join(name) + tail, " ".join(w) + tail]
-        for _ in range(2 * len(w)):
-            out.append(" ".join(x for x in w if rng.random() > 0.12))
+def templates() -> dict[str, list[str]]:
+    return {k: NAMES.get(k, []) + SENTENCES.get(k, []) for k in sorted(NAMES | SENTENCES)}
+
+
+def variants(family: str, rng: random.Random) -> list[str]:
+    """Notices of a family: its names with what stands around them, and all with words left out (never a name's)."""
+    out = [f"{a} {name} {b}" for name in NAMES.get(family, []) for a, b in itertools.product(LEADS, TAILS)]
+    for sentence in SENTENCES.get(family, []):
+        w = words(sentence)
+        out += [sentence] * 4 + [f"{sentence} {tail}" for tail in TAILS]
+        out += [" ".join(x for x in w if rng.random() > 0.12) for _ in range(2 * len(w) if len(w) > 5 else 0)]
     return out
 
 
@@ -120,6 +104,7 @@ class Model:
     features: list[str]
     weights: np.ndarray  # feature x family, calibrated
     bias: np.ndarray
+    common: Counter = field(default_factory=Counter)  # features in the sample of the corpus
 
     def probabilities(self, texts: list[str]) -> np.ndarray:
         index = {g: i for i, g in enumerate(self.features)}
@@ -134,18 +119,25 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(negatives: list[str], templates: dict[str, list[str]] = TEMPLATES, penalty: float = 2e-4, rounds: int = 250) -> Model:
-    """Fit and calibrate; negatives are paragraphs without a licence (those that contain a template are left out)."""
+def train(negatives: list[str], penalty: float = 2e-4, rounds: int = 250) -> Model:
+    """Fit and calibrate; negatives are lines without a licence (those that hold a whole name of two words or more, or a
+    sentence, or are a name, are left out)."""
     rng = random.Random(7)
-    families = [*templates, UNKNOWN]
-    known = [words(t) for texts in templates.values() for t in texts]
-    joined = [" ".join(k) for k in known]
-    negatives = [n for n in negatives if not any(j in " ".join(words(n)) for j in joined)]
-    single = sorted({w for k in known for w in k})
-    mixed = [" ".join(rng.choices(single, k=rng.randint(1, 6))) for _ in range(200)]  # stray licence words prove nothing
-    pairs = [(v, i) for i, texts in enumerate(templates.values()) for v in variants(texts, rng)]
-    pairs += [(n, len(templates)) for n in [*negatives, *mixed, ""]]
-    features = sorted({g for texts in templates.values() for t in texts for g in grams(t)})
+    by_family = templates()
+    families = [*by_family, UNKNOWN]
+    known = [words(t) for texts in by_family.values() for t in texts]
+    whole = re.compile("|".join(rf"\b{' '.join(k)}\b" for k in known if len(k) > 1))
+    single = {k[0] for k in known if len(k) == 1}
+    plain = [" ".join(words(n)) for n in negatives]
+    plain = [n for n in plain if not whole.search(n) and n not in single]
+    stray = sorted({w for k in known for w in k} | {w for t in LEADS + TAILS for w in words(t)})
+    mixed = [" ".join(rng.choices(stray, k=rng.randint(2, 7))) for _ in range(200)]  # stray licence words prove nothing
+    mixed = [m for m in mixed if not whole.search(m)]
+    framed = [f"{a} {rng.choice(plain or ['it'])}" for a in LEADS if a] + [" ".join(words(a)) for a in LEADS]
+    pairs = [(v, i) for i, family in enumerate(by_family) for v in variants(family, rng)]
+    pairs += [(n, len(by_family)) for n in [*plain, *mixed, *framed, ""]]
+    of_lead = {g for t in LEADS + TAILS for g in grams(t)}
+    features = sorted({g for texts in by_family.values() for t in texts for g in grams(t)} | of_lead)
     index = {g: i for i, g in enumerate(features)}
     x = np.zeros((len(pairs), len(features)))
     for row, (text, _) in enumerate(pairs):
@@ -172,87 +164,99 @@ def train(negatives: list[str], templates: dict[str, list[str]] = TEMPLATES, pen
         return -(cost[held] * np.log((p * y[held]).sum(axis=1) + 1e-12)).sum()
 
     temperature = min((0.25 * 1.15**i for i in range(20)), key=loss)
-    return Model(families, features, w / temperature, b / temperature)
-
-
-def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
-    """Train with about `sample` paragraphs of the corpus (one of each text drawn by a hash) as class unknown."""
-    n = docs.count()
-    draw = F.pmod(F.xxhash64(F.col(text)), F.lit(1_000_003)) < math.ceil(1_000_003 * min(1.0, sample / max(n, 1)))
-    lines = F.split(F.col(text), "\n")
-    line = F.get(lines, F.pmod(F.xxhash64(F.col(text), F.lit(1)), F.size(lines)).cast("int"))
-    rows = docs.filter(F.col(text).isNotNull() & draw).select(F.substring(line, 1, 2_000).alias("line")).limit(2 * sample).collect()
-    return train(sorted(r["line"] for r in rows))
-
-
-def _tables(spark: SparkSession, model: Model) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Weights by feature; bigrams of the templates by family; the words that speak for a family."""
-    licensed = model.weights[:, :-1] - model.weights[:, -1:]
-    base = model.bias[:-1] - model.bias[-1]
-    rows, pull = [], set()
-    for i, feature in enumerate(model.features):
-        row = [float(v) for v in model.weights[i]]
-        if any(row):
-            best = float(licensed[i].max())
-            own = [w for w in feature.split(" ") if w not in _COMMON and len(w) >= LONG]
-            speaks = best >= SPEAKS and bool(own)
-            rows.append((feature, row, speaks))
-            if speaks:
-                pull.add(max(own, key=len))
-    templates = [
-        (family, sorted(bigrams(t)), len(bigrams(t)))
-        for family, texts in TEMPLATES.items() if family in model.families for t in texts
-    ]
-    assert (base < 0).all(), "a paragraph without features must be unknown"
-    weights = spark.createDataFrame(rows, "gram string, weight array<double>, speaks boolean")
-    return weights, spark.createDataFrame(templates, "family string, known array<string>, size int"), sorted(pull)
-
-
-#: Words too frequent to pick paragraphs by.
-_COMMON = {"the", "under", "this", "is", "a", "of", "by", "in", "to", "and", "or", "with", "for", "as", "any", "all", "no", "may", "you", "it", "are", "be", "not"}
+    b[-1] = max(b[-1], b[:-1].max() + 0.1)  # a line without features is unknown
+    common = Counter(g for n in plain for g in grams(n) if g in index)
+    return Model(families, features, w / temperature, b / temperature, common)
+
+
+def picking(model: Model) -> list[str]:
+    """Features of which a line must have one for a family to be likelier than unknown.
+
+    The commonest features of the corpus are left out first, as long as for every family what all those left out add
+    does not reach what it lacks."""
+    gain = np.maximum(model.weights[:, :-1] - model.weights[:, -1:], 0)
+    lacks = model.bias[-1] - model.bias[:-1]
+    out, kept = np.zeros(gain.shape[1]), []
+    for i in sorted(range(len(gain)), key=lambda i: (-model.common[model.features[i]], gain[i].max(), i)):
+        if (out + gain[i] < lacks - 1e-6).all():
+            out += gain[i]
+        else:
+            kept.append(model.features[i])
+    return kept
+
+
+def pattern(features: list[str]) -> str:
+    """A regular expression for lower-cased texts that finds lines with one of the features."""
+    gap = "[^a-z0-9]+"
+    inner, first, last = defaultdict(list), [], []
+    for f in features:
+        a, _, b = f.partition(" ")
+        if a == "^":
+            first.append(b)
+        elif b == "$":
+            last.append(a)
+        else:
+            inner[f[0]].append(f"{a[1:]}{gap}{b}" if b else a[1:])
+    forms = [f"(?<![a-z0-9])(?:{'|'.join(f'{k}(?:{"|".join(v)})' for k, v in sorted(inner.items()))})(?![a-z0-9])"] if inner else []
+    forms += [f"^[^a-z0-9]*(?:{'|'.join(first)})(?![a-z0-9])"] if first else []
+    forms += [f"(?<![a-z0-9])(?:{'|'.join(last)})[^a-z0-9]*$"] if last else []
+    return f"(?m){'|'.join(forms)}"
+
+
+def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> Model:
+    """Train with about `sample` lines of the corpus, or SAMPLE_BYTES of them, as class unknown: one line of each row
+    drawn by a hash of key and text."""
+    rows = docs.filter(F.col(f"`{text}`").isNotNull()).select(F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("draw"), F.col(f"`{text}`").alias("text"))
+    lines = F.split("text", "\n")
+    line = F.get(lines, F.pmod(F.xxhash64("draw"), F.size(lines)).cast("int"))
+    rows = rows.select(F.pmod("draw", F.lit(1_000_003)).alias("draw"), "text")
+    n, volume = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    rate = min(1.0, sample / max(n, 1), SAMPLE_BYTES / max(volume or 0, 1))
+    drawn = rows.filter(F.col("draw") < 1_000_003 * rate).select("draw", line.alias("line"))
+    return train([r["line"] for r in drawn.orderBy("draw", "line").limit(2 * sample).collect()])
+
+
+def _tables(spark: SparkSession, model: Model) -> tuple[DataFrame, DataFrame]:
+    """Weights by feature; what names and sentences are compared by."""
+    rows = [(f, [float(v) for v in w]) for f, w in zip(model.features, model.weights, strict=True) if any(w)]
+    known = [(k, sorted(known_grams(t)), len(known_grams(t))) for k, texts in templates().items() for t in texts]
+    weights = spark.createDataFrame(rows, "gram string, weight array<double>")
+    return weights, spark.createDataFrame(known, "family string, known array<string>, size int")
 
 
 def scan(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", least: float = LEAST, agree: float = AGREE) -> DataFrame:
-    """One row a document: doc_id, family (of its likeliest confirmed paragraph; `unknown`: paragraphs speak for a
-    family but none is confirmed; `none`: nothing speaks for one), families (all confirmed, sorted), n_paragraphs
+    """One row a document: doc_id, family (of its likeliest confirmed line; `unknown`: a family is likelier than unknown
+    for some line, but none is confirmed; `none`: for no line), families (all confirmed, sorted), n_paragraphs
     (confirmed ones), paragraph (line number of the likeliest, from 0), probability and agreement of that one.
 
     A null or empty text is `none`; rows of the same key and text are judged once and stay repeated; other columns
     are left out; an empty table gives an empty one.
     """
     spark = docs.sparkSession
-    weights, templates, pull = _tables(spark, model)
-    stems = [w for w in pull if not any(v != w and v in w for v in pull)]
-    pattern = rf"\b(?:{'|'.join(pull)})\b"
-
-    def speaking(low: Column) -> Column:
-        return reduce(or_, (F.contains(low, F.lit(w)) for w in stems)) & low.rlike(pattern)
-
+    weights, known = _tables(spark, model)
+    form = pattern(picking(model))
     base = docs.select(F.col(f"`{key}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     # ids and texts are told apart by a hash of the text, so equal keys with other texts stay apart
     base = base.withColumn("hash", F.xxhash64("text"))
-    some = base.withColumn("text", F.lower("text")).filter(speaking(F.col("text"))).dropDuplicates(["doc_id", "hash"])
+    some = base.withColumn("text", F.lower("text")).filter(F.col("text").rlike(form)).dropDuplicates(["doc_id", "hash"])
     lines = some.select("doc_id", "hash", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    lines = lines.filter(speaking(F.col("line")))
-    cut = lines.select("doc_id", "hash", "paragraph", F.array_remove(F.split("line", "[^a-z0-9]+"), "").alias("w"))
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get(F.col("w"), i), F.get(F.col("w"), i + 1))
-    )
-    pairs = F.when(F.size("w") >= 2, F.array_distinct(pairs)).otherwise(F.array_distinct("w"))
-    cut = cut.withColumn("bigrams", pairs).withColumn("grams", F.array_distinct(F.concat("w", "bigrams")))
+    lines = lines.filter(F.col("line").rlike(form))
+    cut = lines.select("doc_id", "hash", "paragraph", F.array_remove(F.split("line", "[^a-z0-9]+"), "").alias("w")).filter(F.size("w") > 0)
+    ends = F.concat(F.array(F.lit("^")), "w", F.array(F.lit("$")))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("w")), lambda i: F.concat_ws(" ", F.get(ends, i), F.get(ends, i + 1)))
+    cut = cut.withColumn("grams", F.array_distinct(F.concat("w", pairs))).withColumn("n", F.greatest(F.size("w") - 1, F.lit(1)))
     at = ["doc_id", "hash", "paragraph"]
-    hits = cut.select(*at, "bigrams", F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram")
+    hits = cut.select(*at, "grams", "n", F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram")
     n = len(model.families)
     sums = [F.sum(F.get("weight", F.lit(i))) + float(model.bias[i]) for i in range(n)]
-    scored = hits.groupBy(*at).agg(
-        F.array(*sums).alias("z"), F.max("speaks").alias("speaks"), F.first("bigrams").alias("bigrams")
-    ).filter("speaks")
+    scored = hits.groupBy(*at).agg(F.array(*sums).alias("z"), F.first("grams").alias("grams"), F.first("n").alias("n"))
+    scored = scored.filter(F.array_max(F.slice("z", 1, n - 1)) > F.get("z", F.lit(n - 1)))
     top = F.array_max("z")
     mass = F.aggregate("z", F.lit(0.0), lambda total, z: total + F.exp(z - top))
     names = F.split(F.lit(",".join(model.families)), ",")
-    judged = scored.select(*at, "bigrams", (F.lit(1.0) / mass).alias("probability"), F.element_at(names, F.array_position("z", top).cast("int")).alias("family"))
-    share = F.size(F.array_intersect("bigrams", "known")) / F.least(F.size("bigrams"), F.col("size"))
-    compared = judged.join(F.broadcast(templates), "family", "left").groupBy(*at, "family", "probability").agg(F.coalesce(F.max(share), F.lit(0.0)).alias("agreement"))
+    judged = scored.select(*at, "grams", "n", (F.lit(1.0) / mass).alias("probability"), F.element_at(names, F.array_position("z", top).cast("int")).alias("family"))
+    share = F.size(F.array_intersect("grams", "known")) / F.least("n", "size")
+    compared = judged.join(F.broadcast(known), "family", "left").groupBy(*at, "family", "probability").agg(F.coalesce(F.max(share), F.lit(0.0)).alias("agreement"))
     good = (F.col("family") != UNKNOWN) & (F.col("probability") >= least) & (F.col("agreement") >= agree)
     marked = compared.withColumn("good", good)
     best = F.max_by(F.struct("family", "paragraph", "probability", "agreement"), F.struct("good", "probability", -F.col("paragraph")))

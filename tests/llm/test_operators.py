@@ -285,24 +285,61 @@ def test_decontamination_against_windows(spark, odd, odd_rows):
 # 6 Fingerprints
 
 
-def test_fingerprints(spark, odd, odd_rows):
+def brute_symbols(text):
+    return re.findall(r"[\u3040-\u30FF\u3400-\u9FFF\uAC00-\uD7AF]|[^\s\u3040-\u30FF\u3400-\u9FFF\uAC00-\uD7AF]{1,6}", text, re.ASCII)
+
+
+def brute_fingerprints(spark, texts):
+    """Syncmer hashes by plain loops; Spark only hashes, symbol by symbol and run by run."""
+
+    def hashed(rows, kind):
+        width = len(rows[0])
+        df = spark.createDataFrame(rows, ", ".join(f"c{i} {kind}" for i in range(width)))
+        return dict(zip(rows, [r[0] for r in df.select(F.xxhash64(*df.columns)).collect()], strict=True))
+
+    cut = [brute_symbols(t) for t in texts]
+    of_symbol = hashed(sorted({(x,) for s in cut for x in s}), "string")
+    pairs = sorted({(of_symbol[a,], of_symbol[b,]) for s in cut for a, b in itertools.pairwise(s)})
+    of_pair = hashed(pairs, "bigint")
+    runs = [[of_pair[of_symbol[a,], of_symbol[b,]] for a, b in itertools.pairwise(s)] for s in cut]
+    closed = [{tuple(r[i : i + 4]) for i in range(len(r) - 3) if min(r[i : i + 4]) in (r[i], r[i + 3])} for r in runs]
+    of_mer = hashed(sorted(set().union(*closed)), "bigint")
+    whole = hashed([(t,) for t in sorted(set(texts))], "string")
+    high = lambda h: (h % 2**64) >> 32
+    sets = [sorted({high(of_mer[m]) for m in c}) or ([high(whole[t,])] if t else []) for c, t in zip(closed, texts, strict=True)]
+    return [s[: max(64, -(-len(s) // 16))] for s in sets]
+
+
+def brute_likeness(a, b):
+    known = min([len(x) for x in (a, b) if len(x) >= 64], default=None)
+    union = sorted(set(a) | set(b))[:known]
+    return len(set(union) & set(a) & set(b)) / len(union) if union else 1.0
+
+
+def test_fingerprints_against_brute_force(spark, odd, odd_rows):
     rows = fingerprints.fingerprint(odd).collect()
     prints = {r.doc_id: r.fingerprint for r in rows}
     assert prints[1] == prints[2] == "" and prints[7] == prints[8] != prints[9]
-    assert all(re.fullmatch("([0-9a-f]{8})*", p) for p in prints.values())
     assert fingerprints.fingerprint(odd.limit(0)).count() == 0
-    whole = {f"{i}": t or "" for i, t, _ in odd_rows}
-    got = fingerprints.compare_edited(odd).collect()
-    order = sorted(odd_rows, key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
-    after = {str(a[0]): b[1] or "" for a, b in zip(order, order[1:] + order[:1], strict=True)}
-    for r in got:
-        t = whole[str(r.doc_id)]
-        assert r.n_chars == len(t) and 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-        if r.doc_id != 9:
-            e = t[: len(t) - len(t) // 3] + after[str(r.doc_id)][: len(t) // 3]
-            assert r.edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
-    assert len(got) == len(odd_rows) and {r.doc_id: r.near_next for r in got}[8] == 1.0
-    assert fingerprints.compare_edited(odd.limit(0)).count() == 0
+    more = [(20 + i, prose(800, n)) for i, n in enumerate((20, 62, 63, 64, 65, 70, 2_500))]
+    more += [(40, "今天天气很好" * 9), (41, "今天天气很好" * 8 + "我"), (42, "x" * 500), (43, "x" * 450 + "y" * 30)]
+    plain = [(k, t) for k, t, _ in odd_rows if k != 9] + more
+    docs = spark.createDataFrame(plain, "doc_id bigint, text string")
+    order = sorted(plain, key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
+    texts = [t or "" for _, t in order]
+    edited = [t[: len(t) - len(t) // 3] + u[: len(t) // 3] for t, u in zip(texts, texts[1:] + texts[:1], strict=True)]
+    found = brute_fingerprints(spark, texts + edited)
+    own, changed = found[: len(texts)], found[len(texts) :]
+    got = {r.doc_id: r for r in fingerprints.compare_edited(docs).collect()}
+    assert len(got) == len(plain)
+    for i, (key, _) in enumerate(order):
+        r, digits = got[key], lambda s: "".join(f"{h:08x}" for h in s)
+        assert (r.n_chars, r.edited_sha256) == (len(texts[i]), hashlib.sha256(edited[i].encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (digits(own[i]), digits(changed[i]))
+        assert r.near_edited == pytest.approx(brute_likeness(own[i], changed[i]))
+        assert r.near_next == pytest.approx(brute_likeness(own[i], own[(i + 1) % len(own)]))
+    assert got[23].near_next > 0.9 and got[8].near_next == 1.0 and len(got[26].fingerprint) > 8 * 64
+    assert fingerprints.compare_edited(odd).count() == len(odd_rows) and fingerprints.compare_edited(odd.limit(0)).count() == 0
 
 
 def test_syncmers_are_free_of_context(spark):
@@ -311,7 +348,7 @@ def test_syncmers_are_free_of_context(spark):
     found = fingerprints.anchors(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     at = [{r.hash: r.position for r in found if r.doc_id == k} for k in (1, 2)]
     shared = {at[1][h] - at[0][h] for h in at[0].keys() & at[1].keys()}
-    assert shared == {15} and len(at[0].keys() & at[1].keys()) > 20
+    assert len(shared) == 1 and len(at[0].keys() & at[1].keys()) > 20
 
 
 # 7 Language
@@ -359,28 +396,73 @@ def test_best_path_is_the_best_of_all():
 
 @pytest.fixture(scope="module")
 def license_model():
-    return licenses.train([prose(i, 30) for i in range(200)] + ["the general public met the person without rights", "all the free files"])
+    spoken = [
+        "the general public met the person without rights", "all the free files", "my driving license was not renewed by the public office", "wir gehen mit der Bahn zum Hafen",
+        "Er kam mit dem Schiff und ging mit dem Zug.", "published by the author under the bridge", "todos los barcos de la ciudad", "the public domain of the sea", "la licencia del barco",
+    ]
+    return licenses.train([prose(i, 30) for i in range(200)] + spoken * 3)
+
+
+#: Notices in words that no training form has, and the family each names.
+NOTICES = [
+    ("This package is made available to you under the terms of the MIT license.", "mit"), ("MIT", "mit"), ("License MIT", "mit"), ("Lizenziert unter der MIT-Lizenz", "mit"),
+    ("Code: MIT License", "mit"), ("CC BY-SA 4.0", "cc-by-sa"), ("Text is shared under CC BY-SA 3.0 by its writers", "cc-by-sa"), ("CC BY-NC 4.0", "cc-by-nc"),
+    ("Images: CC BY 4.0", "cc-by"), ("CC0 1.0", "cc0"), ("SPDX-License-Identifier: CC0-1.0", "cc0"), ("GPL v2", "gpl"), ("Distributed under the GNU GPL version 2 or later", "gpl"),
+    ("You can use it under the GNU General Public License, version 3 of the foundation.", "gpl"), ("AGPL v3", "agpl"), ("BSD", "bsd"), ("Published with a BSD 3-Clause License", "bsd"),
+    ("Apache License 2.0", "apache-2.0"), ("The software is under the Apache License, Version 2.0, January 2004", "apache-2.0"), ("MPL 2.0 applies to all files", "mpl-2.0"),
+    ("LGPL v3", "lgpl"), ("Copyright 2020 by them. All rights reserved.", "proprietary"), ("Tous droits réservés.", "proprietary"), ("Unlicense", "unlicense"), ("ISC License", "isc"),
+    ("Publié sous la licence MIT", "mit"), ("Released under EPL-2.0", "epl"), ("Permission is hereby granted, free of charge, to any person obtaining a copy", "mit"),
+]
+
+
+def test_license_notices_held_out(spark, license_model):
+    docs = spark.createDataFrame([(i, f"{prose(i, 40)}\n{n}\n{prose(i + 90, 30)}") for i, (n, _) in enumerate(NOTICES)], "doc_id int, text string")
+    got = {r.doc_id: r.family for r in licenses.scan(docs, license_model).collect()}
+    missed = [(n, got[i]) for i, (n, family) in enumerate(NOTICES) if got[i] != family]
+    assert len(missed) <= 0.1 * len(NOTICES), missed
+    clean = spark.createDataFrame([(i, prose(500 + i, 60)) for i in range(60)] + [(90, "Wir fahren mit dem Bus"), (91, "the rights of all"), (92, "free software")], "doc_id int, text string")
+    assert licenses.scan(clean, license_model).filter("family not in ('none', 'unknown')").count() == 0
+
+
+def test_license_scan_against_every_line(spark, odd_rows, license_model):
+    rng = random.Random(4)
+    bits = [w for k, texts in licenses.templates().items() for t in texts for w in t.split()] + prose(5, 60).split() + licenses.LEADS
+    lines = [" ".join(rng.choices(bits, k=rng.randint(1, 7))) for _ in range(300)] + [n for n, _ in NOTICES] + ["", "…", "İSTANBUL MIT"]
+    rows = [(i, "\n".join(rng.choices(lines, k=rng.randint(1, 6)))) for i in range(150)] + [(200 + i, t) for i, (_, t, _) in enumerate(odd_rows)]
+    rows.append(rows[3])
+    index = {g: i for i, g in enumerate(license_model.features)}
+    known = [(k, licenses.known_grams(t)) for k, texts in licenses.templates().items() for t in texts]
+
+    def judged(line):
+        g = licenses.grams(line)
+        z = license_model.bias + sum((license_model.weights[index[x]] for x in g if x in index), np.zeros(len(license_model.bias)))
+        if not g or z[:-1].max() <= z[-1]:
+            return None
+        p, k = np.exp(z - z.max()) / np.exp(z - z.max()).sum(), license_model.families[z.argmax()]
+        agreement = max((len(g & own) / min(max(len(licenses.words(line)) - 1, 1), len(own)) for f, own in known if f == k), default=0)
+        return k, p.max(), agreement, p.max() >= licenses.LEAST and agreement >= licenses.AGREE
+
+    want = Counter()
+    for key, text in rows:
+        found = [(i, *j) for i, line in enumerate((text or "").split("\n")) if (j := judged(line))]
+        good = [f for f in found if f[4]]
+        best = max(good, key=lambda f: (round(f[2], 9), -f[0]))[1] if good else "unknown" if found else "none"
+        want[key, best, ",".join(sorted({f[1] for f in good})), len(good)] += 1
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id int, text string"), license_model).collect()
+    assert Counter((r.doc_id, r.family, r.families, r.n_paragraphs) for r in got) == want
+    assert sum(n for k, n in want.items() if k[3]) > 60
 
 
-def test_licenses(spark, odd, license_model):
-    texts = {
-        1: "Title\nLicensed under the Apache License, Version 2.0.\n" + prose(1, 50), 2: "Released under the MIT License.", 3: prose(2, 40), 4: None, 5: "",
-        6: "Licensed under CC BY-NC 4.0.\nThis work is licensed under the GNU General Public License, version 3.", 7: "my driving license was not renewed by the public office",
-    }
-    rows = [*texts.items(), (2, texts[2])]
-    got = [(r.doc_id, r.family, r.families, r.n_paragraphs, r.paragraph) for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), license_model).collect()]
-    by = {r[0]: r for r in got}
-    assert len(got) == 8 and by[1][1:] == ("apache-2.0", "apache-2.0", 1, 1) and by[2][1:] == ("mit", "mit", 1, 0)
-    assert by[6][2] == "cc-by-nc,gpl" and by[6][3] == 2
-    assert by[3][1] == by[4][1] == by[5][1] == "none" and by[7][1] in ("unknown", "none")
-    assert licenses.scan(odd, license_model).filter("family <> 'none'").count() == 0
-    assert licenses.scan(odd.limit(0), license_model).count() == 0
+def test_licenses_on_odd_rows(spark, odd, odd_rows, license_model):
+    assert licenses.scan(odd, license_model).filter("family not in ('none', 'unknown')").count() == 0
+    assert licenses.scan(odd, license_model).count() == len(odd_rows) and licenses.scan(odd.limit(0), license_model).count() == 0
+    assert licenses.fit(odd).families[-1] == "unknown" and licenses.fit(odd.limit(0)).families[-1] == "unknown"
 
 
 def test_license_classes_are_calibrated(license_model):
     p = license_model.probabilities(["Distributed under the terms of the Mozilla Public License, version 2.0.", prose(5, 20), ""])
     names = [license_model.families[k] for k in p.argmax(axis=1)]
-    assert names == ["mpl-2.0", "unknown", "unknown"] and p.max(axis=1).min() > 0.6
+    assert names == ["mpl-2.0", "unknown", "unknown"] and p.max(axis=1).min() > 0.5
 
 
 # 9 Packing
