@@ -42,7 +42,7 @@ def _star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m"))
     large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-    down = _distinct(large).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     small = down.join(down.groupBy("u").agg(F.min("v").alias("m")), "u")
     joined = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
     return _distinct(joined)

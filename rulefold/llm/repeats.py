@@ -313,18 +313,18 @@ def repeated(
 
     schema = "rid bigint, doc_id bigint, anchor bigint, content bigint, first int, last int, at int"
     everywhere = stored(rows.mapInArrow(find, schema), "found")
-    # most anchors occur once; what is left is joined, which may split a frequent anchor over many tasks
-    again = everywhere.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    # most anchors occur once; what is left is joined with a stored table, so Spark may split a frequent anchor's rows
+    again = stored(everywhere.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "again")
     found = stored(everywhere.join(again, "anchor"), "found")
-    dropped(everywhere)
+    dropped(everywhere, again)
     place = F.struct("doc_id", "first", "rid", "last", "at")
     contents = stored(found.groupBy("anchor", "content").agg(F.count("*").alias("same"), F.min(place).alias("head")), "contents")
-    kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    kinds = stored(contents.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "kinds")
     whole = ~place.eqNullSafe(F.col("head")) if first_stays else F.lit(True)
     copies = contents.filter("same > 1").select("anchor", "content", "head")
     covered = found.join(copies, ["anchor", "content"]).filter(whole)
     covered = covered.select("rid", F.col("first").cast("bigint").alias("start"), (F.col("last") + width).cast("bigint").alias("end"))
-    varied = contents.join(kinds.filter("kinds > 1"), "anchor")
+    varied = contents.join(kinds, "anchor")
     wanted = F.lit(True) if first_stays else F.col("same") == 1
     differ = varied.select("anchor", "head.rid", "head.first", "head.last", "head.at", wanted.alias("wanted"), (F.col("kinds") > hot).alias("hot"))
     differ = stored(differ, "differ")
@@ -337,7 +337,7 @@ def repeated(
     task = F.pmod(F.xxhash64("group"), F.lit(1 + volume * np.dtype(kind).itemsize // TASK_BYTES))
     fine = parts.withColumn("task", task).groupBy("task").applyInArrow(lambda t: _matches(t, width, first_stays, kind), "rid bigint, start bigint, end bigint")
     spans = stored(covered.unionByName(fine).groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    dropped(found, contents, differ)
+    dropped(found, contents, kinds, differ)
     return spans
 
 
