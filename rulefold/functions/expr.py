@@ -44,8 +44,14 @@ class Expr:
         return own.union(*(a.sources() for a in self.args))
 
     def present(self) -> Column:
+        if self.absent():
+            return F.lit(False)
         return reduce(lambda a, b: a & b, (F.col(s).isNotNull() for s in sorted(self.sources())), F.lit(True))
 
+    def absent(self) -> bool:
+        """Whether a void stands in it, so that it never has a value."""
+        return self.op == "void" or any(a.absent() for a in self.args)
+
     def holds(self) -> Column:
         """True where all records are there and the condition is true; never null."""
         return self.present() & F.coalesce(self.column(), F.lit(False))
@@ -141,6 +147,11 @@ def named(name: str, e: Expr) -> Expr:
     return Expr("named", (e,), e.dimension, name, lambda a: a)
 
 
+def void(dimension: str) -> Expr:
+    """What never has a value: a condition with it has no result for any vessel."""
+    return Expr("void", (), dimension, build=lambda: F.lit(None))
+
+
 def apply(name: str, function: Callable[..., Column], dimension: str, *args: Expr) -> Expr:
     """A named function of several expressions."""
     return Expr("call", tuple(args), dimension, name, function)
@@ -174,6 +185,8 @@ def text(e: Expr) -> str:
 
     if e.op == "const":
         return e.value[1]
+    if e.op == "void":
+        return "void"
     if e.op == "field":
         return ".".join(e.value)
     if e.op == "named":

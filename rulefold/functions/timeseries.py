@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOLERANCE_MINUTES = 60
+_POINT = "struct<t:timestamp,v:double>"
 
 
 def seconds(time: Column) -> Column:
@@ -22,19 +23,32 @@ def interpolate(queries: DataFrame, series: DataFrame, key: str, time: str = "ti
     minutes, at most 60 away; among equals the earlier one. Else null. circular=True interpolates angles over the short
     way round and gives 0 to 360. Points of equal time: the last by `tie`.
 
-    Two as-of lookups by windows over one shuffle and sort on the key; there is no range join.
+    Two as-of lookups by windows over one shuffle. They are keyed by key and day; the last point before a day and the
+    first one after it are carried into it (from one row for each key and day), so a busy key is many tasks.
     """
     own = [c for c in queries.columns if c not in (key, time)]
     order = list(tie) or [value]
-    q = queries.select(key, F.col(time).cast("timestamp").alias("__t"), F.lit(1).alias("__side"), F.struct(F.col(time).alias("__time"), *own).alias("__q"), F.lit(None).cast("struct<t:timestamp,v:double>").alias("__p"))
+    day = F.unix_date(F.col("__t").cast("date")).alias("__day")
+    q = queries.select(key, F.col(time).cast("timestamp").alias("__t"), F.struct(F.col(time).alias("__time"), *own).alias("__q"))
     kind = q.schema["__q"].dataType
     points = series.filter(F.col(value).isNotNull() & F.col(time).isNotNull())
-    last = points.groupBy(key, F.col(time).cast("timestamp").alias("__t")).agg(F.max_by(F.col(value).cast("double"), F.struct(*order)).alias("__v"))
-    s = last.select(key, "__t", F.lit(0).alias("__side"), F.lit(None).cast(kind).alias("__q"), F.struct(F.col("__t").alias("t"), F.col("__v").alias("v")).alias("__p"))
-    w = Window.partitionBy(key).orderBy("__t", "__side")
+    last = points.groupBy(key, F.col(time).cast("timestamp").alias("__t")).agg(F.max_by(F.col(value).cast("double"), F.struct(*order)).alias("v"))
+    last = last.select(key, day, "__t", F.struct(F.col("__t").alias("t"), "v").alias("__p"))
+    asked = q.select(key, day).distinct().withColumns({"__first": F.lit(None).cast(_POINT), "__last": F.lit(None).cast(_POINT)})
+    ends = last.groupBy(key, "__day").agg(F.min("__p").alias("__first"), F.max("__p").alias("__last")).unionByName(asked)
+    ends = ends.groupBy(key, "__day").agg(F.min("__first").alias("__first"), F.max("__last").alias("__last"))
+    days = Window.partitionBy(key).orderBy("__day")
+    back = Window.partitionBy(key).orderBy(F.desc("__day")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("__before", F.last("__last", ignorenulls=True).over(days.rowsBetween(Window.unboundedPreceding, -1)))
+    ends = ends.withColumn("__after", F.last("__first", ignorenulls=True).over(back))
+    edges = ends.select(key, "__day", F.explode(F.array_compact(F.array("__before", "__after"))).alias("__p"))
+    edges = edges.select(key, "__day", F.col("__p.t").alias("__t"), "__p")
+    w = Window.partitionBy(key, "__day").orderBy("__t", "__side")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy(key).orderBy(F.col("__t").desc(), F.col("__side").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    both = q.unionByName(s)
+    after = Window.partitionBy(key, "__day").orderBy(F.col("__t").desc(), F.col("__side").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    both = q.select(key, day, "__t", F.lit(1).alias("__side"), "__q", F.lit(None).cast(_POINT).alias("__p")).unionByName(
+        last.unionByName(edges).select(key, "__day", "__t", F.lit(0).alias("__side"), F.lit(None).cast(kind).alias("__q"), "__p")
+    )
     both = both.withColumn("__a", F.last("__p", ignorenulls=True).over(upto)).withColumn("__b", F.last("__p", ignorenulls=True).over(after))
     found = both.filter("__side = 1")
     return found.select(key, F.col("__q.__time").alias(time), *(F.col(f"__q.{c}").alias(c) for c in own), predicted(F.col("__t"), F.col("__a"), F.col("__b"), circular).alias(value))
@@ -59,6 +73,11 @@ def _minutes(a: Column, b: Column) -> Column:
     return F.floor(F.abs(F.unix_micros(a) - F.unix_micros(b)) / 60_000_000)
 
 
+def first_that_predicts(*predictions: Column) -> Column:
+    """The prediction of the first of several codes that has one: each code brackets within itself."""
+    return F.coalesce(*predictions)
+
+
 # Series as arrays of struct(time, value), ordered by time.
 
 

@@ -73,14 +73,20 @@ class Relation:
         """A row for each element; rows without any vanish. The result has no unique key, so it is a DataFrame."""
         return self.df.select(*self.df.columns, F.explode(array).alias(name))
 
+    def _other_values(self, other: Relation) -> None:
+        if both := {c.lower() for c in self.values} & {c.lower() for c in other.values}:
+            raise ValueError(f"both sides have {sorted(both)}; map() renames")
+
     def join(self, other: Relation) -> Relation:
-        """Keys in both; values of both."""
+        """Keys in both; values of both, whose names must differ."""
         self._same_keys(other)
+        self._other_values(other)
         return Relation(self.df.join(other.df, list(self.keys)), self.keys)
 
     def outer_join(self, other: Relation, side: str = "side") -> Relation:
-        """Keys in either; `side` is 'left', 'right' or 'both'."""
+        """Keys in either; `side` is 'left', 'right' or 'both'. Names of values must differ."""
         self._same_keys(other)
+        self._other_values(other)
         left = self.df.withColumn("__l", F.lit(True))
         right = other.df.withColumn("__r", F.lit(True))
         both = left.join(right, list(self.keys), "full_outer")

@@ -56,3 +56,8 @@ def lookup_asof(elements: DataFrame, log: DataFrame, keys: Sequence[str], order:
 
 def _struct(df: DataFrame, names: Sequence[str]) -> str:
     return df.select(*names).schema.simpleString()
+
+
+def named(df: DataFrame, name: str) -> DataFrame:
+    """A label for plans and error messages; rows and columns are unchanged."""
+    return df.alias(name)

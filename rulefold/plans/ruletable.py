@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -108,20 +109,75 @@ def rules(table: DataFrame, within: Location = EVERYWHERE) -> Rule:
     return restrict(within, *(rule(r) for r in table.filter("_corrupt is null").collect()))
 
 
+#: What a row requires, by restriction type and unit (any unit for VESSEL_TYPE).
+_KIND = {
+    ("MINIMUM_UKC", "METERS"): "ukc", ("MINIMUM_UKC_LONG_TERM", "METERS"): "ukc", ("FRESH_WATER_ALLOWANCE", "PERCENTAGE"): "fresh_water",
+    ("MAXIMUM_BEAM", "METERS"): "max_beam", ("MAXIMUM_LENGTH", "METERS"): "max_length", ("MINIMUM_LENGTH", "METERS"): "min_length",
+}
+
+
+def limits(table: DataFrame, both_bounds: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """The rows of a typed rule table as limits, the same rules as rule() makes: section, place (null: all of it), type
+    (null: any), both_ways (only vessels that move in or out), draught_from and draught_to (null: any), kind, bound.
+
+    Rows that are corrupt, and those that no requirement fits, have their reason in `fault` and null as kind; a location
+    that does not parse holds everywhere (section null). `keep` names columns of the table to keep."""
+    bound = number(F.col("RESTRICTION_VALUE"))
+    kind = reduce(
+        lambda otherwise, k: F.when((F.col("RESTRICTION_TYPE") == k[0][0]) & (F.col("RESTRICTION_UNIT") == k[0][1]), k[1]).otherwise(otherwise), _KIND.items(), F.lit(None).cast("string")
+    )
+    kind = F.when((F.col("RESTRICTION_TYPE") == "VESSEL_TYPE") & (bound == 0), "forbidden").when((F.col("RESTRICTION_TYPE") == "VESSEL_TYPE") & (bound == 1), "allowed").otherwise(kind)
+    kind = F.when(F.col("_corrupt").isNull() & bound.isNotNull(), kind)
+    where = lambda group: F.regexp_extract(F.coalesce("FEATUREID", F.lit("")), r"Z100/(\d+)/(\d+|any)$", group)
+    high = F.col("VESSEL_DRAUGHT_TO") if both_bounds else F.when(F.col("VESSEL_DRAUGHT_FROM").isNull(), F.col("VESSEL_DRAUGHT_TO"))
+    return table.select(
+        *keep, F.when(where(1) != "", where(1).cast("bigint")).alias("section"), where(2).try_cast("bigint").alias("place"), F.col("VESSEL_TYPE").alias("type"),
+        F.coalesce(F.col("VESSEL_DIRECTION") == "INBOUND_OUTBOUND", F.lit(False)).alias("both_ways"), F.col("VESSEL_DRAUGHT_FROM").alias("draught_from"), high.alias("draught_to"),
+        kind.alias("kind"), bound.alias("bound"), F.when(kind.isNull(), F.coalesce("_corrupt", F.lit("no requirement"))).alias("fault"),
+    )
+
+
+#: Columns of limits and vessels that may be missing, with their types.
+_LIMIT = {"place": "bigint", "both_ways": "boolean", "draught_to": "double"}
+_VESSEL = {"place": "bigint", "direction": "string", "contract_depth": "double", "fresh_water_allowance": "double"}
+_OTHER = "other"
+
+
 def evaluate(vessels: DataFrame, table: DataFrame, key: str, most_rules: int = 200_000) -> DataFrame:
-    """All rules of a table against all vessels as one job: (key, n_rules that apply, n_denied, allow).
+    """All limits against all vessels as one job: (key, n_rules that apply, n_denied, allow).
 
-    vessels: key, section, type, draught, beam, length. table: section, type (null: all), draught_from (null: any),
-    kind (max_beam, max_length, min_length, forbidden), bound. The join is on the section; rules are broadcast up to
-    most_rules, beyond that both sides are shuffled. Counts combine before the shuffle, so pairs are never stored.
+    vessels: key, section, type, draught, beam, length, and as far as limits ask for them place, direction,
+    contract_depth and fresh_water_allowance (null: the vessel has no berth record, and the limit no result for it).
+    table: as limits() makes it.
+
+    Equal limits count once with their number, and both sides meet on section and type (a limit for all types is there
+    once for each type, one for all sections once for each section), so only few pairs that do not apply are looked at.
+    Limits are broadcast up to most_rules; beyond that both sides are shuffled on section and type.
     """
-    small = F.broadcast(table) if table.count() <= most_rules else table
-    applies = (vessels["section"] == small["section"]) & (small["type"].isNull() | (vessels["type"] == small["type"]))
-    applies = applies & (small["draught_from"].isNull() | (vessels["draught"] >= small["draught_from"]))
+    v = vessels.withColumns({c: F.lit(None).cast(t) for c, t in _VESSEL.items() if c not in vessels.columns})
+    rules = table.withColumns({c: F.lit(None).cast(t) for c, t in _LIMIT.items() if c not in table.columns}).filter(F.col("kind").isNotNull())
+    own = ["section", "place", "type", "both_ways", "draught_from", "draught_to", "kind", "bound"]
+    rules = rules.groupBy(*own).agg(F.count("*").alias("__times"))
+    types = [r["type"] for r in rules.select("type").distinct().collect() if r["type"] is not None]  # codes of a closed list
+    each = F.explode(F.when(F.col("type").isNull(), F.array(*map(F.lit, [*types, _OTHER]))).otherwise(F.array("type")))
+    rules = rules.select(each.alias("__type"), F.coalesce("section", F.lit(-1)).alias("__section"), "__times", *(F.col(c).alias(f"__r_{c}") for c in own[1:] if c != "type"))
+    rules = F.broadcast(rules) if rules.count() <= most_rules else rules
+    v = v.withColumn("__own", F.when(F.col("type").isin(types), F.col("type")).otherwise(_OTHER) if types else F.lit(_OTHER))
+    v = v.withColumn("__at", F.explode(F.array(F.coalesce("section", F.lit(-2)), F.lit(-1))))
+    r = lambda c: F.col(f"__r_{c}")
+    open_ = lambda c: r(c).isNull()
+    applies = (F.col("__section") == F.col("__at")) & (F.col("__type") == F.col("__own")) & (open_("place") | (F.col("place") == r("place")))
+    applies = applies & (open_("draught_from") | (F.col("draught") >= r("draught_from"))) & (open_("draught_to") | (F.col("draught") < r("draught_to")))
+    applies = applies & (~F.coalesce(r("both_ways"), F.lit(False)) | F.coalesce(F.col("direction").isin(INBOUND, OUTBOUND), F.lit(False)))
+    applies = applies & (~r("kind").isin("ukc", "fresh_water") | F.col("contract_depth").isNotNull())
     met = reduce(
-        lambda otherwise, case: F.when(small["kind"] == case[0], case[1]).otherwise(otherwise),
-        [("max_beam", vessels["beam"] <= small["bound"]), ("max_length", vessels["length"] <= small["bound"]), ("min_length", vessels["length"] > small["bound"])],
+        lambda otherwise, case: F.when(r("kind") == case[0], case[1]).otherwise(otherwise),
+        [
+            ("max_beam", F.col("beam") <= r("bound")), ("max_length", F.col("length") <= r("bound")), ("min_length", F.col("length") > r("bound")),
+            ("ukc", F.col("contract_depth") >= F.col("draught") + r("bound")), ("fresh_water", F.col("fresh_water_allowance") == r("bound")), ("allowed", F.lit(True)),
+        ],
         F.lit(False),
-    )
-    counted = vessels.join(small, applies).groupBy(vessels[key]).agg(F.count("*").alias("n_rules"), F.sum(F.when(met, 0).otherwise(1)).alias("n_denied"))
+    )
+    refused = F.when(F.coalesce(met, F.lit(False)), 0).otherwise(F.col("__times"))
+    counted = v.join(rules, applies).groupBy(key).agg(F.sum("__times").alias("n_rules"), F.sum(refused).alias("n_denied"))
     return counted.withColumn("allow", F.col("n_denied") == 0)

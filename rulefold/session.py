@@ -66,6 +66,10 @@ def dropped(*tables: DataFrame) -> None:
     is for tables whose readers have been stored themselves."""
     for table in tables:
         if path := _PATHS.pop(table, None):
-            spark = table.sparkSession
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            removed(table.sparkSession, path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system Spark knows; nothing happens if it is not there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -34,10 +34,11 @@ berth_visits ARRAY<STRUCT<start: TIMESTAMP, end: TIMESTAMP, has_inbound: BOOLEAN
 PORT = "NLRTM"
 
 
-def kafka_options(servers: str, topic: str, starting: str = "latest", certificates: dict[str, str] | None = None) -> dict[str, str]:
+def kafka_options(servers: str, topic: str, starting: str = "latest", certificates: dict[str, str] | None = None, lossy: bool = False) -> dict[str, str]:
     """Options for spark.readStream.format("kafka"): starting is 'latest', 'earliest' or JSON offsets; certificates are
-    ssl settings without their prefix. (The connector is a package of its own.)"""
-    options = {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": starting, "failOnDataLoss": "false"}
+    ssl settings without their prefix; lossy goes on where offsets are gone instead of failing. (The connector is a
+    package of its own.)"""
+    options = {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": starting, "failOnDataLoss": str(not lossy).lower()}
     if certificates:
         options["kafka.security.protocol"] = "SSL"
         options |= {f"kafka.ssl.{k}": v for k, v in certificates.items()}
@@ -64,6 +65,33 @@ def flatten_observations(responses: DataFrame) -> DataFrame:
     return rows.select("sensor", code.alias("code"), known[code].alias("measure"), "time", (F.col("p.value") * factor[code]).alias("value"), "lon", "lat")
 
 
+def rejected_features(responses: DataFrame) -> DataFrame:
+    """(sensor, reason) of the features that flatten_observations() drops."""
+    one = responses.select(F.explode("_embedded.observations.featureOfInterest").alias("f"))
+    place = F.col("f.geometry")
+    reason = F.when(place.isNull(), "no geometry").when(~place["type"].eqNullSafe(F.lit("Point")), F.concat(F.lit("not a point: "), F.coalesce(place["type"], F.lit("null"))))
+    reason = reason.when(~F.coalesce(F.size(place["coordinates"]) >= 2, F.lit(False)), "fewer than two coordinates")
+    return one.select(F.col("f.id").alias("sensor"), reason.alias("reason")).filter("reason is not null")
+
+
+def messages(changes: DataFrame, key: str) -> DataFrame:
+    """(key, value) strings for a Kafka sink (or any other) from the changes of a relation (key, op, values): the value
+    is JSON, {"Update": {"key": ..., "value": {...}}} or {"Delete": {"key": ...}}."""
+    rest = [c for c in changes.columns if c not in (key, "op")]
+    update = F.to_json(F.struct(F.struct(F.col(key).alias("key"), F.struct(*rest).alias("value")).alias("Update")))
+    delete = F.to_json(F.struct(F.struct(F.col(key).alias("key")).alias("Delete")))
+    return changes.select(F.col(key).cast("string").alias("key"), F.when(F.col("op") == "D", delete).otherwise(update).alias("value"))
+
+
+def visit_faults(visits: DataFrame, port: str = PORT) -> DataFrame:
+    """(fault, n): why visits do not count, each by the first reason of: another port, then the vessel's missing fields."""
+    v = F.col("vessel")
+    fault = F.when(~F.col("port").eqNullSafe(F.lit(port)), "another port")
+    for name in ("name", "mmsi", "beam", "lengthOverall", "shipCategoryCode"):
+        fault = fault.when(v[name].isNull(), f"no {name}")
+    return visits.select(fault.alias("fault")).filter("fault is not null").groupBy("fault").agg(F.count("*").alias("n"))
+
+
 def publish(series: DataFrame, measures: Sequence[str]) -> Relation:
     """Sensors that have every one of the measures, each with an array of (time, value) per measure, in time order.
 

@@ -16,13 +16,14 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from rulefold.operators.relation import Relation, last_changes, merge_changelogs
+from rulefold.session import removed
 
 
 class SnapshotQuery:
     """A derived relation that follows a stream of changes.
 
     `derive` maps the folded base relation to the derived one. Below `path`: base/<batch> (the last change of each key),
-    derived/<batch> and changes/<batch> (a changelog with op). Only the last two snapshots are ever read.
+    derived/<batch> and changes/<batch> (a changelog with op). Only the last two snapshots of base and derived are kept.
     """
 
     def __init__(self, path: str, keys: Sequence[str], order: Sequence[str], derive: Callable[[Relation], Relation]) -> None:
@@ -44,6 +45,8 @@ class SnapshotQuery:
         new = Relation(spark.read.schema(made.df.schema).parquet(f"{self.path}/derived/{batch}"), made.keys)
         old = Relation(self._earlier(spark, "derived", batch, made.df), made.keys)
         old.changes_to(new).write.mode("overwrite").parquet(f"{self.path}/changes/{batch}")
+        for kind in ("base", "derived"):  # a repeated batch reads the one before it
+            removed(spark, f"{self.path}/{kind}/{batch - 2}")
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """Follow a streaming DataFrame of changes, by default until its input is used up."""
@@ -87,11 +90,15 @@ def stateful_filter(changes: DataFrame, keys: Sequence[str], condition: Column,
     return made.withColumnRenamed("seq", order)
 
 
+#: Types that pandas would turn into floats where a column has nulls; they travel as text.
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
 class _Join(StatefulProcessor):
     """State for each side: the order of its last change, whether it is there, and its values."""
 
-    def __init__(self, left: Sequence[str], right: Sequence[str], types: dict[str, str], key: str) -> None:
-        self.names, self.types, self.key = {"l": list(left), "r": list(right)}, types, key
+    def __init__(self, left: Sequence[str], right: Sequence[str], types: dict[str, str], key: str, outer: bool) -> None:
+        self.names, self.types, self.key, self.enough = {"l": list(left), "r": list(right)}, types, key, any if outer else all
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.states = {}
@@ -99,49 +106,53 @@ class _Join(StatefulProcessor):
             kinds = ", ".join(f"{c} {self.types[c]}" for c in names)
             self.states[side] = handle.getValueState(side, f"__seq bigint, __there boolean, {kinds}")
 
-    def _value(self, row: pd.Series, name: str):
-        x = row[name]
-        if pd.isna(x):
+    def _value(self, x, name: str):
+        if x is None or (pd.api.types.is_scalar(x) and pd.isna(x)):
             return None
-        # columns with nulls reach pandas as floats
-        return int(x) if self.types[name] in ("tinyint", "smallint", "int", "bigint") else x
+        return int(x) if self.types[name] in _WHOLE else x
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:  # noqa: N802
         batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
         held = {s: tuple(state.get()) if state.exists() else None for s, state in self.states.items()}
         names = [*self.names["l"], *self.names["r"]]
         out = []
-        for _, row in batch.iterrows():
-            side, seq = row["side"], int(row["seq"])
+        columns = {c: batch[c].tolist() for c in ("side", "seq", "op", *names)}
+        for i, side in enumerate(columns["side"]):
+            seq = int(columns["seq"][i])
             if held[side] and seq < held[side][0]:
                 continue
-            joined = all(v and v[1] for v in held.values())
-            there = row["op"] == "U"
-            held[side] = (seq, there, *(self._value(row, c) if there else None for c in self.names[side]))
-            if all(v and v[1] for v in held.values()):
-                out.append((*key, "U", seq, *held["l"][2:], *held["r"][2:]))
-            elif joined:
+            before = self.enough(bool(v and v[1]) for v in held.values())
+            there = columns["op"][i] == "U"
+            held[side] = (seq, there, *(self._value(columns[c][i], c) if there else None for c in self.names[side]))
+            if self.enough(bool(v and v[1]) for v in held.values()):
+                values = [x for s, own in self.names.items() for x in (held[s][2:] if held[s] else [None] * len(own))]
+                out.append((*key, "U", seq, *values))
+            elif before:
                 out.append((*key, "D", seq, *[None] * len(names)))
         for s, state in self.states.items():
             if held[s]:
                 state.update(held[s])
         if out:
-            yield pd.DataFrame(out, columns=[self.key, "op", "seq", *names]).astype(object)
+            yield pd.DataFrame(out, columns=[self.key, "op", "seq", *names], dtype=object)
 
     def close(self) -> None:
         pass
 
 
-def stateful_join(left: DataFrame, right: DataFrame, key: str, order: str = "seq") -> DataFrame:
-    """The changelog of the inner join of two relations from their streaming changelogs (key, op, order, values).
-    Deletes come only for keys that were joined; changes older than the last one seen of their key and side are
-    ignored; the order of a result is that of the change that caused it. Needs the RocksDB state store."""
+def stateful_join(left: DataFrame, right: DataFrame, key: str, order: str = "seq", outer: bool = False) -> DataFrame:
+    """The changelog of the inner join of two relations from their streaming changelogs (key, op, order, values), or
+    with `outer` of the full outer join (values of a missing side are null). Deletes come only for keys that were in the
+    result; changes older than the last one seen of their key and side are ignored; the order of a result is that of
+    the change that caused it. Value columns of the two sides have different names. Needs the RocksDB state store."""
     fixed = {key, "op", order}
     a, b = ([c for c in df.columns if c not in fixed] for df in (left, right))
+    if both_have := set(a) & set(b):
+        raise ValueError(f"both sides have {sorted(both_have)}")
     side = lambda df, tag: df.withColumn("side", F.lit(tag)).withColumnRenamed(order, "seq")
     both = side(left, "l").unionByName(side(right, "r"), allowMissingColumns=True)
     types = dict(both.dtypes)
     kinds = ", ".join(f"{c} {types[c]}" for c in [*a, *b])
     schema = f"{key} {types[key]}, op string, seq {types['seq']}, {kinds}"
-    made = both.groupBy(key).transformWithStateInPandas(_Join(a, b, types, key), outputStructType=schema, outputMode="Append", timeMode="None")
+    sent = both.withColumns({c: F.col(c).cast("string") for c in [*a, *b] if types[c] in _WHOLE})
+    made = sent.groupBy(key).transformWithStateInPandas(_Join(a, b, types, key, outer), outputStructType=schema, outputMode="Append", timeMode="None")
     return made.withColumnRenamed("seq", order)

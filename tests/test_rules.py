@@ -199,3 +199,46 @@ def test_rule_table(spark, tmp_path):
     row = Row(**{c: None for c in ruletable.COLUMNS} | {"RESTRICTION_TYPE": "MAXIMUM_BEAM", "RESTRICTION_VALUE": "3", "RESTRICTION_UNIT": "FEET"})
     with pytest.raises(ValueError, match="no requirement"):
         ruletable.rule(row)
+
+
+def test_rule_rows_and_limits_agree(spark):
+    """Every restriction type with its unit, as a rule tree for each row and as limits in one job."""
+    rows, fields = [], dict.fromkeys(ruletable.COLUMNS, "")
+    for i, (kind, value, unit) in enumerate([("VESSEL_TYPE", "0", ""), ("VESSEL_TYPE", "1", ""), ("MINIMUM_UKC", "0,5", "METERS"), ("MINIMUM_UKC_LONG_TERM", "3", "METERS"), ("FRESH_WATER_ALLOWANCE", "2", "PERCENTAGE"),
+                                             ("MAXIMUM_BEAM", "30", "METERS"), ("MAXIMUM_LENGTH", "200", "METERS"), ("MINIMUM_LENGTH", "120", "METERS"), ("MAXIMUM_BEAM", "30", "FEET"), ("VESSEL_TYPE", "2", "")]):
+        for low, high, way, code, where in (("", "", "", "ALL", "x:Z100/6/any"), ("8,5", "", "INBOUND_OUTBOUND", "A12", "x:Z100/6/7"), ("", "12", "INBOUND", "", "nowhere"), ("9", "11", "", "A13", "x:Z100/7/any")):
+            own = {"FEATUREID": where, "RESTRICTION_TYPE": kind, "VESSEL_TYPE": code, "VESSEL_DRAUGHT_FROM": low, "VESSEL_DRAUGHT_TO": high, "VESSEL_DIRECTION": way, "RESTRICTION_VALUE": value, "RESTRICTION_UNIT": unit}
+            rows.append(tuple((fields | own).values()))
+    typed = ruletable.typed(spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in ruletable.COLUMNS))).cache()
+    ships = []
+    for i in range(60):
+        urn = f"urn:Z100/{6 + i % 2}/{7 + i % 3}"
+        ships.append((i, urn, 6 + i % 2, 7 + i % 3, ["A12", "A13", None][i % 3], ["Inbound", "Outbound", None][i % 4 % 3], 6.0 + i % 8, 20.0 + i % 20, 100.0 + 3 * i, 10.0 + i % 6 if i % 5 else None, float(i % 4)))
+    v = spark.createDataFrame(ships, "id int, urn string, section bigint, place bigint, type string, direction string, draught double, beam double, length double, contract_depth double, fresh_water_allowance double")
+    for both in (False, True):
+        made = ruletable.limits(typed, both_bounds=both)
+        assert made.filter("fault is not null").count() == 8
+        got = {r.id: (r.n_rules, r.n_denied) for r in ruletable.evaluate(v, made, "id").collect()}
+        record = F.struct("type", "direction", "draught", "beam", "length", F.col("urn").alias("destination"))
+        berths = F.when(F.col("contract_depth").isNotNull(), F.struct("contract_depth", "fresh_water_allowance"))
+        ready = v.select("id", record.alias("vessel"), berths.alias("berth"))
+        trees = []
+        for row in typed.collect():
+            try:
+                trees.append(ruletable.rule(row, both))
+            except ValueError:
+                continue
+        assert len(trees) == 32
+        columns = [b.result() for t in trees for b in C.branches([t], F.col("vessel.destination"))]
+        counts = ready.select("id", F.array_compact(F.array(*columns)).alias("r")).select("id", F.size("r").alias("n"), F.size(F.filter("r", lambda x: ~x["allow"])).alias("denied"))
+        assert got == {r.id: (r.n, r.denied) for r in counts.collect() if r.n}
+
+
+def test_interpolation_across_days(spark):
+    day = lambda d, h=0: dt.datetime(2024, 1, d, h)
+    points = spark.createDataFrame([("a", day(1, 6), 10.0), ("a", day(9, 6), 50.0), ("b", day(3), 1.0)], "k string, time timestamp, value double")
+    asked = spark.createDataFrame([("a", day(1)), ("a", day(3)), ("a", day(5, 6)), ("a", day(9, 6)), ("a", day(20)), ("b", day(2, 23)), ("b", day(3, 1)), ("c", day(3))], "k string, time timestamp")
+    got = {(r.k, r.time): r.value for r in S.interpolate(asked, points, "k").collect()}
+    assert got[("a", day(5, 6))] == 30.0 and got[("a", day(3))] == pytest.approx(10 + 40 * 42 / 192) and got[("a", day(9, 6))] == 50.0
+    assert got[("b", day(2, 23))] == got[("b", day(3, 1))] == 1.0
+    assert got[("a", day(1))] is got[("a", day(20))] is got[("c", day(3))] is None

@@ -2,15 +2,17 @@
 
 import datetime as dt
 import json
+
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from rulefold.operators.relation import Relation
 from rulefold.sources import ingest
 from rulefold.streaming.incremental import SnapshotQuery, stateful_filter, stateful_join
 
-SCHEMA = "k string, seq bigint, op string, v int"
+SCHEMA = "k string, seq bigint, op string, v bigint"
 LOG = [("A", 1, "U", 10), ("B", 2, "U", 5), ("A", 3, "U", 11), ("C", 4, "U", 7), ("B", 5, "D", None), ("C", 6, "U", 3), ("A", 7, "U", 2)]
 
 
@@ -55,15 +57,25 @@ def test_stateful_filter_deletes_what_stops_matching(spark, tmp_path):
     assert [(r.op, r.v) for r in got.filter("k = 'A'").orderBy("seq").collect()] == [("U", 10), ("D", 11), ("U", 2)]
 
 
-def test_stateful_join_agrees_with_the_batch_join(spark, tmp_path):
-    right = [("A", 1, "U", 1), ("C", 2, "U", 3), ("A", 8, "D", None), ("B", 9, "U", 4)]
-    a = batches(tmp_path, spark, LOG, "l").withColumnRenamed("v", "a")
+@pytest.mark.parametrize("outer", [False, True])
+def test_stateful_join_agrees_with_the_batch_join(spark, tmp_path, outer):
+    big = 2**53 + 1
+    left = [*LOG, ("D", 1, "U", big), ("E", 1, "U", 7)]
+    right = [("A", 1, "U", 1), ("C", 2, "U", 3), ("A", 8, "D", None), ("B", 9, "U", 4), ("D", 3, "U", big + 2), ("F", 1, "U", None)]
+    a = batches(tmp_path, spark, left, "l").withColumnRenamed("v", "a")
     b = batches(tmp_path, spark, right, "r").withColumnRenamed("v", "b")
-    q = stateful_join(a, b, "k").writeStream.format("memory").queryName("joined").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    name = f"joined_{outer}".lower()
+    q = stateful_join(a, b, "k", outer=outer).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
-    # sides arrive in batches of their own; what counts is the folded table
-    rows = Relation.from_changelog(spark.table("joined").withColumn("n", F.monotonically_increasing_id()), ["k"], ["seq", "n"]).df.collect()
-    assert {r.k: (r.a, r.b) for r in rows if r.k == "C"} == {"C": (3, 3)}
+    # sides arrive in batches of their own: the last row of each key is its state
+    rows = Relation.from_changelog(spark.table(name).withColumn("n", F.monotonically_increasing_id()), ["k"], ["n"]).df.collect()
+    sides = [Relation.from_changelog(spark.createDataFrame(log, SCHEMA), ["k"], ["seq"]) for log in (left, right)]
+    sides = [r.map(**{n: F.col("v")}) for r, n in zip(sides, "ab", strict=True)]
+    want = (sides[0].outer_join(sides[1]) if outer else sides[0].join(sides[1])).df.collect()
+    assert {r.k: (r.a, r.b) for r in rows} == {r.k: (r.a, r.b) for r in want}
+    assert {r.k: (r.a, r.b) for r in rows}["D"] == (big, big + 2)
+    with pytest.raises(ValueError):
+        stateful_join(a, a, "k")
 
 
 def test_observations(spark, tmp_path):
