@@ -8,9 +8,11 @@ Its probabilities are calibrated by a temperature fitted on held-out notices and
 likelier than unknown, and is given that family if the calibrated probability is at least `least` and it agrees with one
 of the family's names or sentences.
 
-Scanning is DataFrame functions alone. A pattern of features picks texts and lines first: a feature may be left out of
-it only while all those left out together cannot lift any family above unknown, so no line is lost that the classifier
-would judge. The n-grams of the lines join the broadcast weights, whose size is bounded by the templates.
+Features need a word that says something (COMMON lists those that do not).
+
+Scanning is DataFrame functions alone. Words pick texts and lines first, the rarest of each picked feature: a feature
+may be left out of those only while all left out together cannot lift any family above unknown, so no line is lost that
+the classifier would judge. The n-grams of the lines join the broadcast weights, whose size is bounded by the templates.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 import itertools
 import random
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -69,6 +71,13 @@ LEADS = [
 TAILS = ["", "or later", "see the file LICENSE for details", "copyright the authors"]
 
 
+#: Words that say nothing of a licence by themselves; a feature needs another one.
+COMMON = set(
+    "a all an and any are as at be by can copy do for form free from has in into is it made may no not of on or other out part that the this to under use version was with without you "
+    "alle aus das der die ein eine im in ist nicht und unter von zu au bajo ce con de del des du el en est et la las le les los par por pour que se sous sur un una une y".split()
+)
+
+
 def words(text: str) -> list[str]:
     return [w for w in re.split(r"[^a-z0-9]+", text.lower()) if w]
 
@@ -78,6 +87,11 @@ def grams(text: str) -> set[str]:
     return set(w) | {f"{a} {b}" for a, b in itertools.pairwise(["^", *w, "$"])} if w else set()
 
 
+def telling(feature: str) -> list[str]:
+    """The words of a feature that are neither common nor numbers or single letters."""
+    return [w for w in feature.split(" ") if len(w) > 1 and w not in COMMON and not w.isdigit()]
+
+
 def known_grams(text: str) -> set[str]:
     """What a line is compared by with a name or sentence: its pairs of words, or the one word."""
     w = words(text)
@@ -137,7 +151,7 @@ def train(negatives: list[str], penalty: float = 2e-4, rounds: int = 250) -> Mod
     pairs = [(v, i) for i, family in enumerate(by_family) for v in variants(family, rng)]
     pairs += [(n, len(by_family)) for n in [*plain, *mixed, *framed, ""]]
     of_lead = {g for t in LEADS + TAILS for g in grams(t)}
-    features = sorted({g for texts in by_family.values() for t in texts for g in grams(t)} | of_lead)
+    features = sorted(g for g in {g for texts in by_family.values() for t in texts for g in grams(t)} | of_lead if telling(g))
     index = {g: i for i, g in enumerate(features)}
     x = np.zeros((len(pairs), len(features)))
     for row, (text, _) in enumerate(pairs):
@@ -185,22 +199,9 @@ def picking(model: Model) -> list[str]:
     return kept
 
 
-def pattern(features: list[str]) -> str:
-    """A regular expression for lower-cased texts that finds lines with one of the features."""
-    gap = "[^a-z0-9]+"
-    inner, first, last = defaultdict(list), [], []
-    for f in features:
-        a, _, b = f.partition(" ")
-        if a == "^":
-            first.append(b)
-        elif b == "$":
-            last.append(a)
-        else:
-            inner[f[0]].append(f"{a[1:]}{gap}{b}" if b else a[1:])
-    forms = [f"(?<![a-z0-9])(?:{'|'.join(f'{k}(?:{"|".join(v)})' for k, v in sorted(inner.items()))})(?![a-z0-9])"] if inner else []
-    forms += [f"^[^a-z0-9]*(?:{'|'.join(first)})(?![a-z0-9])"] if first else []
-    forms += [f"(?<![a-z0-9])(?:{'|'.join(last)})[^a-z0-9]*$"] if last else []
-    return f"(?m){'|'.join(forms)}"
+def picking_words(model: Model) -> list[str]:
+    """Words of which a line must have one to have a feature of picking(): of each the rarest in the corpus' sample."""
+    return sorted({min(telling(f), key=lambda w: (model.common[w], -len(w), w)) for f in picking(model)})
 
 
 def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> Model:
@@ -234,14 +235,13 @@ def scan(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id",
     """
     spark = docs.sparkSession
     weights, known = _tables(spark, model)
-    form = pattern(picking(model))
+    pick = F.split(F.lit(" ".join(picking_words(model))), " ")
     base = docs.select(F.col(f"`{key}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     # ids and texts are told apart by a hash of the text, so equal keys with other texts stay apart
     base = base.withColumn("hash", F.xxhash64("text"))
-    some = base.withColumn("text", F.lower("text")).filter(F.col("text").rlike(form)).dropDuplicates(["doc_id", "hash"])
+    some = base.withColumn("text", F.lower("text")).filter(F.arrays_overlap(F.split("text", "[^a-z0-9]+"), pick)).dropDuplicates(["doc_id", "hash"])
     lines = some.select("doc_id", "hash", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    lines = lines.filter(F.col("line").rlike(form))
-    cut = lines.select("doc_id", "hash", "paragraph", F.array_remove(F.split("line", "[^a-z0-9]+"), "").alias("w")).filter(F.size("w") > 0)
+    cut = lines.select("doc_id", "hash", "paragraph", F.array_remove(F.split("line", "[^a-z0-9]+"), "").alias("w")).filter(F.arrays_overlap("w", pick))
     ends = F.concat(F.array(F.lit("^")), "w", F.array(F.lit("$")))
     pairs = F.transform(F.sequence(F.lit(0), F.size("w")), lambda i: F.concat_ws(" ", F.get(ends, i), F.get(ends, i + 1)))
     cut = cut.withColumn("grams", F.array_distinct(F.concat("w", pairs))).withColumn("n", F.greatest(F.size("w") - 1, F.lit(1)))

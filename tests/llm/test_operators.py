@@ -376,6 +376,28 @@ def test_language(spark):
     assert language.identify(docs.limit(0), model).count() == 0
 
 
+def test_language_on_odd_rows(spark, odd, odd_rows):
+    model = language.fit(odd)
+    assert model.languages == ["de", "en", "fr"] or model.languages == ["de", "en"]
+    got = language.identify(odd, model).collect()
+    assert len(got) == len(odd_rows) and {r.lang_pred for r in got if r.doc_id in (1, 2, 3, 5)} == {"und"}
+    assert len({(r.lang_pred, r.score) for r in got if r.doc_id in (7, 8)}) == 1
+    kept = language.accepted(odd, model)
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()}.isdisjoint({1, 2, 3, 5})
+    assert kept.filter("lang is null").count() == 0
+    unknown = language.fit(odd.withColumn("lang", F.lit(None).cast("string")))
+    assert {r.doc_id for r in language.accepted(odd, unknown).collect()} == {r[0] for r in odd_rows if r[0] not in (1, 2, 3, 5)}
+    alien = spark.createDataFrame([(1, "今天天气很好" * 30, None), (2, prose(5, 80), None), (3, "qzxv kjwq xzzk vvqk " * 60, "en")], "doc_id bigint, text string, lang string")
+    many = spark.createDataFrame([(i, prose(600 + i, 90), "en") for i in range(40)], alien.schema)
+    assert [r.doc_id for r in language.accepted(alien, language.fit(many)).collect()] == [2]
+
+
+def test_long_texts_are_learnt_from(spark):
+    rows = [(0, prose(1, 60_000), "xx"), *((i, "привет мир да " * 20, "yy") for i in range(1, 5))]
+    model = language.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert model.languages == ["xx", "yy"] and model.trigrams[:, 0].std() > 0
+
+
 def test_best_path_is_the_best_of_all():
     rng = np.random.RandomState(4)
     model = language.Model(["a", "b", "c"], *[np.zeros((1, 3))] * 3, 3.0)
@@ -552,6 +574,19 @@ def test_sharding(spark, odd, odd_rows):
         sharding.lookup_table(names, 1000)
 
 
+def test_lookup_table_against_whole_permutations():
+    names, size = ["one", "two", "three"], 101
+    number = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:15], 16)
+    preference = {n: [(number(f"{n}/offset") % size + k * (number(f"{n}/skip") % (size - 1) + 1)) % size for k in range(size)] for n in names}
+    assert all(sorted(p) == list(range(size)) for p in preference.values())
+    owner = {}
+    while len(owner) < size:
+        for n in names:
+            if len(owner) < size:
+                owner[next(s for s in preference[n] if s not in owner)] = n
+    assert [names[i] for i in sharding.lookup_table(names, size)] == [owner[s] for s in range(size)]
+
+
 def test_written_shards(spark, tmp_path, odd, odd_rows):
     placed = sharding.place(odd.select("doc_id", "text"), ["a", "b"], size=997)
     sharding.write_shards(placed, str(tmp_path / "out"))

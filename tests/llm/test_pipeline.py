@@ -84,3 +84,21 @@ def test_passages_are_counted_in_words(spark):
     docs = spark.createDataFrame([(k, t, len(t)) for k, t in rows], "doc_id bigint, text string, n_chars int")
     got = dict(corpus_pipeline.passages(spark, docs, "").select("doc_id", "text").collect())
     assert got == want
+
+
+def test_stages_on_odd_rows(spark, folder, odd, odd_rows):
+    """Null and repeated ids, repeated rows, a very long text, clashing columns, no n_chars."""
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted(str(r.doc_id) for r in df.select("doc_id").collect())
+    known = stages["language_id"](spark, odd, folder)
+    assert known.columns == odd.columns and ids(known) == sorted(str(r[0]) for r in odd_rows if r[0] not in (1, 2, 3, 5))
+    single = stages["near_duplicates"](spark, odd, folder)
+    assert single.columns == odd.columns and ids(single) == sorted(str(r[0]) for r in odd_rows if r[0] not in (8, 9))
+    cut = stages["passages"](spark, odd, folder)
+    assert cut.columns == odd.columns
+    texts = {r.doc_id: r.text for r in cut.collect()}
+    assert 8 not in texts and texts[7] == odd_rows[6][1] and texts[6] == odd_rows[5][1] and texts[1] is None and None in texts
+    assert ids(cut).count("9") <= 1
+    assert ids(stages["decontamination"](spark, odd, folder)) == sorted(str(r[0]) for r in odd_rows)
+    packed = stages["packing"](spark, odd, folder)
+    assert set(ids(packed)) == {str(r[0]) for r in odd_rows} and packed.filter("doc_id = 9 and piece = 0").count() == 2
