@@ -290,10 +290,11 @@ def interpolate_record(spark, d):
 @query("select user_id, count(*) n, min(event_id) first_id from events where event_type = 'view' and ts > timestamp '2024-01-20 00:00:00' group by 1")
 def series_trim(spark, d):
     events = table(spark, d, "events").filter("event_type = 'view'")
-    # arrays hold one user's points; only what lies after the cut goes into them
-    points = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.col("ts").alias("time"), F.col("event_id").alias("value")))).alias("s"))
-    kept = timeseries.remove_before(F.col("s"), F.expr("timestamp_ntz '2024-01-20 00:00:00'"))
-    return points.withColumn("s", kept).filter(F.size("s") > 0).select("user_id", F.size("s").cast("bigint").alias("n"), F.array_min(F.transform("s", lambda p: p["value"])).alias("first_id"))
+    # arrays hold one user's points of a day, so that no key's array grows without bound
+    days = events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct(F.col("ts").alias("time"), F.col("event_id").alias("value")))).alias("s"))
+    kept = days.withColumn("s", timeseries.remove_before(F.col("s"), F.expr("timestamp_ntz '2024-01-20 00:00:00'"))).filter(F.size("s") > 0)
+    least = F.array_min(F.transform("s", lambda p: p["value"]))
+    return kept.groupBy("user_id").agg(F.sum(F.size("s")).alias("n"), F.min(least).alias("first_id"))
 
 
 # Expressions
@@ -506,7 +507,7 @@ def sensor_publish(spark, d):
     measure = F.when(F.col("event_type") == "view", "wind.velocity").otherwise("wind.direction")
     rows = events.select(F.col("user_id").alias("sensor"), measure.alias("measure"), F.col("ts").alias("time"), "value")
     wide = ingest.publish(rows, ["wind.velocity", "wind.direction"]).df
-    return wide.select("sensor", F.size("velocity").cast("bigint").alias("n_velocity"), F.size("direction").cast("bigint").alias("n_direction"))
+    return wide.groupBy("sensor").agg(F.sum(F.size("velocity")).alias("n_velocity"), F.sum(F.size("direction")).alias("n_direction"))
 
 
 @query("select event_id, cast(json_extract(props, '$.k') as integer) k from events")

@@ -93,17 +93,19 @@ def visit_faults(visits: DataFrame, port: str = PORT) -> DataFrame:
 
 
 def publish(series: DataFrame, measures: Sequence[str]) -> Relation:
-    """Sensors that have every one of the measures, each with an array of (time, value) per measure, in time order.
+    """Sensors that have every one of the measures, a row for each day with points: an array of (time, value) for each
+    measure, in time order (empty on days without). A day bounds the arrays, however long a series is.
 
     Names of array columns are what follows the last dot of the measure.
     """
+
     def points(m: str) -> Column:
         return F.array_sort(F.collect_list(F.when(F.col("measure") == m, F.struct("time", "value"))))
 
-    wide = series.filter(F.col("measure").isin(list(measures))).groupBy("sensor").agg(*(points(m).alias(m.rsplit(".", 1)[-1]) for m in measures))
-    for m in measures:
-        wide = wide.filter(F.size(m.rsplit(".", 1)[-1]) > 0)
-    return Relation(wide, ("sensor",))
+    wanted = series.filter(F.col("measure").isin(list(measures)))
+    whole = wanted.groupBy("sensor").agg(F.collect_set("measure").alias("__m")).filter(F.size("__m") == len(measures)).select("sensor")
+    days = wanted.groupBy("sensor", F.to_date("time").alias("day")).agg(*(points(m).alias(m.rsplit(".", 1)[-1]) for m in measures))
+    return Relation(days.join(whole, "sensor", "left_semi"), ("sensor", "day"))
 
 
 def classify_visits(visits: DataFrame, now: Column, port: str = PORT) -> DataFrame:
