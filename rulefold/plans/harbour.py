@@ -161,6 +161,13 @@ def rule_csv_eval(spark, d):
     return ruletable.evaluate(v, ruletable.limits(ruletable.typed(rule_cells(spark, d))), "o_orderkey")
 
 
+@query(f"""select k25 section, place, typ "type", both_ways, low::double draught_from, high::double draught_to, what kind,
+case when what in ('max_beam', 'max_length') then min(val) else max(val) end bound from {_CELLS} where what is not null
+group by k25, place, typ, both_ways, low, high, what, case when what in ('fresh_water', 'forbidden', 'allowed') then val end""")
+def strictest_limits(spark, d):
+    return ruletable.strictest(ruletable.limits(ruletable.typed(rule_cells(spark, d))))
+
+
 _BOUNDS = [(f"vessel.beam <= {20 + 3 * i} m", f"beam <= {20 + 3 * i}") for i in range(6)] + [(f"vessel.length <= {150 + 20 * i} m", f"len <= {150 + 20 * i}") for i in range(6)]
 
 

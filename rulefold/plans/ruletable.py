@@ -137,6 +137,18 @@ def limits(table: DataFrame, both_bounds: bool = False, keep: Sequence[str] = ()
     )
 
 
+def strictest(table: DataFrame) -> DataFrame:
+    """Limits with those left out that a stricter one for the same vessels and kind implies: one job over a table of any
+    size, where minimise() rewrites the trees of a small one. Columns of limits() without fault; a vessel is denied by
+    what is left just where it was denied before."""
+    own = ["section", "place", "type", "both_ways", "draught_from", "draught_to", "kind"]
+    exact = F.when(F.col("kind").isin("fresh_water", "forbidden", "allowed"), F.col("bound"))
+    rows = table.filter(F.col("kind").isNotNull()).withColumn("__exact", exact)
+    return rows.groupBy(*own, "__exact").agg(F.min("bound").alias("__low"), F.max("bound").alias("__high")).select(
+        *own, F.when(F.col("kind").isin("max_beam", "max_length"), F.col("__low")).when(F.col("kind").isin("min_length", "ukc"), F.col("__high")).otherwise(F.col("__exact")).alias("bound")
+    )
+
+
 #: Columns of limits and vessels that may be missing, with their types.
 _LIMIT = {"place": "bigint", "both_ways": "boolean", "draught_to": "double"}
 _VESSEL = {"place": "bigint", "direction": "string", "contract_depth": "double", "fresh_water_allowance": "double"}

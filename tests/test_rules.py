@@ -219,6 +219,8 @@ def test_rule_rows_and_limits_agree(spark):
         made = ruletable.limits(typed, both_bounds=both)
         assert made.filter("fault is not null").count() == 8
         got = {r.id: (r.n_rules, r.n_denied) for r in ruletable.evaluate(v, made, "id").collect()}
+        strict = ruletable.evaluate(v, ruletable.strictest(made), "id").collect()
+        assert {r.id: r.allow for r in strict} == {k: not denied for k, (_, denied) in got.items()} and sum(r.n_rules for r in strict) < sum(n for n, _ in got.values()) + 1
         record = F.struct("type", "direction", "draught", "beam", "length", F.col("urn").alias("destination"))
         berths = F.when(F.col("contract_depth").isNotNull(), F.struct("contract_depth", "fresh_water_allowance"))
         ready = v.select("id", record.alias("vessel"), berths.alias("berth"))
