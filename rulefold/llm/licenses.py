@@ -10,7 +10,7 @@ of the family's names or sentences.
 
 Features need a word that says something (COMMON lists those that do not).
 
-Scanning is DataFrame functions alone. Words pick texts and lines first, the rarest of each picked feature: a feature
+Scanning is DataFrame functions alone. Words pick lines first, the rarest of each picked feature: a feature
 may be left out of those only while all left out together cannot lift any family above unknown, so no line is lost that
 the classifier would judge. The n-grams of the lines join the broadcast weights, whose size is bounded by the templates.
 """
@@ -239,11 +239,10 @@ def scan(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id",
     base = docs.select(F.col(f"`{key}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     # ids and texts are told apart by a hash of the text, so equal keys with other texts stay apart
     base = base.withColumn("hash", F.xxhash64("text"))
-    some = base.withColumn("text", F.lower("text")).filter(F.arrays_overlap(F.split("text", "[^a-z0-9]+"), pick)).dropDuplicates(["doc_id", "hash"])
-    lines = some.select("doc_id", "hash", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    cut = lines.select("doc_id", "hash", "paragraph", F.array_remove(F.split("line", "[^a-z0-9]+"), "").alias("w")).filter(F.arrays_overlap("w", pick))
-    ends = F.concat(F.array(F.lit("^")), "w", F.array(F.lit("$")))
-    pairs = F.transform(F.sequence(F.lit(0), F.size("w")), lambda i: F.concat_ws(" ", F.get(ends, i), F.get(ends, i + 1)))
+    lines = base.select("doc_id", "hash", F.posexplode(F.split(F.lower("text"), "\n")).alias("paragraph", "line"))
+    lines = lines.filter(F.arrays_overlap(F.split("line", "[^a-z0-9]+"), pick)).dropDuplicates(["doc_id", "hash", "paragraph"])
+    cut = lines.select("doc_id", "hash", "paragraph", F.array_remove(F.split("line", "[^a-z0-9]+"), "").alias("w"))
+    pairs = F.zip_with(F.concat(F.array(F.lit("^")), "w"), F.concat("w", F.array(F.lit("$"))), lambda x, y: F.concat_ws(" ", x, y))
     cut = cut.withColumn("grams", F.array_distinct(F.concat("w", pairs))).withColumn("n", F.greatest(F.size("w") - 1, F.lit(1)))
     at = ["doc_id", "hash", "paragraph"]
     hits = cut.select(*at, "grams", "n", F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram")
