@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from rulefold.operators.relation import Relation, last_changes, merge_changelogs
 from rulefold.session import removed
+from rulefold.streaming.keyed import packed, unpacked
 
 
 class SnapshotQuery:
@@ -58,23 +58,15 @@ class _Filter(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "seq bigint, present boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:  # noqa: N802
-        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        seq, present = self.last.get() if self.last.exists() else (None, False)
-        out = []
-        for i in range(len(batch)):
-            row = batch.iloc[[i]]
-            own = int(row["seq"].iloc[0])
-            if seq is not None and own < seq:
+    def handleInputRows(self, key, rows, timer) -> Iterator[Row]:  # noqa: N802
+        seq, present = self.last.get() or (None, False)
+        for r in sorted(rows, key=lambda r: r.seq):
+            if seq is not None and r.seq < seq:
                 continue
-            seq = own
-            matches = bool(row["matches"].iloc[0])
-            if matches or present:
-                out.append(row.assign(op="U" if matches else "D"))
-            present = matches
+            if r.matches or present:
+                yield Row(k=key[0], op="U" if r.matches else "D", seq=r.seq, own=r.own)
+            seq, present = r.seq, r.matches
         self.last.update((seq, present))
-        if out:
-            yield pd.concat(out).drop(columns=["matches"])
 
     def close(self) -> None:
         pass
@@ -84,56 +76,38 @@ def stateful_filter(changes: DataFrame, keys: Sequence[str], condition: Column,
     """The changelog of a filtered relation from a streaming changelog: an upsert that stops matching becomes a delete,
     if the key was there. Changes older than the last one seen of their key are ignored. Needs the RocksDB state store."""
     matches = (F.col("op") == "U") & F.coalesce(condition, F.lit(False))
-    rows = changes.withColumnRenamed(order, "seq").withColumn("matches", matches)
-    schema = rows.drop("matches").schema
-    made = rows.groupBy(*keys).transformWithStateInPandas(_Filter(), outputStructType=schema, outputMode="Append", timeMode="None")
-    return made.withColumnRenamed("seq", order)
-
-
-#: Types that pandas would turn into floats where a column has nulls; they travel as text.
-_WHOLE = ("tinyint", "smallint", "int", "bigint")
+    fields = {f.name: f for f in changes.schema.fields}
+    own = [f for c, f in fields.items() if c not in {*keys, "op", order}]
+    rows = changes.select(packed([F.col(k) for k in keys]).alias("k"), F.col(order).cast("bigint").alias("seq"), matches.alias("matches"), packed([F.col(f"`{f.name}`") for f in own]).alias("own"))
+    made = rows.groupBy("k").transformWithState(_Filter(), "k string, op string, seq bigint, own string", "Append", "None")
+    made = made.select(*unpacked("k", [fields[k] for k in keys]), "op", F.col("seq").cast(fields[order].dataType).alias(order), *unpacked("own", own))
+    return made.select(*changes.columns)
 
 
 class _Join(StatefulProcessor):
     """State for each side: the order of its last change, whether it is there, and its values."""
 
-    def __init__(self, left: Sequence[str], right: Sequence[str], types: dict[str, str], key: str, outer: bool) -> None:
-        self.names, self.types, self.key, self.enough = {"l": list(left), "r": list(right)}, types, key, any if outer else all
+    def __init__(self, outer: bool) -> None:
+        self.enough = any if outer else all
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.states = {}
-        for side, names in self.names.items():
-            kinds = ", ".join(f"{c} {self.types[c]}" for c in names)
-            self.states[side] = handle.getValueState(side, f"__seq bigint, __there boolean, {kinds}")
-
-    def _value(self, x, name: str):
-        if x is None or (pd.api.types.is_scalar(x) and pd.isna(x)):
-            return None
-        return int(x) if self.types[name] in _WHOLE else x
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:  # noqa: N802
-        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        held = {s: tuple(state.get()) if state.exists() else None for s, state in self.states.items()}
-        names = [*self.names["l"], *self.names["r"]]
-        out = []
-        columns = {c: batch[c].tolist() for c in ("side", "seq", "op", *names)}
-        for i, side in enumerate(columns["side"]):
-            seq = int(columns["seq"][i])
-            if held[side] and seq < held[side][0]:
+        self.states = {side: handle.getValueState(side, "seq bigint, there boolean, own string") for side in "lr"}
+
+    def handleInputRows(self, key, rows, timer) -> Iterator[Row]:  # noqa: N802
+        held = {side: state.get() or (None, False, None) for side, state in self.states.items()}
+        for r in sorted(rows, key=lambda r: r.seq):
+            if held[r.side][0] is not None and r.seq < held[r.side][0]:
                 continue
-            before = self.enough(bool(v and v[1]) for v in held.values())
-            there = columns["op"][i] == "U"
-            held[side] = (seq, there, *(self._value(columns[c][i], c) if there else None for c in self.names[side]))
-            if self.enough(bool(v and v[1]) for v in held.values()):
-                values = [x for s, own in self.names.items() for x in (held[s][2:] if held[s] else [None] * len(own))]
-                out.append((*key, "U", seq, *values))
+            before = self.enough(v[1] for v in held.values())
+            there = r.op == "U"
+            held[r.side] = (r.seq, there, r.own if there else None)
+            if self.enough(v[1] for v in held.values()):
+                yield Row(k=key[0], op="U", seq=r.seq, l=held["l"][2], r=held["r"][2])
             elif before:
-                out.append((*key, "D", seq, *[None] * len(names)))
-        for s, state in self.states.items():
-            if held[s]:
-                state.update(held[s])
-        if out:
-            yield pd.DataFrame(out, columns=[self.key, "op", "seq", *names], dtype=object)
+                yield Row(k=key[0], op="D", seq=r.seq, l=None, r=None)
+        for side, state in self.states.items():
+            if held[side][0] is not None:
+                state.update(held[side])
 
     def close(self) -> None:
         pass
@@ -145,14 +119,13 @@ def stateful_join(left: DataFrame, right: DataFrame, key: str, order: str = "seq
     result; changes older than the last one seen of their key and side are ignored; the order of a result is that of
     the change that caused it. Value columns of the two sides have different names. Needs the RocksDB state store."""
     fixed = {key, "op", order}
-    a, b = ([c for c in df.columns if c not in fixed] for df in (left, right))
-    if both_have := set(a) & set(b):
+    a, b = ([f for f in df.schema.fields if f.name not in fixed] for df in (left, right))
+    if both_have := {f.name for f in a} & {f.name for f in b}:
         raise ValueError(f"both sides have {sorted(both_have)}")
-    side = lambda df, tag: df.withColumn("side", F.lit(tag)).withColumnRenamed(order, "seq")
-    both = side(left, "l").unionByName(side(right, "r"), allowMissingColumns=True)
-    types = dict(both.dtypes)
-    kinds = ", ".join(f"{c} {types[c]}" for c in [*a, *b])
-    schema = f"{key} {types[key]}, op string, seq {types['seq']}, {kinds}"
-    sent = both.withColumns({c: F.col(c).cast("string") for c in [*a, *b] if types[c] in _WHOLE})
-    made = sent.groupBy(key).transformWithStateInPandas(_Join(a, b, types, key, outer), outputStructType=schema, outputMode="Append", timeMode="None")
-    return made.withColumnRenamed("seq", order)
+    kind = left.schema[key]
+    sides = [
+        df.select(packed([F.col(key).cast(kind.dataType).alias(key)]).alias("k"), F.lit(tag).alias("side"), "op", F.col(order).cast("bigint").alias("seq"), packed([F.col(f"`{f.name}`") for f in own]).alias("own"))
+        for df, tag, own in ((left, "l", a), (right, "r", b))
+    ]
+    made = sides[0].unionByName(sides[1]).groupBy("k").transformWithState(_Join(outer), "k string, op string, seq bigint, l string, r string", "Append", "None")
+    return made.select(*unpacked("k", [kind]), "op", F.col("seq").cast(left.schema[order].dataType).alias(order), *unpacked("l", a), *unpacked("r", b))

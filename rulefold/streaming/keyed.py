@@ -91,7 +91,7 @@ class _Moves(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timer) -> Iterator[Row]:  # noqa: N802
         new = _last(rows)
-        old = self.held.get() if self.held.exists() else None
+        old = self.held.get()
         if old and new.version < old[0]:
             return
         there = new.op == "U"
@@ -124,7 +124,7 @@ class _Foreign(StatefulProcessor):
                     right = r
             elif r.k not in lefts or (r.version, r.op) >= (lefts[r.k].version, lefts[r.k].op):
                 lefts[r.k] = r
-        held = self.right.get() if self.right.exists() else (None, False, None)
+        held = self.right.get() or (None, False, None)
         was, changed = held[1], False
         if right is not None and (held[0] is None or right.version >= held[0]):
             before = held[1:]
@@ -198,7 +198,7 @@ class _Differences(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timer) -> Iterator[Row]:  # noqa: N802
         new = _last(rows)
-        old = self.held.get() if self.held.exists() else (None, False, None)
+        old = self.held.get() or (None, False, None)
         if old[0] is not None and new.version < old[0]:
             return
         there = new.op == "U"
@@ -237,14 +237,14 @@ class _Zip(StatefulProcessor):
                 new = r if new is None or r.version >= new.version else new
             elif r.k not in changes or (r.version, r.op) >= (changes[r.k].version, changes[r.k].op):
                 changes[r.k] = r
-        held = self.element.get() if self.element.exists() else None
+        held = self.element.get()
         was = held is not None
         fresh = new is not None and (held is None or new.version >= held[0])
         if fresh:
             held = (new.version, new.own)
             self.element.update(held)
         for k, r in changes.items():
-            old = self.table.getValue((k,)) if self.table.containsKey((k,)) else None
+            old = self.table.getValue((k,))
             if old and r.version < old[0]:
                 continue
             there = r.op == "U"
@@ -294,7 +294,8 @@ class _InOrder(StatefulProcessor):
 
     def _wake_at(self, micros: int) -> None:
         ms = -(-micros // 1000)
-        if not self.wake.exists() or self.wake.get()[0] > ms:
+        wake = self.wake.get()
+        if wake is None or wake[0] > ms:
             self.handle.registerTimer(ms)
             self.wake.update((ms,))
 
@@ -308,10 +309,10 @@ class _InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = list(self.waiting.get()) if self.waiting.exists() else []
+        rows = list(self.waiting.get())
         ready = sorted((r[1], r[2], r[3]) for r in rows if r[0] <= passed)
         rest = [tuple(r) for r in rows if r[0] > passed]
-        held = tuple(self.held.get()) if self.held.exists() else (None, None)
+        held = tuple(self.held.get() or (None, None))
         for version, side, own in ready:
             held, given = self.step(held, side, own)
             if given:
@@ -405,7 +406,7 @@ class _Expiring(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timer) -> Iterator[Row]:  # noqa: N802
         new = _last(rows)
-        old = self.held.get() if self.held.exists() else None
+        old = self.held.get()
         if old and new.version < old[0]:
             return
         was = bool(old and old[1])
@@ -420,7 +421,7 @@ class _Expiring(StatefulProcessor):
         self.held.update((new.version, there, new.until if there else None))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        version, there, until = self.held.get() if self.held.exists() else (None, False, None)
+        version, there, until = self.held.get() or (None, False, None)
         if there and self._due(until) <= self._now(timerValues):
             self.held.update((version, False, None))
             yield Row(k=key[0], op="D", version=version + "~", own=None)  # after its upsert, before any later change
