@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -227,7 +228,9 @@ def _batches(table: pa.Table, kind: type) -> Iterator[tuple[int, int, np.ndarray
 
 def _matches(table: pa.Table, width: int, first_stays: bool, kind: type) -> pa.Table:
     """One task: contents of some anchors; the intervals of symbols that matching windows cover."""
-    table = table.sort_by([("group", "ascending"), ("doc_id", "ascending"), ("first", "ascending")])
+    # the order of repeated()'s heads: no text is before another by one window and behind it by the next
+    order = pc.sort_indices(table, [(c, "ascending") for c in ("group", "doc_id", "rid", "first")], null_placement="at_start")
+    table = table.take(order)
     rid, first, wanted = (table[c].to_numpy() for c in ("rid", "first", "wanted"))
     out: list[tuple] = []
     for a, b, symbols, own in _batches(table, kind):
@@ -292,7 +295,7 @@ def repeated(
     docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, first_stays: bool = False, hot: int = HOT, words: int | None = None
 ) -> DataFrame:
     """(rid, spans), stored: symbols covered by a window that also starts elsewhere (first_stays: that also starts
-    earlier, in the order of key and place), as an array of struct(start, end), unordered and overlapping. rid is
+    earlier, in the order of key, none first, then rid, then place), as an array of struct(start, end), unordered and overlapping. rid is
     row_id(). With `words` a window is so many words, in place of `width` bytes, and places count words."""
     width = words or width
     anchor = max(1, width // 4)
@@ -317,7 +320,7 @@ def repeated(
     again = stored(everywhere.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "again")
     found = stored(everywhere.join(again, "anchor"), "found")
     dropped(everywhere, again)
-    place = F.struct("doc_id", "first", "rid", "last", "at")
+    place = F.struct("doc_id", "rid", "first", "last", "at")  # Spark has nulls first, as _matches has
     contents = stored(found.groupBy("anchor", "content").agg(F.count("*").alias("same"), F.min(place).alias("head")), "contents")
     kinds = stored(contents.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "kinds")
     whole = ~place.eqNullSafe(F.col("head")) if first_stays else F.lit(True)
