@@ -11,11 +11,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 SLICE = 1_500_000
+#: Bytes from which a word has a hash of its own kind.
+LONG = 64
 _RANDOM = np.random.RandomState(20_240_229)
 BYTE = _RANDOM.randint(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -24,6 +27,7 @@ WORD_BASE = np.uint64(0xD1B54A32D192ED03)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+SAME = np.arange(256, dtype=np.uint8)
 #: Bytes of words that are letters, digits or anything beyond ASCII.
 LETTERS_DIGITS = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 #: Bytes of words that end at ASCII white space.
@@ -77,6 +81,14 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mixed(x)
 
 
+def rehash_long(hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The hashes of spans, with XXH64 (of the bytes that `table` gives) for those of LONG bytes or more: powers modulo
+    2**64 cancel out in some long regular words, so that these have the hash of another one."""
+    for i in np.flatnonzero(ends - starts >= LONG).tolist():
+        hashes[i] = xxhash.xxh64_intdigest(table[data[starts[i] : ends[i]]].tobytes(), LONG)
+    return hashes
+
+
 def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """A hash of each n words in a row."""
     if len(words) < n:

@@ -172,8 +172,8 @@ class Encoder:
             kept = ~_SPACE[data[starts]] if len(starts) else np.zeros(0, bool)
             first = np.concatenate([[0], np.cumsum(kept)])[first]
             starts, ends = starts[kept], ends[kept]
-        table = B.BYTE[B.LOWER] if self.kind == "word" else B.BYTE
-        hashes = B.span_hashes(B.prefix_sums(data, table), starts, ends)
+        seen = B.LOWER if self.kind == "word" else B.SAME
+        hashes = B.rehash_long(B.span_hashes(B.prefix_sums(data, B.BYTE[seen]), starts, ends), data, starts, ends, seen)
         keys, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) + len(keys) > CACHE:
             self.clear()
