@@ -50,19 +50,27 @@ def read_observations(spark: SparkSession, path: str) -> DataFrame:
     return flatten_observations(spark.read.json(path, schema=OBSERVATIONS, multiLine=True))
 
 
-def flatten_observations(responses: DataFrame) -> DataFrame:
+def poll_responses(spark: SparkSession, folder: str) -> DataFrame:
+    """The responses that a poller leaves in a folder, as a stream of readings with the name of their file as `poll`
+    (names have to sort by time, and each file is complete once it has its name). The checkpoint of the query holds which
+    files it has read, so a restart reads none twice; the folder may be in any store that Spark reads."""
+    files = spark.readStream.schema(OBSERVATIONS).option("multiLine", True).json(folder)
+    return flatten_observations(files.withColumn("poll", F.col("_metadata.file_name")), keep=("poll",))
+
+
+def flatten_observations(responses: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """(sensor, code, measure, time, value, lon, lat): codes that are not known are dropped, and so are features that
-    are not points with two coordinates. Values are in canonical units."""
-    one = responses.select(F.explode("_embedded.observations").alias("o"))
+    are not points with two coordinates. Values are in canonical units. `keep` names columns of the responses to keep."""
+    one = responses.select(*keep, F.explode("_embedded.observations").alias("o"))
     place = F.col("o.featureOfInterest.geometry")
     valid = one.filter((place["type"] == "Point") & (F.size(place["coordinates"]) >= 2))
-    times = valid.select(F.col("o.featureOfInterest.id").alias("sensor"), F.get(place["coordinates"], F.lit(0)).alias("lon"), F.get(place["coordinates"], F.lit(1)).alias("lat"), F.explode("o.result").alias("r"))
-    values = times.select("sensor", "lon", "lat", F.col("r.phenomenonTime").try_cast("timestamp").alias("time"), F.explode("r.parameters").alias("p"))
+    times = valid.select(*keep, F.col("o.featureOfInterest.id").alias("sensor"), F.get(place["coordinates"], F.lit(0)).alias("lon"), F.get(place["coordinates"], F.lit(1)).alias("lat"), F.explode("o.result").alias("r"))
+    values = times.select(*keep, "sensor", "lon", "lat", F.col("r.phenomenonTime").try_cast("timestamp").alias("time"), F.explode("r.parameters").alias("p"))
     known = F.create_map(*(F.lit(x) for k, (m, f) in CODES.items() for x in (k, m)))
     factor = F.create_map(*(F.lit(x) for k, (m, f) in CODES.items() for x in (k, f)))
     code = F.col("p.name")
     rows = values.filter(code.isin(list(CODES)) & F.col("p.value").isNotNull())
-    return rows.select("sensor", code.alias("code"), known[code].alias("measure"), "time", (F.col("p.value") * factor[code]).alias("value"), "lon", "lat")
+    return rows.select(*keep, "sensor", code.alias("code"), known[code].alias("measure"), "time", (F.col("p.value") * factor[code]).alias("value"), "lon", "lat")
 
 
 def rejected_features(responses: DataFrame) -> DataFrame:
@@ -108,6 +116,18 @@ def publish(series: DataFrame, measures: Sequence[str]) -> Relation:
     return Relation(days.join(whole, "sensor", "left_semi"), ("sensor", "day"))
 
 
+def publish_latest(series: DataFrame, measures: Sequence[str], horizon: str = "2 days") -> Relation:
+    """One row for each sensor that has every one of the measures within the `horizon` before its last point: an array of
+    (time, value) for each measure, in time order. The horizon bounds the arrays, however long a series is."""
+    wanted = series.filter(F.col("measure").isin(list(measures)) & F.col("time").isNotNull())
+    last = wanted.groupBy("sensor").agg((F.max("time") - F.expr(f"interval {horizon}")).alias("__from"))
+    recent = wanted.join(last, "sensor").filter(F.col("time") > F.col("__from"))
+    points = lambda m: F.array_sort(F.collect_list(F.when(F.col("measure") == m, F.struct("time", "value"))))
+    names = [m.rsplit(".", 1)[-1] for m in measures]
+    made = recent.groupBy("sensor").agg(*(points(m).alias(n) for m, n in zip(measures, names, strict=True)))
+    return Relation(made.filter(" and ".join(f"size({n}) > 0" for n in names)), ("sensor",))
+
+
 def classify_visits(visits: DataFrame, now: Column, port: str = PORT) -> DataFrame:
     """A row for each place of the berth visit that decides a visit's direction: visit columns, direction, time, place.
 
