@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rulefold.functions import units as U
 from rulefold.functions.expr import Expr, const, named, record_field
 from rulefold.functions.location import Z100, Location, parse
+from rulefold.plans.limitindex import LimitIndex
 from rulefold.plans.rules import INBOUND, OUTBOUND, Rule, require, restrict, vessel, when
+from rulefold.session import stored
 
 #: The columns of a rule table, in order.
 COLUMNS = [
@@ -149,6 +155,70 @@ def strictest(table: DataFrame) -> DataFrame:
     )
 
 
+#: Parts that the limits of one guard are dealt to where they look for one that implies them.
+SALTS = 8
+
+
+def _implied(table: pa.Table) -> pa.Table:
+    """One guard, one kind: ids of the limits that another one here implies. In the order of lower draughts up, upper ones
+    down, bounds from strict to loose, what implies a limit stands before it; the stairs hold what is open by falling
+    upper draught and rising strictness."""
+    columns = ("low", "high", "tight", "asks", "id")
+    rows = sorted(zip(*(table[c].to_pylist() for c in columns), strict=True), key=lambda r: (r[0], -r[1], r[2], r[3]))
+    tops: list[float] = []  # negated upper draughts, ascending
+    tights: list[float] = []  # descending: a lower top has to be stricter to be of use
+    found = []
+    for low, high, tight, asks, own in rows:
+        at = bisect.bisect_right(tops, -high)
+        if at and tights[at - 1] <= tight:
+            found.append(own)
+            continue
+        if not asks:
+            at = bisect.bisect_left(tops, -high)
+            end = at
+            while end < len(tops) and tights[end] >= tight:
+                end += 1
+            tops[at:end], tights[at:end] = [-high], [tight]
+    return pa.table({"id": pa.array(found, pa.int64())})
+
+
+def minimal(table: DataFrame) -> DataFrame:
+    """strictest(), less all limits that another one implies: one for the same vessels or more of them (any section, place,
+    type or direction, a wider range of draughts) with a bound as strict or stricter, or a flat refusal. Columns of
+    strictest(); nothing that is left is implied by another one, and a vessel is denied by what is left just where it was
+    denied before. Allowances stand for themselves: only wider ones imply them.
+
+    Each limit asks the guards that hold its own (16 at most, and each refusal there), of which only those that occur
+    are kept; the questions to one guard are dealt to SALTS parts, each of which gets the guard's limits.
+    """
+    guard = ["section", "place", "type", "both_ways"]
+    kind = F.col("kind")
+    tight = F.when(kind.isin("max_beam", "max_length"), F.col("bound")).when(kind.isin("min_length", "ukc"), -F.col("bound")).otherwise(0.0)
+    rows = strictest(table).filter("draught_from is null or draught_to is null or draught_from < draught_to")
+    # refusals and allowances are the same whatever their bound
+    rows = rows.withColumn("bound", F.when(~kind.isin("forbidden", "allowed"), F.col("bound"))).distinct()
+    rows = stored(rows.withColumn("id", F.xxhash64(*guard, "draught_from", "draught_to", "kind", "bound")), "limits")
+    about = F.when(kind == "fresh_water", F.concat("kind", F.lit(" "), F.col("bound").cast("string"))).otherwise(kind)
+    inf = F.lit(float("inf"))
+    facts = rows.select(*guard, about.alias("about"), F.coalesce("draught_from", -inf).alias("low"), F.coalesce("draught_to", inf).alias("high"), tight.alias("tight"), "id")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    wider = facts
+    for c in guard[:3]:
+        wider = wider.withColumn(c, F.explode(F.array_distinct(F.array(F.col(c), F.lit(None).cast(facts.schema[c].dataType)))))
+    wider = wider.withColumn("both_ways", F.explode(F.array_distinct(F.array("both_ways", F.lit(False)))))
+    asked = wider.withColumn("about", F.explode(F.when(F.col("about").isin("allowed", "forbidden"), F.array("about")).otherwise(F.array("about", F.lit("forbidden")))))
+    # a refusal is as strict as any bound
+    asked = asked.withColumn("tight", F.when(F.col("about") == "forbidden", 0.0).otherwise(F.col("tight")))
+    here = facts.select("id", *(F.col(c).alias(f"__{c}") for c in [*guard, "about"]))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in [*guard, "about"]]
+    asked = asked.join(here.drop("id").distinct(), reduce(lambda a, b: a & b, same)).select(*facts.columns)
+    # a limit's question to its own guard and kind is its own row
+    asked = asked.join(facts.select("id", *(F.col(c).alias(f"__{c}") for c in [*guard, "about"])).withColumnRenamed("id", "__id"), reduce(lambda a, b: a & b, [*same, F.col("id") == F.col("__id")]), "left_anti")
+    both = facts.select("*", F.lit(0).alias("asks"), salts).unionByName(asked.withColumns({"asks": F.lit(1), "salt": F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")}))
+    implied = both.groupBy(*guard, "about", "salt").applyInArrow(_implied, "id bigint")
+    return rows.join(implied.distinct(), "id", "left_anti").drop("id")
+
+
 #: Columns of limits and vessels that may be missing, with their types.
 _LIMIT = {"place": "bigint", "both_ways": "boolean", "draught_to": "double"}
 _VESSEL = {"place": "bigint", "direction": "string", "contract_depth": "double", "fresh_water_allowance": "double"}
@@ -162,10 +232,39 @@ def evaluate(vessels: DataFrame, table: DataFrame, key: str, most_rules: int = 2
     contract_depth and fresh_water_allowance (null: the vessel has no berth record, and the limit no result for it).
     table: as limits() makes it.
 
-    Equal limits count once with their number, and both sides meet on section and type (a limit for all types is there
-    once for each type, one for all sections once for each section), so only few pairs that do not apply are looked at.
-    Limits are broadcast up to most_rules; beyond that both sides are shuffled on section and type.
+    Equal limits count once with their number. Up to most_rules of them go to every task as an index that a vessel
+    searches, so its work grows with the logarithm of the limits; one row a vessel, nothing is shuffled. Beyond that
+    vessels and limits are joined on section and type (evaluate_by_pairs).
     """
+    rules = table.withColumns({c: F.lit(None).cast(t) for c, t in _LIMIT.items() if c not in table.columns}).filter(F.col("kind").isNotNull())
+    own = ["section", "place", "type", "both_ways", "draught_from", "draught_to", "kind", "bound"]
+    rows = rules.groupBy(*own).agg(F.count("*").alias("times")).limit(most_rules + 1).collect()
+    if len(rows) > most_rules:
+        return evaluate_by_pairs(vessels, table, key)
+    v = vessels.withColumns({c: F.lit(None).cast(t) for c, t in _VESSEL.items() if c not in vessels.columns})
+    index = LimitIndex([tuple(r) for r in rows])
+    numbers = ["draught", "beam", "length", "contract_depth", "fresh_water_allowance"]
+    sent = v.select(
+        key, *(F.col(c).cast("bigint").alias(f"__{c}") for c in ("section", "place")), F.col("type").alias("__type"),
+        F.coalesce(F.col("direction").isin(INBOUND, OUTBOUND), F.lit(False)).alias("__moves"), *(F.col(c).cast("double").alias(f"__{c}") for c in numbers),
+    )
+    schema = T.StructType([v.schema[key], *T._parse_datatype_string("n_rules bigint, n_denied bigint")])
+
+    def run(batches):
+        for b in batches:
+            floats = [np.array(b.column(f"__{c}").to_numpy(zero_copy_only=False), float) for c in numbers]
+            labels = [b.column(f"__{c}").to_pylist() for c in ("section", "place", "type")]
+            n, broken = index.count(*labels, b.column("__moves").to_numpy(zero_copy_only=False).astype(bool), *floats)
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(n), pa.array(broken)], names=[key, "n_rules", "n_denied"])
+
+    counted = sent.mapInArrow(run, schema).filter("n_rules > 0")
+    return counted.withColumn("allow", F.col("n_denied") == 0)
+
+
+def evaluate_by_pairs(vessels: DataFrame, table: DataFrame, key: str, most_rules: int = 200_000) -> DataFrame:
+    """evaluate() as a join for rule tables of any size: both sides meet on section and type (a limit for all types is
+    there once for each type, one for all sections once for each section), so only few pairs that do not apply are
+    looked at. Limits are broadcast up to most_rules; beyond that both sides are shuffled on section and type."""
     v = vessels.withColumns({c: F.lit(None).cast(t) for c, t in _VESSEL.items() if c not in vessels.columns})
     rules = table.withColumns({c: F.lit(None).cast(t) for c, t in _LIMIT.items() if c not in table.columns}).filter(F.col("kind").isNotNull())
     own = ["section", "place", "type", "both_ways", "draught_from", "draught_to", "kind", "bound"]
