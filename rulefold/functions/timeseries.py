@@ -22,36 +22,53 @@ def interpolate(queries: DataFrame, series: DataFrame, key: str, time: str = "ti
     Between two points strictly before and after, linear by whole seconds. Otherwise the nearest point by whole
     minutes, at most 60 away; among equals the earlier one. Else null. circular=True interpolates angles over the short
     way round and gives 0 to 360. Points of equal time: the last by `tie`.
+    """
+    return interpolate_fields(queries, {value: series}, key, time, value, tie, (value,) if circular else ())
+
+
+def interpolate_fields(
+    queries: DataFrame, fields: dict[str, DataFrame], key: str, time: str = "time", value: str = "value", tie: Sequence[str] = (), circular: Sequence[str] = ()
+) -> DataFrame:
+    """queries with a column for each field, predicted from the field's own series as interpolate() does; `circular` names
+    the fields that are angles.
 
-    Two as-of lookups by windows over one shuffle. They are keyed by key and day; the last point before a day and the
-    first one after it are carried into it (from one row for each key and day), so a busy key is many tasks.
+    All fields go through one shuffle and one sort in either direction, however many they are. Rows are keyed by key and
+    day; each field's last point before a day and first one after it are carried into it (from one row for each key and
+    day), so a busy key is many tasks.
     """
     own = [c for c in queries.columns if c not in (key, time)]
     order = list(tie) or [value]
+    names = {f"__{i}": name for i, name in enumerate(fields)}
     day = F.unix_date(F.col("__t").cast("date")).alias("__day")
     q = queries.select(key, F.col(time).cast("timestamp").alias("__t"), F.struct(F.col(time).alias("__time"), *own).alias("__q"))
     kind = q.schema["__q"].dataType
-    points = series.filter(F.col(value).isNotNull() & F.col(time).isNotNull())
-    last = points.groupBy(key, F.col(time).cast("timestamp").alias("__t")).agg(F.max_by(F.col(value).cast("double"), F.struct(*order)).alias("v"))
-    last = last.select(key, day, "__t", F.struct(F.col("__t").alias("t"), "v").alias("__p"))
-    asked = q.select(key, day).distinct().withColumns({"__first": F.lit(None).cast(_POINT), "__last": F.lit(None).cast(_POINT)})
-    ends = last.groupBy(key, "__day").agg(F.min("__p").alias("__first"), F.max("__p").alias("__last")).unionByName(asked)
-    ends = ends.groupBy(key, "__day").agg(F.min("__first").alias("__first"), F.max("__last").alias("__last"))
-    days = Window.partitionBy(key).orderBy("__day")
+    points = None
+    for f, name in names.items():
+        found = fields[name].filter(F.col(value).isNotNull() & F.col(time).isNotNull())
+        last = found.groupBy(key, F.col(time).cast("timestamp").alias("__t")).agg(F.max_by(F.col(value).cast("double"), F.struct(*order)).alias("v"))
+        last = last.select(key, day, "__t", F.lit(f).alias("__f"), F.struct(F.col("__t").alias("t"), "v").alias("__p"))
+        points = last if points is None else points.unionByName(last)
+    of = lambda f: F.when(F.col("__f") == f, F.col("__p"))
+    none = F.lit(None).cast(_POINT)
+    ends = points.groupBy(key, "__day").agg(*(e for f in names for e in (F.min(of(f)).alias(f"{f}first"), F.max(of(f)).alias(f"{f}last"))))
+    asked = q.select(key, day).distinct().withColumns({f"{f}{end}": none for f in names for end in ("first", "last")})
+    ends = ends.unionByName(asked).groupBy(key, "__day").agg(*(e for f in names for e in (F.min(f"{f}first").alias(f"{f}first"), F.max(f"{f}last").alias(f"{f}last"))))
+    days = Window.partitionBy(key).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
     back = Window.partitionBy(key).orderBy(F.desc("__day")).rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("__before", F.last("__last", ignorenulls=True).over(days.rowsBetween(Window.unboundedPreceding, -1)))
-    ends = ends.withColumn("__after", F.last("__first", ignorenulls=True).over(back))
-    edges = ends.select(key, "__day", F.explode(F.array_compact(F.array("__before", "__after"))).alias("__p"))
-    edges = edges.select(key, "__day", F.col("__p.t").alias("__t"), "__p")
-    w = Window.partitionBy(key, "__day").orderBy("__t", "__side")
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = ends.withColumns({f"{f}before": F.last(f"{f}last", ignorenulls=True).over(days) for f in names})
+    ends = ends.withColumns({f"{f}after": F.last(f"{f}first", ignorenulls=True).over(back) for f in names})
+    near = [F.when(F.col(f + end).isNotNull(), F.struct(F.lit(f).alias("f"), F.col(f + end).alias("p"))) for f in names for end in ("before", "after")]
+    edges = ends.select(key, "__day", F.explode(F.array_compact(F.array(*near))).alias("__e"))
+    edges = edges.select(key, "__day", F.col("__e.p.t").alias("__t"), F.col("__e.f").alias("__f"), F.col("__e.p").alias("__p"))
+    w = Window.partitionBy(key, "__day").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     after = Window.partitionBy(key, "__day").orderBy(F.col("__t").desc(), F.col("__side").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    both = q.select(key, day, "__t", F.lit(1).alias("__side"), "__q", F.lit(None).cast(_POINT).alias("__p")).unionByName(
-        last.unionByName(edges).select(key, "__day", "__t", F.lit(0).alias("__side"), F.lit(None).cast(kind).alias("__q"), "__p")
+    both = q.select(key, day, "__t", F.lit(1).alias("__side"), "__q", F.lit(None).cast("string").alias("__f"), none.alias("__p")).unionByName(
+        points.unionByName(edges).select(key, "__day", "__t", F.lit(0).alias("__side"), F.lit(None).cast(kind).alias("__q"), "__f", "__p")
     )
-    both = both.withColumn("__a", F.last("__p", ignorenulls=True).over(upto)).withColumn("__b", F.last("__p", ignorenulls=True).over(after))
-    found = both.filter("__side = 1")
-    return found.select(key, F.col("__q.__time").alias(time), *(F.col(f"__q.{c}").alias(c) for c in own), predicted(F.col("__t"), F.col("__a"), F.col("__b"), circular).alias(value))
+    both = both.withColumns({f"{f}a": F.last(of(f), ignorenulls=True).over(w) for f in names})
+    both = both.withColumns({f"{f}b": F.last(of(f), ignorenulls=True).over(after) for f in names})
+    made = [predicted(F.col("__t"), F.col(f"{f}a"), F.col(f"{f}b"), name in circular).alias(name) for f, name in names.items()]
+    return both.filter("__side = 1").select(key, F.col("__q.__time").alias(time), *(F.col(f"__q.{c}").alias(c) for c in own), *made)
 
 
 def predicted(t: Column, a: Column, b: Column, circular: bool = False) -> Column:

@@ -282,8 +282,8 @@ _BOTH = _asof(_asof(_PURCHASES, _points("view", "user_id"), "x"), _points("click
 
 @query(f"select id, round(x, 6) x, round(y, 6) y from {_BOTH} where x is not null and y is not null")
 def interpolate_record(spark, d):
-    rows = timeseries.interpolate(_purchases(spark, d), series(spark, d, "view", F.col("user_id")), "k", tie=["event_id"]).withColumnRenamed("value", "x")
-    rows = timeseries.interpolate(rows, series(spark, d, "click", F.col("user_id")), "k", tie=["event_id"]).withColumnRenamed("value", "y")
+    fields = {name: series(spark, d, kind, F.col("user_id")) for name, kind in (("x", "view"), ("y", "click"))}
+    rows = timeseries.interpolate_fields(_purchases(spark, d), fields, "k", tie=["event_id"])
     return rows.filter("x is not null and y is not null").select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 

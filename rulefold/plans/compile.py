@@ -104,13 +104,12 @@ def with_reading(
 ) -> DataFrame:
     """vessels with a sensor record predicted at their time; null unless every field can be predicted.
 
-    fields: name -> series (sensor, time, value). The fields are predicted one after another on (vessel, sensor, time)
-    rows and joined back once.
+    fields: name -> series (sensor, time, value). All fields are predicted in one pass over (vessel, sensor, time) rows
+    and joined back once.
     """
     wanted = vessels.select(vessel_key, F.col(destination).alias("__to"), F.col(time).alias("time"))
     rows = wanted.join(berth_to_sensor, F.col("__to") == F.col(berth_key)).select(vessel_key, "sensor", "time")
-    for name, series in fields.items():
-        rows = timeseries.interpolate(rows, series, "sensor", "time", "value").withColumnRenamed("value", name)
+    rows = timeseries.interpolate_fields(rows, fields, "sensor")
     whole = reduce(lambda a, b: a & b, (F.col(n).isNotNull() for n in fields))
     made = rows.filter(whole).select(F.col(vessel_key).alias("__id"), F.struct(*fields).alias(record))
     return vessels.join(made, F.col(vessel_key) == F.col("__id"), "left").drop("__id")
