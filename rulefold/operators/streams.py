@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def merge(*streams: DataFrame) -> DataFrame:
@@ -61,3 +62,15 @@ def _struct(df: DataFrame, names: Sequence[str]) -> str:
 def named(df: DataFrame, name: str) -> DataFrame:
     """A label for plans and error messages; rows and columns are unchanged."""
     return df.alias(name)
+
+
+def never(like: DataFrame) -> DataFrame:
+    """A stream of the same columns that has no element, ever: merging it adds nothing, combining with it gives nothing."""
+    return like.limit(0)
+
+
+def from_sequence(spark: SparkSession, rows: Sequence[tuple], schema: str, order: str = "seq") -> DataFrame:
+    """The elements of a local sequence with their place in it, from 0, as the column that orders them."""
+    fields = T._parse_datatype_string(schema)
+    placed = [(*r, i) for i, r in enumerate(rows)]
+    return spark.createDataFrame(placed, T.StructType([*fields, T.StructField(order, T.LongType())]))

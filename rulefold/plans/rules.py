@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import inspect
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from rulefold.functions import units as U
@@ -129,3 +129,29 @@ class tidal_stream:  # noqa: N801
 
 
 INBOUND, OUTBOUND = "Inbound", "Outbound"
+
+
+def walk(rule: Rule) -> Iterator[Rule]:
+    """The statement and all within it, outer ones first."""
+    yield rule
+    for child in getattr(rule, "body", ()):
+        yield from walk(child)
+
+
+def transform(rule: Rule, change: Callable[[Rule], Rule | None]) -> Rule | None:
+    """The tree with `change` made to every statement, inner ones first; where it gives None the statement goes. A statement
+    whose whole body goes, goes too: an empty body would allow."""
+    body = getattr(rule, "body", ())
+    if body:
+        kept = tuple(x for child in body if (x := transform(child, change)) is not None)
+        if not kept:
+            return None
+        rule = with_body(rule, kept)
+    return change(rule)
+
+
+def with_condition(rule: Rule, condition: Expr) -> Rule:
+    """The same statement under another condition; a restriction has none and stays."""
+    if isinstance(rule, When):
+        return When(rule.origin, condition, rule.body)
+    return Require(rule.origin, condition) if isinstance(rule, Require) else rule
