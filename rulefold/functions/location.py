@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rulefold.session import stored
+
 COUNTRY = 100
 EARTH_RADIUS = 6_371_008.8
 #: The id that ends a name.
@@ -103,17 +105,77 @@ def distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     return 2 * EARTH_RADIUS * F.asin(F.sqrt(a))
 
 
-def nearest_sensor(points: DataFrame, sensors: DataFrame, key: str, most_sensors: int = 10_000) -> DataFrame:
+#: Sensors up to which a scan of all of them is cheaper than cells.
+FEW_SENSORS = 64
+#: Most sensors of a cell of the finest grid, and the finest grid's level (cells of 360 / 2 ** level degrees).
+CELL_SENSORS, FINEST = 16, 24
+
+
+def nearest_sensor(points: DataFrame, sensors: DataFrame, key: str, most_sensors: int | None = None) -> DataFrame:
     """(key, sensor) for each point (key, lon, lat): the sensor (sensor, lon, lat, ord) at the least distance, among
-    equals the one of least ord. Points without a place get none.
+    equals the one of least ord. Points and sensors without a place get and give none.
 
-    The sensors travel to the points as one array in a broadcast row, so there is one row for each point, no cross
-    product. Their number is checked against most_sensors (a static table of some dozens).
+    Up to FEW_SENSORS travel to the points as one array in a broadcast row; more are searched by nearest_by_grid(). With
+    `most_sensors` a larger number of sensors is an error.
     """
-    n = sensors.count()
-    if n > most_sensors:
-        raise ValueError(f"{n} sensors are too many to broadcast")
-    one = sensors.agg(F.sort_array(F.collect_list(F.struct("ord", "sensor", F.col("lon").alias("x"), F.col("lat").alias("y")))).alias("all"))
+    if most_sensors is not None and (n := sensors.count()) > most_sensors:
+        raise ValueError(f"{n} sensors, where {most_sensors} are the most")
+    few = sensors.select("ord", "sensor", "lon", "lat").filter("lon is not null and lat is not null").limit(FEW_SENSORS + 1).collect()
+    if len(few) > FEW_SENSORS:
+        return nearest_by_grid(points, sensors, key)
     here = points.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select(key, "lon", "lat").distinct()
+    if not few:
+        return here.select(key, F.lit(None).cast(sensors.schema["sensor"].dataType).alias("sensor")).limit(0)
+    one = sensors.agg(F.sort_array(F.collect_list(F.when(F.col("lon").isNotNull() & F.col("lat").isNotNull(), F.struct("ord", "sensor", F.col("lon").alias("x"), F.col("lat").alias("y"))))).alias("all"))
     near = F.transform("all", lambda s: F.struct(distance(F.col("lon"), F.col("lat"), s["x"], s["y"]).alias("d"), s["ord"].alias("ord"), s["sensor"].alias("sensor")))
-    return here.crossJoin(F.broadcast(one)).filter(F.size("all") > 0).select(key, F.array_min(near)["sensor"].alias("sensor"))
+    return here.crossJoin(F.broadcast(one)).select(key, F.array_min(near)["sensor"].alias("sensor"))
+
+
+def _cells(df: DataFrame, level: int) -> DataFrame:
+    """df with the cell (gx, gy) of lon and lat in a grid whose cells halve with each level."""
+    size = 360.0 / 2**level
+    return df.withColumns({"gx": F.pmod(F.floor((F.col("lon") + 180) / size), F.lit(2**level)), "gy": F.floor((F.col("lat") + 90) / size)})
+
+
+def nearest_by_grid(points: DataFrame, sensors: DataFrame, key: str) -> DataFrame:
+    """nearest_sensor() for any number of sensors: each point meets the sensors of its cell and the eight around it, on a
+    grid so fine that a cell has CELL_SENSORS at most. A point is done once its nearest one is no farther than anything
+    outside the nine cells can be; the others go on with cells four times as wide, so a point's work does not depend on the
+    number of sensors. Both sides meet by an equal join on cells.
+
+    Outside the cells a sensor is at least as far as the nearer of their parallels, or of their meridians over the
+    sphere's surface, which holds near the poles and across the date line too.
+    """
+    places = stored(sensors.select("ord", "sensor", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")).filter("lon is not null and lat is not null"), "places")
+    levels = F.explode(F.sequence(F.lit(2), F.lit(FINEST))).alias("level")
+    width = F.pow(F.lit(2.0), F.col("level")) / 360
+    counts = places.select("lon", "lat", levels).groupBy("level", F.floor((F.col("lon") + 180) * width), F.floor((F.col("lat") + 90) * width)).count()
+    fits = counts.groupBy("level").agg(F.max("count").alias("n")).filter(F.col("n") <= CELL_SENSORS).agg(F.min("level")).first()[0]
+    level = fits or FINEST  # more than CELL_SENSORS in one place: the finest
+    left = points.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select(key, F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")).distinct()
+    done, rounds = None, [places]
+    while True:
+        size, whole = 360.0 / 2**level, level <= 2
+        around = F.explode(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)))).alias("to")
+        asked = _cells(left, level).select("*", around)
+        asked = asked.select(key, "lon", "lat", F.pmod(F.col("gx") + F.col("to.x"), F.lit(2**level)).alias("cx"), (F.col("gy") + F.col("to.y")).alias("cy")).distinct()
+        there = _cells(places, level).select("ord", "sensor", F.col("lon").alias("x"), F.col("lat").alias("y"), F.col("gx").alias("cx"), F.col("gy").alias("cy"))
+        if whole:  # four columns of cells: whatever is left looks at all of them
+            found = left.crossJoin(places.select("ord", "sensor", F.col("lon").alias("x"), F.col("lat").alias("y")))
+        else:
+            found = asked.join(there, ["cx", "cy"])
+        best = found.groupBy(key, "lon", "lat").agg(F.min(F.struct(distance(F.col("lon"), F.col("lat"), F.col("x"), F.col("y")).alias("d"), "ord", "sensor")).alias("best"))
+        if whole:
+            done = best.select(key, "best.sensor") if done is None else done.unionByName(best.select(key, "best.sensor"))
+            return done
+        within = lambda c, low: F.least(F.pmod(F.col(c) + low, F.lit(size)), size - F.pmod(F.col(c) + low, F.lit(size))) + size
+        by_meridian = F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(F.least(within("lon", 180), F.lit(90.0)))))
+        reach = EARTH_RADIUS * F.least(F.radians(within("lat", 90)), by_meridian)
+        judged = stored(left.join(best, [key, "lon", "lat"], "left").withColumn("done", F.coalesce(F.col("best.d") < reach * (1 - 1e-9), F.lit(False))), "nearest")
+        rounds.append(judged)
+        sure = judged.filter("done").select(key, "best.sensor")
+        done = sure if done is None else done.unionByName(sure)
+        left = judged.filter(~F.col("done")).select(key, "lon", "lat")
+        if left.isEmpty():
+            return done
+        level = max(2, level - 2)

@@ -236,6 +236,30 @@ def rewrite_fresh_water(spark, d):
     return C.deny_events(rows, made).select("o_orderkey")
 
 
+# Many sensors
+
+_PARTS = """(select p_partkey sensor, p_partkey ord, case when p_size % 3 = 0 then 3.0 + (p_partkey * 7919 % 997) * 0.003::double else -180.0 + (p_partkey * 104729 % 36000) * 0.01::double end lon,
+case when p_size % 3 = 0 then 51.0 + (p_partkey * 6151 % 991) * 0.002::double else -89.5 + (p_partkey * 15485863 % 17900) * 0.01::double end lat from part)"""
+
+
+@query(f"""select c_custkey, sensor from (select c_custkey, s.sensor, row_number() over (partition by c_custkey order by
+2 * 6371008.8 * asin(sqrt(pow(sin(radians(s.lat - b.lat) / 2), 2) + cos(radians(b.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - b.lon) / 2), 2))), ord) rn
+from (select c_custkey, case when c_custkey % 3 = 0 then -180.0 + (c_custkey * 7 % 360) else 3.0::double + (c_custkey % 150) * 0.01::double end lon,
+case when c_custkey % 3 = 0 then -90.0 + (c_custkey * 11 % 181) else 51.4::double + (c_custkey % 60) * 0.01::double end lat from customer) b, {_PARTS} s) where rn = 1""")
+def nearest_of_many_sensors(spark, d):
+    """A third of the sensors near one port, the others all over the world, and berths in both."""
+    c, p = F.col("c_custkey"), F.col("p_partkey")
+    lon = F.when(c % 3 == 0, F.lit(-180.0) + (c * 7) % 360).otherwise(F.lit(3.0) + (c % 150) * F.lit(0.01).cast("double"))
+    lat = F.when(c % 3 == 0, F.lit(-90.0) + (c * 11) % 181).otherwise(F.lit(51.4).cast("double") + (c % 60) * F.lit(0.01).cast("double"))
+    near = F.col("p_size") % 3 == 0
+    cell = lambda a, n, step, low: F.lit(low).cast("double") + ((p * a) % n) * F.lit(step).cast("double")
+    sensors = K.table(spark, d, "part").select(
+        p.alias("sensor"), p.alias("ord"), F.when(near, cell(7919, 997, 0.003, 3.0)).otherwise(cell(104729, 36000, 0.01, -180.0)).alias("lon"),
+        F.when(near, cell(6151, 991, 0.002, 51.0)).otherwise(cell(15485863, 17900, 0.01, -89.5)).alias("lat"),
+    )
+    return L.nearest_sensor(K.table(spark, d, "customer").select("c_custkey", lon.alias("lon"), lat.alias("lat")), sensors, "c_custkey")
+
+
 # Streams in rules, sequences, trees
 
 

@@ -19,3 +19,12 @@ def spark():
     )
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="module")
+def small_state(spark):
+    """Two parts of state, as each is opened in every micro-batch."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -12,6 +12,8 @@ from rulefold.operators import streams
 from rulefold.operators.relation import Relation, last_changes
 from rulefold.streaming import keyed, replay
 
+pytestmark = pytest.mark.usefixtures("small_state")
+
 LEFT = "k string, n int, op string, seq bigint, fk bigint, a string"
 RIGHT = "id bigint, op string, seq bigint, b bigint"
 BIG = 2**53 + 1

@@ -14,6 +14,8 @@ from rulefold.streaming import keyed
 from rulefold.streaming.rules import Record, deny_changes
 from tests.test_keyed_streaming import feed, file_stream, folded, run, table
 
+pytestmark = pytest.mark.usefixtures("small_state")
+
 RULES = [when(vessel.direction.is_(INBOUND), require(berth.draught >= vessel.draught)), require(vessel.draught <= metres(9))]
 VESSELS = "id bigint, op string, seq bigint, to bigint, vessel struct<draught: double, direction: string, destination: string>"
 BERTHS = "urn bigint, op string, seq bigint, draught double, length double, width double"

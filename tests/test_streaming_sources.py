@@ -10,6 +10,8 @@ from rulefold.sources import ingest
 from rulefold.streaming import sources
 from tests.test_keyed_streaming import at, feed, file_stream, folded, run
 
+pytestmark = pytest.mark.usefixtures("small_state")
+
 WIND = ["wind.velocity", "wind.direction"]
 
 
