@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -105,6 +106,58 @@ def distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     return 2 * EARTH_RADIUS * F.asin(F.sqrt(a))
 
 
+#: Half axis in metres and flattening of the WGS 84 ellipsoid.
+AXIS, FLATTENING = 6_378_137.0, 1 / 298.257223563
+#: Steps of the geodesic's iteration; each gains two digits or more unless the points are nearly antipodal.
+GEODESIC_STEPS = 20
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def geodesic(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """Distance in metres along the WGS 84 ellipsoid (Vincenty's inverse formula, right to a millimetre); null for nearly
+    antipodal points, for which its iteration does not settle, and where a coordinate is null."""
+    f, axis = FLATTENING, AXIS * (1 - FLATTENING)
+    reduced = lambda lat: F.atan((1 - f) * F.tan(F.radians(lat)))
+    place = F.struct(reduced(lat1).alias("u"), reduced(lat2).alias("v"), F.radians(lon2 - lon1).alias("l"))
+
+    def along(p: Column) -> Column:
+        su, cu, sv, cv = F.sin(p["u"]), F.cos(p["u"]), F.sin(p["v"]), F.cos(p["v"])
+
+        def arc(x: Column) -> Column:
+            """On the auxiliary sphere, at a difference x of longitudes: the arc, its sine and cosine, and the azimuth's."""
+            sine = F.sqrt(F.pow(cv * F.sin(x), 2) + F.pow(cu * sv - su * cv * F.cos(x), 2))
+            both = F.struct(sine.alias("s"), (su * sv + cu * cv * F.cos(x)).alias("c"), F.coalesce(F.try_divide(cu * cv * F.sin(x), sine), F.lit(0.0)).alias("a"))
+            return _let(both, lambda b: F.struct(b["s"].alias("s"), b["c"].alias("c"), b["a"].alias("a"), F.atan2(b["s"], b["c"]).alias("arc"), (1 - b["a"] * b["a"]).alias("q")))
+
+        def middle(b: Column) -> Column:
+            return F.when(b["q"] > 1e-15, b["c"] - F.try_divide(2 * su * sv, b["q"])).otherwise(0.0)
+
+        def onward(b: Column) -> Column:
+            k = f / 16 * b["q"] * (4 + f * (4 - 3 * b["q"]))
+            m = middle(b)
+            return p["l"] + (1 - k) * f * b["a"] * (b["arc"] + k * b["s"] * (m + k * b["c"] * (2 * m * m - 1)))
+
+        step = lambda state, _: F.struct(_let(arc(state["x"]), onward).alias("x"), state["x"].alias("was"))
+        start = F.struct(p["l"].alias("x"), F.lit(None).cast("double").alias("was"))
+        last = F.aggregate(F.sequence(F.lit(1), F.lit(GEODESIC_STEPS)), start, step)
+
+        def length(b: Column) -> Column:
+            w = b["q"] * (AXIS**2 - axis**2) / axis**2
+            big = 1 + w / 16384 * (4096 + w * (w * (320 - 175 * w) - 768))
+            small = w / 1024 * (256 + w * (w * (74 - 47 * w) - 128))
+            m = middle(b)
+            shift = small * b["s"] * (m + small / 4 * (b["c"] * (2 * m * m - 1) - small / 6 * m * (4 * b["s"] * b["s"] - 3) * (4 * m * m - 3)))
+            return axis * big * (b["arc"] - shift)
+
+        return _let(last, lambda e: F.when(F.abs(e["x"] - e["was"]) < 1e-11, _let(arc(e["x"]), length)))
+
+    return _let(place, along)
+
+
 #: Sensors up to which a scan of all of them is cheaper than cells.
 FEW_SENSORS = 64
 #: Most sensors of a cell of the finest grid, and the finest grid's level (cells of 360 / 2 ** level degrees).

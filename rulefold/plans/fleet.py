@@ -236,7 +236,33 @@ def rewrite_fresh_water(spark, d):
     return C.deny_events(rows, made).select("o_orderkey")
 
 
-# Many sensors
+# Distances and many sensors
+
+
+def _geodesic_sql(points: str) -> str:
+    """Vincenty's inverse formula over (id, x1, y1, x2, y2), its iteration written out step by step."""
+    f, b = L.FLATTENING, L.AXIS * (1 - L.FLATTENING)
+    arc = "sqrt(pow(cv * sin(x), 2) + pow(cu * sv - su * cv * cos(x), 2)) s, su * sv + cu * cv * cos(x) c"
+    rows = f"(select *, sin(u) su, cos(u) cu, sin(v) sv, cos(v) cv, l x from (select id, atan({1 - f} * tan(radians(y1))) u, atan({1 - f} * tan(radians(y2))) v, radians(x2 - x1) l from {points}))"
+    for _ in range(8):
+        rows = f"(select *, {arc} from {rows})"
+        rows = f"(select *, case when s = 0 then 0 else cu * cv * sin(x) / s end a from {rows})"
+        rows = f"(select *, 1 - a * a q, case when 1 - a * a > 1e-15 then c - 2 * su * sv / (1 - a * a) else 0 end m, atan2(s, c) g from {rows})"
+        rows = f"(select *, {f} / 16 * q * (4 + {f} * (4 - 3 * q)) k from {rows})"
+        rows = f"(select * exclude (x, s, c, a, q, m, g, k), l + (1 - k) * {f} * a * (g + k * s * (m + k * c * (2 * m * m - 1))) x from {rows})"
+    rows = f"(select *, {arc} from {rows})"
+    rows = f"(select *, case when s = 0 then 0 else cu * cv * sin(x) / s end a from {rows})"
+    rows = f"(select *, (1 - a * a) * {(L.AXIS**2 - b**2) / b**2} w, case when 1 - a * a > 1e-15 then c - 2 * su * sv / (1 - a * a) else 0 end m, atan2(s, c) g from {rows})"
+    rows = f"(select *, 1 + w / 16384 * (4096 + w * (w * (320 - 175 * w) - 768)) big, w / 1024 * (256 + w * (w * (74 - 47 * w) - 128)) small from {rows})"
+    return f"(select id, {b} * big * (g - small * s * (m + small / 4 * (c * (2 * m * m - 1) - small / 6 * m * (4 * s * s - 3) * (4 * m * m - 3)))) metres from {rows})"
+
+
+@query(f"""select id c_custkey, round(metres, 3) metres from {_geodesic_sql("(select c_custkey id, 3.0 + (c_custkey % 150) * 0.01::double x1, -80.0 + c_custkey % 161 y1, 3.0 + c_nationkey * 0.6::double x2, -50.0 + c_nationkey * 4 y2 from customer)")}""")
+def geodesic_distances(spark, d):
+    c, n = F.col("c_custkey"), F.col("c_nationkey")
+    there = [F.lit(3.0) + (c % 150) * F.lit(0.01).cast("double"), (c % 161).cast("double") - 80, F.lit(3.0) + n * F.lit(0.6).cast("double"), n * 4.0 - 50]
+    return K.table(spark, d, "customer").select("c_custkey", F.round(L.geodesic(*(x.cast("double") for x in there)), 3).alias("metres"))
+
 
 _PARTS = """(select p_partkey sensor, p_partkey ord, case when p_size % 3 = 0 then 3.0 + (p_partkey * 7919 % 997) * 0.003::double else -180.0 + (p_partkey * 104729 % 36000) * 0.01::double end lon,
 case when p_size % 3 = 0 then 51.0 + (p_partkey * 6151 % 991) * 0.002::double else -89.5 + (p_partkey * 15485863 % 17900) * 0.01::double end lat from part)"""

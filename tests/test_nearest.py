@@ -5,6 +5,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from rulefold.functions import location as L
 
 POINTS, SENSORS = "id bigint, lon double, lat double", "sensor string, ord bigint, lon double, lat double"
@@ -39,3 +41,19 @@ def test_few_or_no_sensors(spark):
     assert L.nearest_sensor(points, spark.createDataFrame([("a", 1, None, 2.0)], SENSORS), "id").count() == 0
     assert [r.sensor for r in L.nearest_sensor(points, spark.createDataFrame([("a", 2, 4.0, 52.5), ("b", 1, 4.0, 51.5), ("c", 0, None, 52.0)], SENSORS), "id").collect()] in (["a"], ["b"])
     assert L.nearest_by_grid(points.limit(0), spark.createDataFrame([], SENSORS), "id").count() == 0
+
+
+def test_geodesics_have_published_lengths(spark):
+    dms = lambda d, m, s: math.copysign(abs(d) + m / 60 + s / 3600, d)
+    rows = [
+        # Flinders Peak to Buninyong, as published with the inverse formula
+        (1, dms(144, 25, 29.52440), dms(-37, 57, 3.72030), dms(143, 55, 35.38390), dms(-37, 39, 10.15610)),
+        (2, 0.0, 0.0, 1.0, 0.0), (3, 0.0, 0.0, 0.0, 90.0), (4, 5.0, 52.0, 5.0, 52.0), (5, 0.0, 0.0, 180.0, 0.0), (6, None, 1.0, 2.0, 3.0), (7, 179.5, 10.0, -179.5, 10.0),
+    ]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, d double")
+    got = {r.id: r.m for r in df.select("id", L.geodesic(*(F.col(c) for c in "abcd")).alias("m")).collect()}
+    assert got[1] == pytest.approx(54972.271, abs=0.001)
+    assert got[2] == pytest.approx(L.AXIS * math.pi / 180, abs=0.001)  # along the equator
+    assert got[3] == pytest.approx(10_001_965.729, abs=0.001)  # the quarter meridian
+    assert got[4] == 0 and got[5] is None and got[6] is None
+    assert got[7] == pytest.approx(109639.35, abs=1)
