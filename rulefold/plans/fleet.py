@@ -286,6 +286,30 @@ def nearest_of_many_sensors(spark, d):
     return L.nearest_sensor(K.table(spark, d, "customer").select("c_custkey", lon.alias("lon"), lat.alias("lat")), sensors, "c_custkey")
 
 
+_METRES = "(200000 + event_id % 1000 * 100)::double"
+
+
+@query(f"""select event_id, case event_id % 4 when 0 then null else 'found' end state,
+round(case event_id % 4 when 1 then degrees({_METRES} / 6378137.0) when 2 then 3.0 when 3 then 4.5 end, 9) lon,
+round(case event_id % 4 when 1 then degrees(2 * atan(exp(6000000.0 / 6378137.0)) - pi() / 2) when 2 then 0.0 when 3 then 51.5 end, 9) lat from events""")
+def observations_projected(spark, d):
+    """Positions in several reference systems as longitude and latitude; those in an unknown one are told apart."""
+    n = F.col("event_id")
+    kind = n % 4
+    x = F.when(kind == 1, (200_000 + n % 1000 * 100).cast("double")).when(kind == 2, 500_000.0).when(kind == 3, 4.5).otherwise(1.0)
+    y = F.when(kind == 1, 6_000_000.0).when(kind == 2, 0.0).when(kind == 3, 51.5).otherwise(1.0)
+    code = F.when(kind == 1, "3857").when(kind == 2, "32631").when(kind == 3, "4326").otherwise("1")
+    place = F.struct(F.lit("Point").alias("type"), F.array(x, y).alias("coordinates"), F.struct(code.alias("wkid")).alias("spatialReference"))
+    result = F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("phenomenonTime"), F.array(F.struct(F.lit("H10").alias("name"), F.col("value"))).alias("parameters"))
+    observation = F.struct(F.struct(n.cast("string").alias("id"), place.alias("geometry")).alias("featureOfInterest"), F.array(result).alias("result"))
+    body = F.to_json(F.struct(F.struct(F.array(observation).alias("observations")).alias("_embedded")))
+    sent = K.table(spark, d, "events").select(F.from_json(body, ingest.OBSERVATIONS).alias("r")).select("r.*")
+    found = ingest.flatten_observations(sent).select(F.col("sensor").cast("bigint").alias("event_id"), F.lit("found").alias("state"), F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"))
+    lost = ingest.rejected_features(sent).filter("reason = 'no position in EPSG:1'").select(F.col("sensor").cast("bigint").alias("event_id"))
+    none = F.lit(None).cast("double")
+    return found.unionByName(lost.select("event_id", F.lit(None).cast("string").alias("state"), none.alias("lon"), none.alias("lat")))
+
+
 # Streams in rules, sequences, trees
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rulefold.functions.projection import to_lonlat
 from rulefold.operators.relation import Relation
 
 OBSERVATIONS = """
@@ -60,11 +61,13 @@ def poll_responses(spark: SparkSession, folder: str) -> DataFrame:
 
 def flatten_observations(responses: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """(sensor, code, measure, time, value, lon, lat): codes that are not known are dropped, and so are features that
-    are not points with two coordinates. Values are in canonical units. `keep` names columns of the responses to keep."""
+    are not points with two coordinates, or are in a reference system that is not known (none: longitude and latitude).
+    Values are in canonical units. `keep` names columns of the responses to keep."""
     one = responses.select(*keep, F.explode("_embedded.observations").alias("o"))
     place = F.col("o.featureOfInterest.geometry")
-    valid = one.filter((place["type"] == "Point") & (F.size(place["coordinates"]) >= 2))
-    times = valid.select(*keep, F.col("o.featureOfInterest.id").alias("sensor"), F.get(place["coordinates"], F.lit(0)).alias("lon"), F.get(place["coordinates"], F.lit(1)).alias("lat"), F.explode("o.result").alias("r"))
+    valid = one.filter((place["type"] == "Point") & (F.size(place["coordinates"]) >= 2)).withColumn("__at", _lonlat(place))
+    valid = valid.filter(F.col("__at").isNotNull())
+    times = valid.select(*keep, F.col("o.featureOfInterest.id").alias("sensor"), F.col("__at.lon").alias("lon"), F.col("__at.lat").alias("lat"), F.explode("o.result").alias("r"))
     values = times.select(*keep, "sensor", "lon", "lat", F.col("r.phenomenonTime").try_cast("timestamp").alias("time"), F.explode("r.parameters").alias("p"))
     known = F.create_map(*(F.lit(x) for k, (m, f) in CODES.items() for x in (k, m)))
     factor = F.create_map(*(F.lit(x) for k, (m, f) in CODES.items() for x in (k, f)))
@@ -73,12 +76,20 @@ def flatten_observations(responses: DataFrame, keep: Sequence[str] = ()) -> Data
     return rows.select(*keep, "sensor", code.alias("code"), known[code].alias("measure"), "time", (F.col("p.value") * factor[code]).alias("value"), "lon", "lat")
 
 
+def _lonlat(place: Column) -> Column:
+    """Coordinates of a point; where one of them is null, as it is."""
+    x, y = F.get(place["coordinates"], F.lit(0)), F.get(place["coordinates"], F.lit(1))
+    code = F.coalesce(place["spatialReference"]["wkid"], F.lit("4326"))
+    return F.when(code == "4326", F.struct(x.alias("lon"), y.alias("lat"))).otherwise(to_lonlat(x, y, code))
+
+
 def rejected_features(responses: DataFrame) -> DataFrame:
     """(sensor, reason) of the features that flatten_observations() drops."""
     one = responses.select(F.explode("_embedded.observations.featureOfInterest").alias("f"))
     place = F.col("f.geometry")
     reason = F.when(place.isNull(), "no geometry").when(~place["type"].eqNullSafe(F.lit("Point")), F.concat(F.lit("not a point: "), F.coalesce(place["type"], F.lit("null"))))
     reason = reason.when(~F.coalesce(F.size(place["coordinates"]) >= 2, F.lit(False)), "fewer than two coordinates")
+    reason = reason.when(_lonlat(place).isNull(), F.concat(F.lit("no position in EPSG:"), place["spatialReference"]["wkid"]))
     return one.select(F.col("f.id").alias("sensor"), reason.alias("reason")).filter("reason is not null")
 
 
