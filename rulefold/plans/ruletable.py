@@ -110,9 +110,13 @@ def rule(row: Row, both_bounds: bool = False) -> Rule:
     return restrict(where, out) if where else out
 
 
-def rules(table: DataFrame, within: Location = EVERYWHERE) -> Rule:
-    """All good rows as one rule set (a rule table is small: it goes to the driver)."""
-    return restrict(within, *(rule(r) for r in table.filter("_corrupt is null").collect()))
+def rules(table: DataFrame, within: Location = EVERYWHERE, most: int = 2000) -> Rule:
+    """All good rows as one rule set, which is one expression for each vessel. More than `most` rows raise ValueError:
+    limits() and evaluate() take tables of any size."""
+    rows = table.filter("_corrupt is null").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: evaluate them as limits()")
+    return restrict(within, *map(rule, rows))
 
 
 #: What a row requires, by restriction type and unit (any unit for VESSEL_TYPE).

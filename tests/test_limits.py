@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from rulefold.plans import ruletable
@@ -60,3 +61,11 @@ def test_minimal_tables_hold_nothing_implied(spark):
     allow = lambda t: {r.id for r in ruletable.evaluate(v, t, "id").filter(~F.col("allow")).collect()}
     assert allow(spark.createDataFrame([(*r, None) for r in left], LIMITS)) == allow(table)
     assert ruletable.minimal(table.limit(0)).count() == 0
+
+
+def test_a_rule_tree_is_bounded(spark):
+    blank = dict.fromkeys(ruletable.COLUMNS, "") | {"FEATUREID": "x:Z100/6/any", "RESTRICTION_TYPE": "MAXIMUM_BEAM", "RESTRICTION_VALUE": "30", "RESTRICTION_UNIT": "METERS"}
+    typed = ruletable.typed(spark.createDataFrame([tuple(blank.values())] * 3, ", ".join(f"`{c}` string" for c in ruletable.COLUMNS)))
+    assert len(ruletable.rules(typed).body) == 3
+    with pytest.raises(ValueError):
+        ruletable.rules(typed, most=2)
