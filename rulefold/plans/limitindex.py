@@ -62,6 +62,8 @@ class LimitIndex:
         for (guard, kind, always, exact), g in groups.items():
             self.groups.setdefault((kind, always), {}).setdefault(guard, []).append((g, exact))
         self.guards = {k: np.array(sorted(v), np.int64) for k, v in self.groups.items()}
+        # which of the 16 ways to leave guards open occur
+        self.ways = {k: {tuple(x) for x in np.stack(self._way(v), axis=1).tolist()} for k, v in self.guards.items()}
         # several groups of one guard differ in their exact bound: one table for each position among them
         self.tables = {}
         for k, own in self.groups.items():
@@ -77,6 +79,13 @@ class LimitIndex:
     def _guard(self, section, place, kind_of, both):
         return ((section * len(self.places) + place) * len(self.types) + kind_of) * 2 + both
 
+    def _way(self, guard: np.ndarray) -> list[np.ndarray]:
+        """Of each guard: whether section, place and type are open, and whether it is for both directions."""
+        rest, both = guard // 2, guard % 2
+        rest, kind_of = rest // len(self.types), rest % len(self.types)
+        section, place = rest // len(self.places), rest % len(self.places)
+        return [(x == 0).astype(int) for x in (section, place, kind_of)] + [both]
+
     def _open(self, g: np.ndarray, draught: np.ndarray) -> np.ndarray:
         """Events of each group at or below a draught."""
         low, high = self.first[g].copy(), self.first[g + 1].copy()
@@ -109,9 +118,13 @@ class LimitIndex:
         own = [np.array([codes.get(v, -1) if v is not None else -1 for v in values], np.int64) for codes, values in ((self.sections, section), (self.places, place), (self.types, kind_of))]
         for any_section, any_place, any_type, both in np.ndindex(2, 2, 2, 2):
             parts = [np.zeros(n, np.int64) if any_ else code for any_, code in zip((any_section, any_place, any_type), own, strict=True)]
+            if not any((any_section, any_place, any_type, both) in ways for ways in self.ways.values()):
+                continue
             fits = (parts[0] >= 0) & (parts[1] >= 0) & (parts[2] >= 0) & (moves if both else True)
             guard = self._guard(*parts, both)
             for (kind, always), known in self.guards.items():
+                if (any_section, any_place, any_type, both) not in self.ways[kind, always]:
+                    continue
                 at = np.minimum(np.searchsorted(known, guard), len(known) - 1)
                 there = fits & (known[at] == guard)
                 if not always:
@@ -139,5 +152,6 @@ class LimitIndex:
             low = self._sum_while(g, prefix, lambda bound, k: bound < size[k])
             broken[v] += np.where(np.isnan(size), found, low)
         else:
-            met = (lambda bound, k: bound < length[v][k]) if kind == "min_length" else (lambda bound, k: depth[v][k] >= draught[v][k] + bound)
+            size, deep, low = length[v], depth[v], draught[v]
+            met = (lambda bound, k: bound < size[k]) if kind == "min_length" else (lambda bound, k: deep[k] >= low[k] + bound)
             broken[v] += found - self._sum_while(g, prefix, met)
