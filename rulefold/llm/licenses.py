@@ -6,7 +6,10 @@ that few features keep a weight) is trained on the driver: on notices made from
 standard sentences, whole and with words left out, and on a bounded sample of the corpus' own lines as class `unknown`.
 Its probabilities are calibrated by a temperature fitted on held-out notices and lines. A line is judged if a family is
 likelier than unknown, and is given that family if the calibrated probability is at least `least` and it agrees with one
-of the family's names or sentences.
+of the family's names or sentences. A name agrees if the line states it (see stated()): a name that speaks of a licence
+stands there in any case; an acronym stands there as it is written, with a version, as the whole line, or next to a
+word that speaks of a licence, so "MIT in Boston" or the German "mit" are none. A sentence agrees by the share of its
+pairs of words in a line of six or more, so a line of a wrapped text agrees as well.
 
 Features need a word that says something (COMMON lists those that do not).
 
@@ -20,6 +23,7 @@ from __future__ import annotations
 import itertools
 import random
 import re
+import string
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -43,6 +47,15 @@ NAMES = {
     "cc-by-nd": ["Creative Commons Attribution-NoDerivatives 4.0 International License", "CC BY-ND 4.0", "CC BY-ND"],
     "cc-by-sa": ["Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0", "CC BY-SA 3.0", "CC BY-SA"],
     "cc0": ["CC0 1.0 Universal", "CC0-1.0", "CC0 1.0", "CC0", "Creative Commons Zero"],
+    "artistic": ["Artistic License 2.0", "Artistic-2.0", "Artistic License"],
+    "bsl-1.0": ["Boost Software License, Version 1.0", "BSL-1.0", "Boost Software License"],
+    "busl-1.1": ["Business Source License 1.1", "BUSL-1.1", "Business Source License"],
+    "eupl": ["European Union Public Licence", "EUPL-1.2", "EUPL v1.2"],
+    "gfdl": ["GNU Free Documentation License, version 1.3", "GNU Free Documentation License", "GFDL-1.3-or-later", "GFDL 1.3"],
+    "psf-2.0": ["Python Software Foundation License", "PSF-2.0", "PSF License Agreement"],
+    "sspl": ["Server Side Public License, version 1", "SSPL-1.0", "SSPL v1"],
+    "wtfpl": ["Do What The Fuck You Want To Public License", "WTFPL"],
+    "zlib": ["zlib License", "zlib/libpng License"],
     "epl": ["Eclipse Public License 2.0", "EPL-2.0", "Eclipse Public License"],
     "gpl": ["GNU General Public License, version 3", "GNU GPL v3", "GPL-3.0-or-later", "GPL-2.0-only", "GPL v2", "GPLv3", "GPL", "GNU GPL version 2"],
     "isc": ["ISC License", "ISC"],
@@ -53,14 +66,37 @@ NAMES = {
 }
 #: Sentences that stand for a family without its name.
 SENTENCES = {
-    "apache-2.0": ['you may not use this file except in compliance with the License. You may obtain a copy of the License at'],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "apache-2.0": [
+        "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    ],
+    "bsd": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES",
+    ],
+    "bsl-1.0": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"],
     "cc0": ["The author has dedicated this work to the public domain by waiving all rights under copyright law.", "dedicated to the public domain"],
-    "gpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
-    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
-    "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
+    "gpl": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE",
+    ],
+    "mit": [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    ],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "unlicense": ["This is free and unencumbered software released into the public domain."],
+    "zlib": [
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.",
+    ],
     "proprietary": ["All rights reserved.", "No part may be reproduced without written permission.", "Alle Rechte vorbehalten.", "Tous droits réservés.", "Todos los derechos reservados."],
 }
 #: What stands before and after a name in notices.
@@ -78,8 +114,37 @@ COMMON = set(
 )
 
 
+#: A name with one of these speaks of a licence by itself.
+SPEAKING = {"license", "licence", "licencia", "public", "commons", "unlicense"}
+#: What makes a notice of an acronym behind it: in any case, and only of one as it is written; what may
+#: stand between the two.
+CUES = "licen[cs]ed?|licencia|spdx license identifier"
+WEAK_CUES = "lizenz|lizenziert|released|available|distributed|published|shared|terms|publi|publicado|ffentlicht"
+LINKS = "under|the|a|an|terms|of|is|as|sous|bajo|la|el|de|unter|der|einer|are"
+#: Pairs of words below which a sentence has to stand in a line as a whole.
+WHOLE = 6
+
+
+def cased(text: str) -> list[str]:
+    return [w for w in re.split(r"[^A-Za-z0-9]+", text) if w]
+
+
 def words(text: str) -> list[str]:
-    return [w for w in re.split(r"[^a-z0-9]+", text.lower()) if w]
+    """Words of ASCII letters and digits, in lower case."""
+    return [w.lower() for w in cased(text)]
+
+
+def stated(name: str) -> str:
+    """A pattern (for Java and Python) of lines that state a name, over their cased() words joined by blanks."""
+    w = cased(name)
+    kept, free = " ".join(w), f"(?i:{' '.join(w)})"
+    if SPEAKING & set(words(name)):
+        return rf"\b{free}\b"
+    if len(w) > 2 or len(w[0]) > 4 or any(c.isdigit() for c in kept) or "Lizenz" in w:
+        forms = [rf"\b{kept}\b"]
+    else:
+        forms = [rf"^{kept}(?: (?i:or later|see|copyright)\b.*)?$", rf"\b{kept} (?i:lizenz)\b", rf"\b(?i:{WEAK_CUES})(?: (?i:{LINKS}))* {kept}\b"]
+    return "|".join([*forms, rf"\b(?i:{CUES})(?: (?i:{LINKS}))* {free}\b", rf"\b{free} (?i:licen[cs]es?)\b"])
 
 
 def grams(text: str) -> set[str]:
@@ -92,10 +157,20 @@ def telling(feature: str) -> list[str]:
     return [w for w in feature.split(" ") if len(w) > 1 and w not in COMMON and not w.isdigit()]
 
 
-def known_grams(text: str) -> set[str]:
-    """What a line is compared by with a name or sentence: its pairs of words, or the one word."""
-    w = words(text)
-    return {f"{a} {b}" for a, b in itertools.pairwise(w)} or set(w)
+def known_pairs(text: str) -> set[str]:
+    return {f"{a} {b}" for a, b in itertools.pairwise(words(text))}
+
+
+def patterns() -> dict[str, str]:
+    """By family: lines that state one of its names, or a sentence of fewer than WHOLE pairs."""
+    short = {k: [rf"\b(?i:{' '.join(cased(t))})\b" for t in texts if len(known_pairs(t)) < WHOLE] for k, texts in SENTENCES.items()}
+    made = {k: [*map(stated, NAMES.get(k, [])), *short.get(k, [])] for k in templates()}
+    return {k: "|".join(v) for k, v in made.items() if v}
+
+
+def sentences() -> list[tuple[str, set[str]]]:
+    """Pairs of words of the longer sentences, by family."""
+    return [(k, p) for k, texts in sorted(SENTENCES.items()) for t in texts if len(p := known_pairs(t)) >= WHOLE]
 
 
 def templates() -> dict[str, list[str]]:
@@ -109,6 +184,7 @@ def variants(family: str, rng: random.Random) -> list[str]:
         w = words(sentence)
         out += [sentence] * 4 + [f"{sentence} {tail}" for tail in TAILS]
         out += [" ".join(x for x in w if rng.random() > 0.12) for _ in range(2 * len(w) if len(w) > 5 else 0)]
+        out += [" ".join(w[i : i + rng.randint(9, 14)]) for i in range(0, len(w) - 8, 2)]  # lines of a wrapped text
     return out
 
 
@@ -220,9 +296,9 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int =
 def _tables(spark: SparkSession, model: Model) -> tuple[DataFrame, DataFrame]:
     """Weights by feature; what names and sentences are compared by."""
     rows = [(f, [float(v) for v in w]) for f, w in zip(model.features, model.weights, strict=True) if any(w)]
-    known = [(k, sorted(known_grams(t)), len(known_grams(t))) for k, texts in templates().items() for t in texts]
+    known = [(k, p, [], 0) for k, p in patterns().items()] + [(k, None, sorted(p), len(p)) for k, p in sentences()]
     weights = spark.createDataFrame(rows, "gram string, weight array<double>")
-    return weights, spark.createDataFrame(known, "family string, known array<string>, size int")
+    return weights, spark.createDataFrame(known, "family string, pattern string, known array<string>, size int")
 
 
 def scan(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", least: float = LEAST, agree: float = AGREE) -> DataFrame:
@@ -239,22 +315,25 @@ def scan(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id",
     base = docs.select(F.col(f"`{key}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     # ids and texts are told apart by a hash of the text, so equal keys with other texts stay apart
     base = base.withColumn("hash", F.xxhash64("text"))
-    lines = base.select("doc_id", "hash", F.posexplode(F.split(F.lower("text"), "\n")).alias("paragraph", "line"))
-    lines = lines.filter(F.arrays_overlap(F.split("line", "[^a-z0-9]+"), pick)).dropDuplicates(["doc_id", "hash", "paragraph"])
-    cut = lines.select("doc_id", "hash", "paragraph", F.array_remove(F.split("line", "[^a-z0-9]+"), "").alias("w"))
+    lines = base.select("doc_id", "hash", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
+    ascii_lower = F.translate("line", string.ascii_uppercase, string.ascii_lowercase)
+    lines = lines.filter(F.arrays_overlap(F.split(ascii_lower, "[^a-z0-9]+"), pick)).dropDuplicates(["doc_id", "hash", "paragraph"])
+    said = F.trim(F.regexp_replace("line", "[^A-Za-z0-9]+", " "))
+    cut = lines.select("doc_id", "hash", "paragraph", said.alias("said"), F.array_remove(F.split(ascii_lower, "[^a-z0-9]+"), "").alias("w"))
     pairs = F.zip_with(F.concat(F.array(F.lit("^")), "w"), F.concat("w", F.array(F.lit("$"))), lambda x, y: F.concat_ws(" ", x, y))
     cut = cut.withColumn("grams", F.array_distinct(F.concat("w", pairs))).withColumn("n", F.greatest(F.size("w") - 1, F.lit(1)))
     at = ["doc_id", "hash", "paragraph"]
-    hits = cut.select(*at, "grams", "n", F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram")
+    hits = cut.select(*at, "grams", "n", "said", F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram")
     n = len(model.families)
     sums = [F.sum(F.get("weight", F.lit(i))) + float(model.bias[i]) for i in range(n)]
-    scored = hits.groupBy(*at).agg(F.array(*sums).alias("z"), F.first("grams").alias("grams"), F.first("n").alias("n"))
+    scored = hits.groupBy(*at).agg(F.array(*sums).alias("z"), F.first("grams").alias("grams"), F.first("n").alias("n"), F.first("said").alias("said"))
     scored = scored.filter(F.array_max(F.slice("z", 1, n - 1)) > F.get("z", F.lit(n - 1)))
     top = F.array_max("z")
     mass = F.aggregate("z", F.lit(0.0), lambda total, z: total + F.exp(z - top))
     names = F.split(F.lit(",".join(model.families)), ",")
-    judged = scored.select(*at, "grams", "n", (F.lit(1.0) / mass).alias("probability"), F.element_at(names, F.array_position("z", top).cast("int")).alias("family"))
-    share = F.size(F.array_intersect("grams", "known")) / F.least("n", "size")
+    judged = scored.select(*at, "grams", "n", "said", (F.lit(1.0) / mass).alias("probability"), F.element_at(names, F.array_position("z", top).cast("int")).alias("family"))
+    share = F.size(F.array_intersect("grams", "known")) / F.least(F.greatest("n", F.lit(WHOLE)), "size")
+    share = F.when(F.col("pattern").isNotNull(), F.expr("said rlike pattern").cast("double")).otherwise(share)
     compared = judged.join(F.broadcast(known), "family", "left").groupBy(*at, "family", "probability").agg(F.coalesce(F.max(share), F.lit(0.0)).alias("agreement"))
     good = (F.col("family") != UNKNOWN) & (F.col("probability") >= least) & (F.col("agreement") >= agree)
     marked = compared.withColumn("good", good)

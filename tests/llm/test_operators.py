@@ -453,7 +453,7 @@ def test_license_scan_against_every_line(spark, odd_rows, license_model):
     rows = [(i, "\n".join(rng.choices(lines, k=rng.randint(1, 6)))) for i in range(150)] + [(200 + i, t) for i, (_, t, _) in enumerate(odd_rows)]
     rows.append(rows[3])
     index = {g: i for i, g in enumerate(license_model.features)}
-    known = [(k, licenses.known_grams(t)) for k, texts in licenses.templates().items() for t in texts]
+    stated, known = licenses.patterns(), licenses.sentences()
 
     def judged(line):
         g = licenses.grams(line)
@@ -461,7 +461,10 @@ def test_license_scan_against_every_line(spark, odd_rows, license_model):
         if not g or z[:-1].max() <= z[-1]:
             return None
         p, k = np.exp(z - z.max()) / np.exp(z - z.max()).sum(), license_model.families[z.argmax()]
-        agreement = max((len(g & own) / min(max(len(licenses.words(line)) - 1, 1), len(own)) for f, own in known if f == k), default=0)
+        n = max(len(licenses.words(line)) - 1, licenses.WHOLE)
+        agreement = max((len(g & own) / min(n, len(own)) for f, own in known if f == k), default=0)
+        if k in stated and re.search(stated[k], " ".join(licenses.cased(line))):
+            agreement = 1.0
         return k, p.max(), agreement, p.max() >= licenses.LEAST and agreement >= licenses.AGREE
 
     want = Counter()
@@ -475,6 +478,39 @@ def test_license_scan_against_every_line(spark, odd_rows, license_model):
     assert sum(n for k, n in want.items() if k[3]) > 60
 
 
+#: Lines that name no licence, though their words stand in names of licences.
+NO_NOTICES = [
+    "Mit und.", "Einver chenheit eräieä den mit.", "He studied physics at MIT in Boston", "the bsd conference met in ottawa", "isc", "... as by nd insh", "Die Software wird mit Lizenz geliefert",
+    "Students at MIT licensed the patent", "licensed by MIT to a company", "MIT FREUNDLICHEN GRÜSSEN", "wurde veröffentlicht mit Bildern", "the public domain", "a licence of the boat", "cc by nd",
+]
+#: Lines of wrapped licence texts, and notices in lower case.
+WRAPPED = [
+    ("IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,", "mit"), ("it under the terms of the GNU General Public License as published by", "gpl"),
+    ("Permission to use, copy, modify, and distribute this software for any", "isc"), ("license: mit", "mit"), ("license = apache-2.0", "apache-2.0"), ("EUPL-1.2", "eupl"), ("WTFPL", "wtfpl"),
+    ("Boost Software License - Version 1.0", "bsl-1.0"), ("Python Software Foundation License Version 2", "psf-2.0"), ("GNU Free Documentation License", "gfdl"), ("zlib License", "zlib"),
+]
+
+
+def test_licenses_are_stated_not_only_spelt(spark, license_model):
+    lines = [(n, "") for n in NO_NOTICES] + WRAPPED
+    got = licenses.scan(spark.createDataFrame([(i, n) for i, (n, _) in enumerate(lines)], "doc_id int, text string"), license_model).collect()
+    families = {lines[r.doc_id][0]: r.families for r in got}
+    assert {n: f for n, f in families.items() if n in NO_NOTICES and f} == {}
+    missed = [(n, families[n]) for n, family in WRAPPED if families[n] != family]
+    assert len(missed) <= 1, missed
+
+
+def test_licenses_of_the_documents(spark):
+    """Every finding on the table is a notice that its line spells out, and every such line is found."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    spelt = {
+        r"Apache License, Version 2\.0": "apache-2.0", r"MIT License": "mit", r"GNU General Public License, version 3": "gpl", r"All rights reserved\.": "proprietary", r"CC BY-NC 4\.0": "cc-by-nc",
+    }
+    want = {r.doc_id: ",".join(sorted({f for p, f in spelt.items() if re.search(p, r.text or "")})) for r in docs.collect()}
+    got = {r.doc_id: r.families for r in licenses.scan(docs, licenses.fit(docs)).collect()}
+    assert {k: (got[k], want[k]) for k in want if got[k] != want[k]} == {}
+
+
 def test_licenses_on_odd_rows(spark, odd, odd_rows, license_model):
     assert licenses.scan(odd, license_model).filter("family not in ('none', 'unknown')").count() == 0
     assert licenses.scan(odd, license_model).count() == len(odd_rows) and licenses.scan(odd.limit(0), license_model).count() == 0
