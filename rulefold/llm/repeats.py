@@ -12,7 +12,9 @@ windows in suffix order (ranks by prefix doubling up to the width). The previous
 window in that order are its candidates for the longest previous factor; the longer common prefix of the two is the
 factor's length, and a window with a factor of the full width is a later copy of an earlier window. A text is then cut
 at the windows with a match. The group of an anchor with more than HOT contents is split by what the windows of a few
-neighbouring places have in common, so it is many tasks.
+neighbouring places have in common, so it is many tasks; parts of equal content (a header that every document has) are
+counted like runs, and one of each goes on. Where more than HOT different parts are left, each of their windows is
+counted by itself.
 """
 
 from __future__ import annotations
@@ -252,7 +254,8 @@ def _matches(table: pa.Table, width: int, first_stays: bool, kind: type) -> pa.T
 
 
 def _contents(batches, width: int, words: bool):
-    """Rows of the runs that have to be compared, with their symbols; hot ones in narrow parts."""
+    """Rows of the runs that have to be compared, with their symbols and, for hot ones in narrow parts, their content's
+    hash."""
     for batch in batches:
         out: list[tuple] = []
         texts = batch.column("text").cast(pa.large_string())
@@ -263,7 +266,7 @@ def _contents(batches, width: int, words: bool):
             for r in batch.column("runs")[i].as_py():
                 first, last, group = r["first"], r["last"], r["anchor"]
                 if not r["hot"]:
-                    out.append((group, rid, doc, first, r["wanted"], symbols[first : last + width].tobytes()))
+                    out.append((group, rid, doc, first, r["wanted"], symbols[first : last + width].tobytes(), None))
                     continue
                 at = first
                 while at <= last:  # parts: windows whose distance to the anchor has the same multiple of NARROW
@@ -272,11 +275,13 @@ def _contents(batches, width: int, words: bool):
                     stop = min(last, high)
                     core = hashlib.blake2b(symbols[high : high - NARROW + 1 + width].tobytes(), digest_size=8, salt=str(slot).encode())
                     key = group ^ int.from_bytes(core.digest(), "big", signed=True)
-                    out.append((key, rid, doc, at, r["wanted"], symbols[at : stop + width].tobytes()))
+                    part = symbols[at : stop + width].tobytes()
+                    same = int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "big", signed=True)
+                    out.append((key, rid, doc, at, r["wanted"], part, same))
                     at = stop + 1
-        columns = list(zip(*out, strict=True)) or [()] * 6
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-        names = ["group", "rid", "doc_id", "first", "wanted", "content"]
+        columns = list(zip(*out, strict=True)) or [()] * 7
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64())
+        names = ["group", "rid", "doc_id", "first", "wanted", "content", "same"]
         yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
@@ -331,19 +336,59 @@ def repeated(
     wanted = F.lit(True) if first_stays else F.col("same") == 1
     differ = varied.select("anchor", "head.rid", "head.first", "head.last", "head.at", wanted.alias("wanted"), (F.col("kinds") > hot).alias("hot"))
     differ = stored(differ, "differ")
-    by_text = differ.groupBy("rid").agg(F.collect_list(F.struct("anchor", "first", "last", "at", "wanted", "hot")).alias("runs"))
     volume = differ.agg(F.sum(F.col("last") - F.col("first") + width)).first()[0] or 0
-    texts = _sieve(rows, differ.select("rid")).filter("sifted").drop("sifted")
-    parts = texts.join(by_text, "rid").dropDuplicates(["rid"]).mapInArrow(
-        lambda batches: _contents(batches, width, bool(words)), "group bigint, rid bigint, doc_id bigint, first bigint, wanted boolean, content binary"
-    )
+
+    def contents_of(chosen: DataFrame) -> DataFrame:
+        by_text = chosen.groupBy("rid").agg(F.collect_list(F.struct("anchor", "first", "last", "at", "wanted", "hot")).alias("runs"))
+        texts = _sieve(rows, chosen.select("rid")).filter("sifted").drop("sifted")
+        return texts.join(by_text, "rid").dropDuplicates(["rid"]).mapInArrow(
+            lambda batches: _contents(batches, width, bool(words)), "group bigint, rid bigint, doc_id bigint, first bigint, wanted boolean, content binary, same bigint"
+        )
+
+    parts, cut_up = contents_of(differ.filter("not hot")).drop("same"), []
+    if not differ.filter("hot").isEmpty():
+        cut_up.append(stored(contents_of(differ.filter("hot")), "parts"))
+        once, more = _bounded(cut_up, width, hot, first_stays, np.dtype(kind).itemsize)
+        parts, covered = parts.unionByName(once), covered.unionByName(more)
     task = F.pmod(F.xxhash64("group"), F.lit(1 + volume * np.dtype(kind).itemsize // TASK_BYTES))
     fine = parts.withColumn("task", task).groupBy("task").applyInArrow(lambda t: _matches(t, width, first_stays, kind), "rid bigint, start bigint, end bigint")
     spans = stored(covered.unionByName(fine).groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    dropped(found, contents, kinds, differ)
+    dropped(found, contents, kinds, differ, *cut_up)
     return spans
 
 
+def _copies(slim: DataFrame, by: list[str], first_stays: bool) -> tuple[DataFrame, DataFrame]:
+    """The first row of each of `by` with n, how many there are; and the rows that have another one as what they cover:
+    the first one too unless that stays."""
+    place = F.struct("doc_id", "rid", "first")
+    heads = slim.groupBy(*by).agg(F.count("*").alias("n"), F.min(place).alias("head"))
+    again = slim.join(heads.filter("n > 1"), by).filter("wanted")
+    if first_stays:
+        again = again.filter(~place.eqNullSafe(F.col("head")))
+    return heads, again.select("rid", F.col("first").alias("start"), "end")
+
+
+def _bounded(tables: list[DataFrame], width: int, hot: int, first_stays: bool, itemsize: int) -> tuple[DataFrame, DataFrame]:
+    """Groups of at most `hot` parts of different content, and what all the other parts cover. The parts are the one
+    table given; those that this adds are to be dropped with it."""
+    parts = tables[0]
+    end = F.col("first") + (F.octet_length("content") / itemsize).cast("bigint")
+    heads, again = _copies(parts.select("group", "same", "doc_id", "rid", "first", "wanted", end.alias("end")), ["group", "same"], first_stays)
+    # what is covered as a whole need not be found once more
+    open_ = (F.lit(first_stays) | (F.col("n") == 1)).alias("open")
+    once = parts.join(heads.select("group", "head.rid", "head.first", open_), ["group", "rid", "first"])
+    once = once.select("group", "rid", "doc_id", "first", (F.col("wanted") & F.col("open")).alias("wanted"), "content")
+    once = stored(once, "once")
+    crowded = stored(once.groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("group"), "crowded")
+    tables += [once, crowded]
+    at = F.explode(F.sequence(F.lit(0), (F.octet_length("content") / itemsize).cast("int") - width)).alias("at")
+    windows = once.join(crowded, "group").select("*", at)
+    window = F.expr(f"xxhash64(substring(content, at * {itemsize} + 1, {width * itemsize}))").alias("window")
+    windows = windows.select("group", window, "doc_id", "rid", (F.col("first") + F.col("at")).alias("first"), "wanted")
+    _, single = _copies(windows.withColumn("end", F.col("first") + width), ["group", "window"], first_stays)
+    return once.join(crowded, "group", "left_anti"), again.unionByName(single)
+
+
 def row_id(key: str, text: str) -> Column:
     return F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))
 

@@ -218,6 +218,28 @@ def test_repeats_against_all_windows(spark, first_stays, hot):
     assert [got[k] for k, _ in rows] == brute_repeats(rows, 20, first_stays)
 
 
+@pytest.mark.parametrize("first_stays", [False, True])
+def test_one_header_in_every_document(spark, monkeypatch, first_stays):
+    """Parts of a hot anchor that are equal come to the tasks once, however many documents have them."""
+    header, rng = "".join(random.Random(1).choices("abcdef", k=70)), random.Random(2)
+    rows = [(k if k % 9 else None, "".join(rng.choices("ab", k=rng.randint(5, 30))) + header + "".join(rng.choices("ab", k=30))) for k in range(400)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n", F.monotonically_increasing_id())
+    sizes, whole = [], repeats._bounded
+
+    def counted(tables, *options):
+        groups, covered = whole(tables, *options)
+        sizes.append([df.groupBy("group").count().agg(F.max("count")).first()[0] for df in (tables[0], groups)])
+        return groups, covered
+
+    monkeypatch.setattr(repeats, "_bounded", counted)
+    got = Counter((r.doc_id, r.kept_sha256) for r in repeats.cut(table, width=20, first_stays=first_stays, hot=3).collect())
+    assert sizes[0][0] > 200 and sizes[0][1] <= 3
+    plain = Counter((r.doc_id, r.kept_sha256) for r in repeats.cut(table, width=20, first_stays=first_stays).collect())
+    assert got == plain and len(sizes) == 1
+    if not first_stays:
+        assert got == Counter((k, made[3]) for (k, _), made in zip(rows, brute_repeats(rows, 20, False), strict=True))
+
+
 def test_factor_arrays_against_brute_force():
     rng = random.Random(3)
     for kind, width in ((np.uint8, 20), (np.uint32, 7)):
