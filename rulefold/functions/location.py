@@ -160,8 +160,8 @@ def geodesic(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
 
 #: Sensors up to which a scan of all of them is cheaper than cells.
 FEW_SENSORS = 64
-#: Most sensors of a cell of the finest grid, and the finest grid's level (cells of 360 / 2 ** level degrees).
-CELL_SENSORS, FINEST = 16, 24
+#: Most sensors of a cell of the finest grid, and the finest grid's level (cells of 2 / 2 ** level radii, 3 m).
+CELL_SENSORS, FINEST = 16, 22
 
 
 def nearest_sensor(points: DataFrame, sensors: DataFrame, key: str, most_sensors: int | None = None) -> DataFrame:
@@ -184,51 +184,64 @@ def nearest_sensor(points: DataFrame, sensors: DataFrame, key: str, most_sensors
     return here.crossJoin(F.broadcast(one)).select(key, F.array_min(near)["sensor"].alias("sensor"))
 
 
-def _cells(df: DataFrame, level: int) -> DataFrame:
-    """df with the cell (gx, gy) of lon and lat in a grid whose cells halve with each level."""
-    size = 360.0 / 2**level
-    return df.withColumns({"gx": F.pmod(F.floor((F.col("lon") + 180) / size), F.lit(2**level)), "gy": F.floor((F.col("lat") + 90) / size)})
+def _on_sphere(df: DataFrame) -> DataFrame:
+    """df with the place of lon and lat on the unit sphere: px, py, pz."""
+    lon, lat = F.radians("lon"), F.radians("lat")
+    return df.withColumns({"px": F.cos(lat) * F.cos(lon), "py": F.cos(lat) * F.sin(lon), "pz": F.sin(lat)})
 
 
-def nearest_by_grid(points: DataFrame, sensors: DataFrame, key: str) -> DataFrame:
-    """nearest_sensor() for any number of sensors: each point meets the sensors of its cell and the eight around it, on a
-    grid so fine that a cell has CELL_SENSORS at most. A point is done once its nearest one is no farther than anything
-    outside the nine cells can be; the others go on with cells four times as wide, so a point's work does not depend on the
-    number of sensors. Both sides meet by an equal join on cells.
+def _cell(axis: str, level: int) -> Column:
+    """Number of the cell that a coordinate is in; cells are cubes, halved in width with each level."""
+    return F.floor((F.col(axis) + 1) * 2.0 ** (level - 1))
+
+
+def _level(places: DataFrame) -> int:
+    """The coarsest level whose cells have CELL_SENSORS at most, or the finest one."""
+    low, high = 2, FINEST
+    while low < high:
+        level = (low + high) // 2
+        most = places.groupBy(*(_cell(a, level) for a in ("px", "py", "pz"))).count().agg(F.max("count")).first()[0]
+        low, high = (level + 1, high) if (most or 0) > CELL_SENSORS else (low, level)
+    return low
 
-    Outside the cells a sensor is at least as far as the nearer of their parallels, or of their meridians over the
-    sphere's surface, which holds near the poles and across the date line too.
+
+def nearest_by_grid(points: DataFrame, sensors: DataFrame, key: str) -> DataFrame:
+    """nearest_sensor() for any number of sensors: each place that is asked for meets, once, the sensors of its cell and of
+    the 26 around it, on a grid of cubes over the unit sphere so fine that a cell has CELL_SENSORS at most. A place is done
+    once its nearest sensor is nearer than anything outside those cells can be; the others go on with cells four times
+    as wide. Both sides meet by an equal join on cells. What is left at four cells an axis (places with no sensor within
+    a quarter of the globe or so) looks at all sensors.
+
+    A sensor outside the cells is at least as far, in a straight line, as the nearest of their faces. Cubes have no poles
+    and no date line, so a place there is done as soon as any other.
     """
-    places = stored(sensors.select("ord", "sensor", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")).filter("lon is not null and lat is not null"), "places")
-    levels = F.explode(F.sequence(F.lit(2), F.lit(FINEST))).alias("level")
-    width = F.pow(F.lit(2.0), F.col("level")) / 360
-    counts = places.select("lon", "lat", levels).groupBy("level", F.floor((F.col("lon") + 180) * width), F.floor((F.col("lat") + 90) * width)).count()
-    fits = counts.groupBy("level").agg(F.max("count").alias("n")).filter(F.col("n") <= CELL_SENSORS).agg(F.min("level")).first()[0]
-    level = fits or FINEST  # more than CELL_SENSORS in one place: the finest
-    left = points.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select(key, F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")).distinct()
-    done, rounds = None, [places]
+    sphere = _on_sphere(sensors.select("ord", "sensor", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")).filter("lon is not null and lat is not null"))
+    places = stored(sphere, "places")
+    level = _level(places)
+    here = points.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select(key, F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")).distinct()
+    left = stored(_on_sphere(here.select("lon", "lat").distinct()), "asked")
+    there = places.select("ord", "sensor", F.col("lon").alias("x"), F.col("lat").alias("y"), "px", "py", "pz")
+    cells, done = ["cx", "cy", "cz"], None
     while True:
-        size, whole = 360.0 / 2**level, level <= 2
-        around = F.explode(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)))).alias("to")
-        asked = _cells(left, level).select("*", around)
-        asked = asked.select(key, "lon", "lat", F.pmod(F.col("gx") + F.col("to.x"), F.lit(2**level)).alias("cx"), (F.col("gy") + F.col("to.y")).alias("cy")).distinct()
-        there = _cells(places, level).select("ord", "sensor", F.col("lon").alias("x"), F.col("lat").alias("y"), F.col("gx").alias("cx"), F.col("gy").alias("cy"))
-        if whole:  # four columns of cells: whatever is left looks at all of them
-            found = left.crossJoin(places.select("ord", "sensor", F.col("lon").alias("x"), F.col("lat").alias("y")))
+        if whole := level <= 2:
+            found = left.crossJoin(there.drop("px", "py", "pz"))
         else:
-            found = asked.join(there, ["cx", "cy"])
-        best = found.groupBy(key, "lon", "lat").agg(F.min(F.struct(distance(F.col("lon"), F.col("lat"), F.col("x"), F.col("y")).alias("d"), "ord", "sensor")).alias("best"))
+            around = left.select("lon", "lat", *(F.array(*(_cell(a, level) + i for i in (-1, 0, 1))).alias(c) for a, c in zip(("px", "py", "pz"), cells, strict=True)))
+            for c in cells:
+                around = around.withColumn(c, F.explode(c))
+            found = around.join(there.select("ord", "sensor", "x", "y", *(_cell(a, level).alias(c) for a, c in zip(("px", "py", "pz"), cells, strict=True))), cells)
+        best = found.groupBy("lon", "lat").agg(F.min(F.struct(distance(F.col("lon"), F.col("lat"), F.col("x"), F.col("y")).alias("d"), "ord", "sensor")).alias("best"))
         if whole:
-            done = best.select(key, "best.sensor") if done is None else done.unionByName(best.select(key, "best.sensor"))
-            return done
-        within = lambda c, low: F.least(F.pmod(F.col(c) + low, F.lit(size)), size - F.pmod(F.col(c) + low, F.lit(size))) + size
-        by_meridian = F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(F.least(within("lon", 180), F.lit(90.0)))))
-        reach = EARTH_RADIUS * F.least(F.radians(within("lat", 90)), by_meridian)
-        judged = stored(left.join(best, [key, "lon", "lat"], "left").withColumn("done", F.coalesce(F.col("best.d") < reach * (1 - 1e-9), F.lit(False))), "nearest")
-        rounds.append(judged)
-        sure = judged.filter("done").select(key, "best.sensor")
+            sure = best.select("lon", "lat", "best.sensor")
+            done = sure if done is None else done.unionByName(sure)
+            return here.join(done, ["lon", "lat"]).select(key, "sensor")
+        size = 2.0 ** (1 - level)
+        inside = [F.pmod(F.col(a) + 1, F.lit(size)) for a in ("px", "py", "pz")]
+        reach = 2 * EARTH_RADIUS * F.asin((F.least(*inside, *(size - i for i in inside)) + size) / 2)
+        judged = stored(left.join(best, ["lon", "lat"], "left").withColumn("done", F.coalesce(F.col("best.d") < reach * (1 - 1e-6), F.lit(False))), "nearest")
+        sure = judged.filter("done").select("lon", "lat", "best.sensor")
         done = sure if done is None else done.unionByName(sure)
-        left = judged.filter(~F.col("done")).select(key, "lon", "lat")
+        left = judged.filter(~F.col("done")).select(*left.columns)
         if left.isEmpty():
-            return done
+            return here.join(done, ["lon", "lat"]).select(key, "sensor")
         level = max(2, level - 2)

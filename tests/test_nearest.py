@@ -36,6 +36,27 @@ def test_grid_agrees_with_a_scan(spark, crowd):
     assert {r.id: int(r.sensor[1:]) for r in L.nearest_sensor(points, sensors, "id").collect()} == got
 
 
+def test_poles_are_no_scan_of_all(spark, monkeypatch):
+    """Places at and near the poles are done by cells, and one place that many points share is searched once."""
+    rng = random.Random(5)
+    places = [(rng.uniform(-180, 180), math.degrees(math.asin(rng.uniform(-1, 1)))) for _ in range(600)]
+    asked = [(x, y) for y in (90.0, -90.0, 89.5, -89.5) for x in (-180.0, 0.0, 77.0)]
+    sensors = spark.createDataFrame([(f"s{i}", i, x, y) for i, (x, y) in enumerate(places)], SENSORS)
+    points = spark.createDataFrame([(i, *asked[i % len(asked)]) for i in range(10 * len(asked))], POINTS)
+    kept, store = {}, L.stored
+
+    def seen(df, name):
+        kept.setdefault(name, []).append(made := store(df, name))
+        return made
+
+    monkeypatch.setattr(L, "stored", seen)
+    got = {r.id: int(r.sensor[1:]) for r in L.nearest_by_grid(points, sensors, "id").collect()}
+    assert sorted(got) == list(range(10 * len(asked)))
+    assert all(far(asked[i % len(asked)], places[n]) <= min(far(asked[i % len(asked)], b) for b in places) + 1e-12 for i, n in got.items())
+    assert kept["nearest"][0].count() == len(asked)
+    assert kept["nearest"][-1].filter("not done").isEmpty()  # so none was left for the scan
+
+
 def test_few_or_no_sensors(spark):
     points = spark.createDataFrame([(1, 4.0, 52.0)], POINTS)
     assert L.nearest_sensor(points, spark.createDataFrame([("a", 1, None, 2.0)], SENSORS), "id").count() == 0
