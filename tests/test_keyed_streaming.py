@@ -80,6 +80,19 @@ def test_foreign_join_agrees_with_the_batch_join_batch_by_batch(spark, tmp_path,
         keyed.foreign_join(file_stream(spark, tmp_path / "l", LEFT), file_stream(spark, tmp_path / "l", LEFT), ["k"], "fk", "fk")
 
 
+def test_foreign_join_holds_buckets_not_keys(spark, tmp_path):
+    """Rows of state are as many as the buckets touched, over upserts that outdate them; a key needs none of its own."""
+    for batch in range(3):
+        feed(spark, tmp_path / "l", [(f"k{i}", 1, "D" if batch == 2 and i % 3 == 0 else "U", 1000 * batch + i, (i + batch) % 40, "x") for i in range(300)], LEFT)
+        feed(spark, tmp_path / "r", [(i, "U", 1000 * batch + i, i + batch) for i in range(40)], RIGHT)
+    joined = keyed.foreign_join(file_stream(spark, tmp_path / "l", LEFT), file_stream(spark, tmp_path / "r", RIGHT), ["k", "n"], "fk", "id", shards=1, buckets=4)
+    q = joined.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert max(s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]) <= 4 * 2 * 3
+    got = folded(spark.read.schema(joined.schema).parquet(str(tmp_path / "out")), ["k", "n"])
+    assert table(got.select("k", "fk", "b")) == sorted(((f"k{i}", (i + 2) % 40, (i + 2) % 40 + 2) for i in range(300) if i % 3), key=repr)
+
+
 def test_values_of_every_type_come_back(spark, tmp_path):
     schema = "k bigint, op string, seq bigint, d double, f float, m decimal(30,10), t timestamp, u date, x binary, l array<bigint>, s struct<a: int, b: string>, o boolean, z timestamp_ntz"
     at = dt.datetime(2024, 1, 1, 12, 30, 15, 123456)
