@@ -93,6 +93,25 @@ def test_foreign_join_holds_buckets_not_keys(spark, tmp_path):
     assert table(got.select("k", "fk", "b")) == sorted(((f"k{i}", (i + 2) % 40, (i + 2) % 40 + 2) for i in range(300) if i % 3), key=repr)
 
 
+def test_left_join_holds_buckets_not_keys(spark, tmp_path):
+    """Also of rows that name nothing that is there, as right rows leave."""
+    feed(spark, tmp_path / "l", [(f"k{i}", 1, "U", i, i % 40, "x") for i in range(300)], LEFT)
+    feed(spark, tmp_path / "r", [(i, "U", i, i) for i in range(40)], RIGHT)
+    feed(spark, tmp_path / "l", [("k0", 1, "D", 1000, None, None)], LEFT)
+    feed(spark, tmp_path / "r", [(i, "D", 1000 + i, None) for i in range(20)], RIGHT)
+    joined = keyed.foreign_join(file_stream(spark, tmp_path / "l", LEFT), file_stream(spark, tmp_path / "r", RIGHT), ["k", "n"], "fk", "id", how="left", shards=1, buckets=4)
+    got = run_in_few_rows(joined, tmp_path, 4 * 2 * 2)
+    assert table(folded(got, ["k", "n"]).select("k", "fk", "b")) == sorted(((f"k{i}", i % 40, i % 40 if i % 40 >= 20 else None) for i in range(1, 300)), key=repr)
+
+
+def run_in_few_rows(stream, tmp_path, most):
+    """What the stream gives; rows of state are `most` at most."""
+    q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert max(s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]) <= most
+    return stream.sparkSession.read.schema(stream.schema).parquet(str(tmp_path / "out"))
+
+
 def test_values_of_every_type_come_back(spark, tmp_path):
     schema = "k bigint, op string, seq bigint, d double, f float, m decimal(30,10), t timestamp, u date, x binary, l array<bigint>, s struct<a: int, b: string>, o boolean, z timestamp_ntz"
     at = dt.datetime(2024, 1, 1, 12, 30, 15, 123456)
