@@ -137,6 +137,15 @@ def test_differences_see_nothing_in_between(spark, tmp_path):
     assert [(r.k, r.op, r.v) for r in got.orderBy("version").collect()] == [("A", "U", 2), ("C", "U", 7), ("A", "D", None), ("C", "U", 5)]
 
 
+def test_differences_hold_buckets_not_keys(spark, tmp_path):
+    schema = "k string, op string, seq bigint, v int"
+    for batch in range(2):
+        feed(spark, tmp_path / "in", [(f"k{i}", "U", 1000 * batch + i, i * (batch if i % 2 else 1)) for i in range(300)], schema)
+    got = run_in_few_rows(keyed.differences(file_stream(spark, tmp_path / "in", schema), ["k"], ["seq"], buckets=4), tmp_path, 4 * 2)
+    assert got.count() == 300 + 150  # the odd ones change
+    assert table(folded(got, ["k"]).select("k", "v")) == sorted(((f"k{i}", i) for i in range(300)), key=repr)
+
+
 def test_zip_latest_agrees_at_the_end_of_each_batch(spark, tmp_path):
     rng = random.Random(2)
     schema, other = "k bigint, op string, seq bigint, v bigint", "seq bigint, e string"
