@@ -1,11 +1,13 @@
 """Words of Arrow text columns, found and hashed with numpy over the UTF-8 bytes.
 
 Everything works on slices of a column: whole documents, together about SLICE bytes (a longer document forms a
-slice alone), so that memory is bounded by the larger of SLICE and the longest document.
+slice alone), so that memory is bounded by the larger of SLICE and the longest document. Workers are reused by later
+stages, and what their allocators keep of freed memory counts against the executor's; give_back() returns it.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -101,6 +103,23 @@ def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
+def _trimmer() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):  # another C library than glibc
+        return None
+
+
+_trim = _trimmer()
+
+
+def give_back() -> None:
+    """Returns to the system what Arrow's and the C library's allocators keep of freed memory."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def text_slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets of the texts in them) of each slice; null texts are empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
