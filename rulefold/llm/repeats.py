@@ -92,7 +92,20 @@ def runs(symbols: np.ndarray, offsets: np.ndarray, width: int = WIDTH, anchor: i
     last = np.append(first[1:], windows) - 1
     kept = inside[first]
     first, last = first[kept], last[kept]
-    at = _places(grams, least, first, reach)
+    # the places that are least of their block up to them, and from them on (leftmost of equals)
+    ahead = np.flatnonzero(np.append(True, before[1:] != before[:-1]) | (np.arange(len(before)) % reach == 0))
+    back = np.flatnonzero(padded.ravel() == after)
+
+    def leftmost() -> np.ndarray:
+        """The place of the least hash in the window that starts at each of `first`: in the block where that starts, or
+        else in the next one."""
+        own, end = after[first] == least[first], first + reach - 1
+        at = np.empty(len(first), np.int64)
+        at[own] = back[np.searchsorted(back, first[own])]
+        at[~own] = ahead[np.searchsorted(ahead, end[~own], "right") - 1]
+        return at
+
+    at = leftmost()
     again = np.flatnonzero(at < last)
     if len(again):  # the same hash at a later place: cut where the leftmost place leaves the window
         parts = [_cut(grams, int(first[i]), int(last[i]), reach) for i in again]
@@ -100,7 +113,7 @@ def runs(symbols: np.ndarray, offsets: np.ndarray, width: int = WIDTH, anchor: i
         last = np.concatenate([np.delete(last, again), *(p[1] for p in parts)])
         order = np.argsort(first, kind="stable")
         first, last = first[order], last[order]
-        at = _places(grams, least, first, reach)
+        at = leftmost()
     hashes = least[first]
     row = text[first] if len(first) else np.zeros(0, np.int64)
     content = B.span_hashes(sums, first, last + width)
@@ -111,11 +124,6 @@ def runs(symbols: np.ndarray, offsets: np.ndarray, width: int = WIDTH, anchor: i
     }
 
 
-def _places(grams: np.ndarray, least: np.ndarray, first: np.ndarray, reach: int) -> np.ndarray:
-    """Leftmost place of the least hash in the window that starts at each of `first`."""
-    return np.array([f + int((grams[f : f + reach] == h).argmax()) for f, h in zip(first.tolist(), least[first], strict=True)], np.int64)
-
-
 def _cut(grams: np.ndarray, first: int, last: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
     starts, at = [], first
     places = first + np.flatnonzero(grams[first : last + reach] == grams[first : first + reach].min())
@@ -125,22 +133,55 @@ def _cut(grams: np.ndarray, first: int, last: int, reach: int) -> tuple[np.ndarr
     return np.array(starts), np.append(np.array(starts[1:], np.int64) - 1, last)
 
 
+def _in_order(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices that sort whole numbers of so many bits (equal ones by index), and the sorted numbers. Where both fit,
+    number and index are sorted as one number, which is several times as fast as sorting indices."""
+    own = len(keys).bit_length()
+    if bits + own > 64:
+        order = np.argsort(keys, kind="stable")
+        return order, keys[order]
+    both = keys << np.uint64(own)
+    both |= np.arange(len(keys), dtype=np.uint64)
+    both.sort()
+    return (both & np.uint64((1 << own) - 1)).view(np.int64), both >> np.uint64(own)
+
+
 def suffix_ranks(symbols: np.ndarray, width: int) -> list[tuple[int, np.ndarray]]:
     """(depth, ranks of the places by the `depth` symbols that follow: equal ranks for equal symbols), with doubled
-    depths and at last the width; meaningless for places with fewer left."""
-    depth = min(8 // symbols.itemsize, width)
+    depths and at last the width; meaningless for places with fewer left. A rank is the number of places before its
+    equals, so it stays once a place has none, and only the others are sorted by the next depth."""
+    n, bits = len(symbols), len(symbols).bit_length()
+    depth = min(4 // symbols.itemsize, width)
     padded = np.concatenate([symbols, np.zeros(depth, symbols.dtype)])
-    key = np.zeros(len(symbols), np.uint64)
+    key = np.zeros(n, np.uint64)
     for k in range(depth):
-        key = key << np.uint64(8 * symbols.itemsize) | padded[k : k + len(symbols)].astype(np.uint64)
-    out = [(depth, np.unique(key, return_inverse=True)[1].astype(np.uint32))]
+        key = key << np.uint64(8 * symbols.itemsize) | padded[k : k + n].astype(np.uint64)
+    order, keys = _in_order(key, 8 * symbols.itemsize * depth)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[:n])
+    sizes = np.diff(np.append(first, n))
+    rank = np.empty(n, np.uint32)
+    rank[order] = np.repeat(first, sizes)
+    out = [(depth, rank)]
+    open_ = np.zeros(n, bool)
+    open_[order[np.repeat(sizes > 1, sizes)]] = True
     while depth < width:
-        rank = out[-1][1].astype(np.uint64)
         step = min(depth, width - depth)
-        following = np.zeros(len(rank), np.uint64)
-        following[: max(len(rank) - step, 0)] = rank[step:]
         depth += step
-        out.append((depth, np.unique(rank << np.uint64(32) | following, return_inverse=True)[1].astype(np.uint32)))
+        places = np.flatnonzero(open_)
+        following = np.zeros(len(places), np.uint64)  # 0: the text ends before
+        there = np.searchsorted(places, n - step)
+        following[:there] = rank[places[:there] + step]
+        following[:there] += np.uint64(1)
+        order, keys = _in_order(rank[places].astype(np.uint64) << np.uint64(bits) | following, 2 * bits)
+        places = places[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        sizes = np.diff(np.append(first, len(keys)))
+        old = (keys[first] >> np.uint64(bits)).astype(np.int64)
+        parts = np.append(True, old[1:] != old[:-1])[: len(old)]
+        rank = rank.copy()
+        rank[places] = np.repeat(old + first - np.maximum.accumulate(np.where(parts, first, 0)), sizes)
+        out.append((depth, rank))
+        open_[places[np.repeat(sizes == 1, sizes)]] = False
     return out
 
 
@@ -198,7 +239,7 @@ def longest_previous(symbols: np.ndarray, places: np.ndarray, width: int) -> tup
     """The longest-previous-factor array of some places (ascending, each with `width` symbols left), up to the width:
     for each the longest common prefix with an earlier one of them, and the index of that one (-1: none)."""
     ranks = suffix_ranks(symbols, width)
-    order = np.lexsort((places, ranks[-1][1][places]))  # suffix order; equal strings by place
+    order, _ = _in_order(ranks[-1][1][places].astype(np.uint64), len(symbols).bit_length())  # suffix order; equal strings by place
     length, source = np.zeros(len(places), np.int64), np.full(len(places), -1)
     for near in smaller_positions(order):
         has = np.flatnonzero(near >= 0)
