@@ -39,6 +39,8 @@ HOT = 20_000
 NARROW = 8
 TASK_BYTES = 3_000_000
 BATCH_BYTES = 1_000_000
+#: Texts whose runs are found together: some 130 bytes of memory for each of theirs.
+FIND_BYTES = 400_000
 JUMPS = 64
 #: Bits of the number of a row in the sieve of rows concerned.
 SIEVE = 24
@@ -93,8 +95,12 @@ def runs(symbols: np.ndarray, offsets: np.ndarray, width: int = WIDTH, anchor: i
     kept = inside[first]
     first, last = first[kept], last[kept]
     # the places that are least of their block up to them, and from them on (leftmost of equals)
-    ahead = np.flatnonzero(np.append(True, before[1:] != before[:-1]) | (np.arange(len(before)) % reach == 0))
+    falls = np.ones(len(before), bool)
+    np.not_equal(before[1:], before[:-1], out=falls[1:])
+    falls[::reach] = True
+    ahead = np.flatnonzero(falls)
     back = np.flatnonzero(padded.ravel() == after)
+    del falls, padded
 
     def leftmost() -> np.ndarray:
         """The place of the least hash in the window that starts at each of `first`: in the block where that starts, or
@@ -157,6 +163,7 @@ def suffix_ranks(symbols: np.ndarray, width: int) -> list[tuple[int, np.ndarray]
     for k in range(depth):
         key = key << np.uint64(8 * symbols.itemsize) | padded[k : k + n].astype(np.uint64)
     order, keys = _in_order(key, 8 * symbols.itemsize * depth)
+    del key, padded
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[:n])
     sizes = np.diff(np.append(first, n))
     rank = np.empty(n, np.uint32)
@@ -290,6 +297,7 @@ def _matches(table: pa.Table, width: int, first_stays: bool, kind: type) -> pa.T
             for x, y in zip(np.append(0, cuts), np.append(cuts, len(hit)), strict=True):
                 i = a + row[hit[x]]
                 out.append((rid[i], int(first[i] + place[hit[x]]), int(first[i] + place[hit[y - 1]] + width)))
+    B.give_back()
     columns = list(zip(*out, strict=True)) or [(), (), ()]
     return pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("rid", "start", "end"), columns, strict=True)})
 
@@ -351,7 +359,7 @@ def repeated(
     def find(batches):
         for batch in batches:
             low = 0
-            for low, _, data, offsets in B.text_slices(batch.column("text")):
+            for low, _, data, offsets in B.text_slices(batch.column("text"), FIND_BYTES):
                 if words:
                     data, offsets = coded(data, offsets)
                 r = runs(data, offsets, width, anchor)
@@ -359,6 +367,7 @@ def repeated(
                 columns = [batch.column("rid").take(take), batch.column("doc_id").take(take)]
                 columns += [pa.array(r[k]) for k in ("anchor", "content")] + [pa.array(r[k], pa.int32()) for k in ("first", "last", "at")]
                 yield pa.record_batch(columns, names=["rid", "doc_id", "anchor", "content", "first", "last", "at"])
+            B.give_back()
 
     schema = "rid bigint, doc_id bigint, anchor bigint, content bigint, first int, last int, at int"
     everywhere = stored(rows.mapInArrow(find, schema), "found")
