@@ -5,7 +5,9 @@ import decimal
 import math
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from rulefold.operators import streams
@@ -249,3 +251,14 @@ def test_replay_keeps_all_rows(spark):
     df = spark.range(100).withColumn("v", F.when(F.col("id") % 7 > 0, F.col("id")))
     assert table(replay.results(replay.as_stream(df, "v", 3).select("id", "v"))) == table(df)
     assert replay.results(replay.as_stream(df.limit(0), "v")).count() == 0
+
+
+def test_changes_of_a_bucket_come_as_one_row_of_lists():
+    """In their order, nulls included, and back."""
+    changes = pa.table({"k": ["a", "b", None, "d", "e"], "shard": [1, 2, 3, 4, 5], "bucket": pa.array([7, 8, 7, 7, 8], pa.int32())})
+    (made,) = keyed._gathered(iter(changes.to_batches(max_chunksize=2)))
+    rows = [Row(**r) for r in made.to_pylist()]
+    assert made.schema.names == changes.schema.names
+    assert [(r.bucket, r.k, r.shard) for r in rows] == [(7, ["a", None, "d"], [1, 3, 4]), (8, ["b", "e"], [2, 5])]
+    assert [(c.k, c.shard) for c in keyed._ByBucket._each(iter(rows[:1]))] == [("a", 1), (None, 3), ("d", 4)]
+    assert list(keyed._gathered(iter([]))) == []
