@@ -262,3 +262,22 @@ def test_changes_of_a_bucket_come_as_one_row_of_lists():
     assert [(r.bucket, r.k, r.shard) for r in rows] == [(7, ["a", None, "d"], [1, 3, 4]), (8, ["b", "e"], [2, 5])]
     assert [(c.k, c.shard) for c in keyed._ByBucket._each(iter(rows[:1]))] == [("a", 1), (None, 3), ("d", 4)]
     assert list(keyed._gathered(iter([]))) == []
+
+
+def test_differences_of_a_bucket_go_out_as_lists():
+    """Of PART_ROWS rows at most."""
+
+    class Held:
+        def read(self):
+            return {"1": ["0", True, "x"]}
+
+        def write(self, changed, rows):
+            assert len(changed) == n
+
+    n = keyed.PART_ROWS + 2
+    differences = keyed._Differences()
+    differences.held = Held()
+    rows = [Row(bucket=0, k=[str(i) for i in range(n)], op=["U"] * n, version=["1"] * n, own=["x"] * n)]
+    made = list(differences.handleInputRows((0,), iter(rows), None))
+    assert [len(r.k) for r in made] == [keyed.PART_ROWS, 1]
+    assert [k for r in made for k in r.k] == [str(i) for i in range(n) if i != 1]  # which has these values already
