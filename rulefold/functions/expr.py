@@ -43,6 +43,10 @@ class Expr:
         own = frozenset([self.value[0]]) if self.op == "field" else frozenset()
         return own.union(*(a.sources() for a in self.args))
 
+    def fields(self) -> frozenset[tuple[str, str]]:
+        own = frozenset([self.value]) if self.op == "field" else frozenset()
+        return own.union(*(a.fields() for a in self.args))
+
     def present(self) -> Column:
         if self.absent():
             return F.lit(False)

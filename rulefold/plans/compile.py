@@ -64,6 +64,15 @@ def sources(rules: Iterable[Rule]) -> set[str]:
     return out
 
 
+def fields(rules: Iterable[Rule]) -> set[tuple[str, str]]:
+    """Records and their fields that the rules mention."""
+    out = set()
+    for rule in rules:
+        out |= {("vessel", "destination")} if isinstance(rule, Restrict) else rule.condition.fields()
+        out |= fields(getattr(rule, "body", ()))
+    return out
+
+
 def combine_results(results: Sequence[Column]) -> tuple[Column, Column, Column]:
     """(has a result, allowed, reasons): a denial prevails, reasons stand in the order of the rules."""
     there = F.array_compact(F.array(*results))

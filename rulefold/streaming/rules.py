@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulefold.plans.compile import branches, combine_results, sources
+from rulefold.plans.compile import branches, combine_results, fields, sources
 from rulefold.plans.rules import Rule
 from rulefold.streaming import keyed
 
@@ -24,6 +24,13 @@ class Record:
     order: tuple[str, ...] = ("seq",)
 
 
+def _record(df: DataFrame, name: str, column: str, mentioned: set[tuple[str, str]]) -> Column:
+    """A struct column without the fields that no rule mentions, so that they are neither sent nor held; null where it was."""
+    there = [f.name for f in df.schema[column].dataType.fields]
+    kept = [f for f in there if (name, f.lower()) in mentioned] or there
+    return F.when(F.col(column).isNotNull(), F.struct(*(F.col(column).getField(f).alias(f) for f in kept))).alias(name)
+
+
 def deny_changes(vessels: DataFrame, rules: Sequence[Rule], keys: Sequence[str], records: dict[str, Record] | None = None, order: Sequence[str] = ("seq",)) -> DataFrame:
     """What is to be published as vessels and records change: keys, op, version, reasons (null for a withdrawn denial).
 
@@ -35,10 +42,13 @@ def deny_changes(vessels: DataFrame, rules: Sequence[Rule], keys: Sequence[str],
     records = records or {}
     if missing := sources(rules) - {"vessel"} - set(records):
         raise ValueError(f"no record for {sorted(missing)}")
-    rows = vessels
+    mentioned = {(record, field.partition(".")[0].lower()) for record, field in fields(rules)}
+    foreign = dict.fromkeys(r.foreign for r in records.values() if r.foreign not in keys)
+    rows = vessels.select(*keys, "op", *order, *foreign, _record(vessels, "vessel", "vessel", mentioned))
     for name, record in records.items():
         values = [c for c in record.log.columns if c not in {record.key, "op", *record.order}]
         log = record.log.select(record.key, "op", *record.order, F.struct(*values).alias(name))
+        log = log.select(record.key, "op", *record.order, _record(log, name, name, mentioned))
         rows = keyed.foreign_join(rows, log, keys, record.foreign, record.key, order, record.order, how="left")
         order = (keyed.VERSION,)
     found = branches(rules, F.col("vessel.destination"))

@@ -281,3 +281,41 @@ def test_differences_of_a_bucket_go_out_as_lists():
     made = list(differences.handleInputRows((0,), iter(rows), None))
     assert [len(r.k) for r in made] == [keyed.PART_ROWS, 1]
     assert [k for r in made for k in r.k] == [str(i) for i in range(n) if i != 1]  # which has these values already
+
+
+def test_buckets_travel_as_lines():
+    """One text for each column of a bucket, an empty line for null, there and back."""
+    texts = pa.table({"k": ["a", "b", "", "d"], "version": ["1", "1", "2", "3"], "bucket": pa.array([7, 8, 7, 7], pa.int32())})
+    made = [r for b in keyed._in_lines(iter(texts.to_batches(max_chunksize=2))) for r in b.to_pylist()]
+    assert made == [{"k": "a\n\nd", "version": "1\n2\n3", "bucket": 7}, {"k": "b", "version": "1", "bucket": 8}]
+
+    class Echo(keyed._ByBucket):
+        OUT = ("k", "version")
+
+        def init(self, handle):
+            pass
+
+        def changed(self, rows):
+            return ((r.k, r.version) for r in rows)
+
+    (out,) = keyed._Lines(Echo()).handleInputRows((7,), iter([Row(**made[0])]), None)
+    assert out.asDict() == {"k": "a\n\nd", "version": "1\n2\n3"}
+
+
+def test_rows_of_a_bucket_are_held_as_lines():
+    """Those that are not there keep their version, those that have gone do not come back."""
+
+    class Handle(list):
+        def getListState(self, *_):  # noqa: N802
+            return self
+
+        get, appendList, put = list.__iter__, list.extend, lambda self, parts: self.__setitem__(slice(None), parts)
+
+    handle = Handle()
+    held = keyed._Held(handle, "held")
+    rows = held.read()
+    for changed in ({"a": ("1", True, "x"), "b": ("1", True, "é"), "c": ("2", False, None)}, {"a": None, "b": ("3", True, "z")}):
+        rows = {k: r for k, r in (rows | changed).items() if r}
+        held.write(changed, rows)
+        assert held.read() == rows
+    assert rows == {"b": ("3", True, "z"), "c": ("2", False, None)} and len(handle) == 2

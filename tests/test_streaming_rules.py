@@ -11,6 +11,7 @@ from rulefold.operators.relation import Relation
 from rulefold.plans import compile as C
 from rulefold.plans.rules import INBOUND, berth, require, vessel, when
 from rulefold.streaming import keyed
+from rulefold.streaming import rules as R
 from rulefold.streaming.rules import Record, deny_changes
 from tests.test_keyed_streaming import feed, file_stream, folded, run, table
 
@@ -100,3 +101,12 @@ def test_two_records_chain(spark, tmp_path):
     got = folded(run(deny_changes(vessels, rules, ["id"], records), tmp_path, "out"), ["id"])
     assert {r.id: len(r.reasons) for r in got.collect()} == {1: 2, 2: 1, 3: 1}
     assert keyed.VERSION == "version"
+
+
+def test_fields_that_no_rule_mentions_are_not_held(spark):
+    mentioned = C.fields(RULES)
+    assert mentioned == {("vessel", "direction"), ("vessel", "draught"), ("berth", "draught")}
+    df = spark.createDataFrame([(1, (5.0, "Inbound", "urn:x:Z100/1/1")), (2, None)], "id bigint, vessel struct<draught: double, direction: string, destination: string>")
+    made = df.select("id", R._record(df, "vessel", "vessel", mentioned)).orderBy("id")
+    assert made.schema["vessel"].dataType.names == ["draught", "direction"]
+    assert [r.vessel and tuple(r.vessel) for r in made.collect()] == [(5.0, "Inbound"), None]
